@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import tokens
+from tripline.llm import tokens, warc
 
-MODULES = (tokens,)
+MODULES = (warc, tokens)
 
 
 def queries() -> dict:
