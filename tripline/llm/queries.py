@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import tokens, warc
+from tripline.llm import mixing, search, tokens, warc
 
-MODULES = (warc, tokens)
+MODULES = (warc, search, tokens, mixing)
 
 
 def queries() -> dict:
