@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import mixing, search, tokens, warc
+from tripline.llm import decontamination, mixing, search, tokens, warc
 
-MODULES = (warc, search, tokens, mixing)
+MODULES = (warc, search, tokens, decontamination, mixing)
 
 
 def queries() -> dict:
