@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import decontamination, mixing, near_dedup, search, tokens, warc
+from tripline.llm import decontamination, mixing, near_dedup, search, tokens, toxicity, warc
 
-MODULES = (warc, search, tokens, decontamination, near_dedup, mixing)
+MODULES = (warc, search, tokens, toxicity, decontamination, near_dedup, mixing)
 
 
 def queries() -> dict:
