@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import decontamination, mixing, near_dedup, quality, search, tokens, toxicity, warc
+from tripline.llm import decontamination, line_dedup, mixing, near_dedup, quality, search, tokens, toxicity, warc
 
-MODULES = (warc, search, tokens, quality, toxicity, decontamination, near_dedup, mixing)
+MODULES = (warc, search, tokens, line_dedup, quality, toxicity, decontamination, near_dedup, mixing)
 
 
 def queries() -> dict:
