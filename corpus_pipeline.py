@@ -1,3 +1,76 @@
-STAGES = []
+"""A training corpus from documents: reject toxic ones, keep one of each group of near-duplicates, cut benchmark phrases
+out, mix the sources, and write token files.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept, which is written as Parquet and read again.
+All but the last return the columns of documents. The fourth stage's decision is the order of its rows: they are range-partitioned and sorted
+by their slot, and the last stage writes the token files in that order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripline.llm.common import shared_dir, table
+from tripline.llm.decontamination import decontaminate
+from tripline.llm.mixing import WEIGHTS, mix
+from tripline.llm.near_dedup import near_duplicates
+from tripline.llm.tokens import read_tokens, write_tokens
+from tripline.llm.toxicity import toxicity
+
+#: No SQL expresses a trained classifier; the stages are tested one by one against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of at least 0.7 go; learned from all labelled documents up to the operator's bound."""
+    scores = toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), keep_columns=True)
+    return scores.where("score < 0.7").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at five words and a similarity of 0.8 stays: the one of the smallest doc_id
+    (with all rows that repeat that doc_id)."""
+    gone = near_duplicates(docs, 5, "0.8").where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ten-word phrases of the benchmark are cut out of the texts; the documents stay."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    cut = F.size("spans") > 0
+    text = F.when(cut, F.col("clean_text")).otherwise(F.col("text"))
+    n_chars = F.when(cut, F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of their slots."""
+    placed = mix(docs, WEIGHTS)
+    return placed.repartitionByRange("slot", "block_pos").sortWithinPartitions("slot", "block_pos").select(*docs.columns)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the order of docs' files and rows, with doc_id, start, n_tokens and ids_crc32 read back from them."""
+    import public_tokenizers
+
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return read_tokens(write_tokens(placed, public_tokenizers.path("byte_bpe_50k.json"), order=["_file", "_row"]))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", cut_benchmark),
+    ("mixing", mix_sources),
+    ("tokens", write_token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

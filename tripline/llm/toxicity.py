@@ -130,9 +130,9 @@ def features(texts: list[str | None], words_lexicon: np.ndarray, stems_lexicon:
     )
 
 
-def with_features(docs: DataFrame, lexicons: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows with the array x in place of their text."""
-    kept = [c for c in docs.columns if c != "text"]
+def with_features(docs: DataFrame, lexicons: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
+    """The rows with the array x, in place of their text unless that is to be kept."""
+    kept = [c for c in docs.columns if keep_text or c != "text"]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
@@ -142,23 +142,28 @@ def with_features(docs: DataFrame, lexicons: tuple[np.ndarray, np.ndarray]) -> D
     return docs.mapInPandas(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "x array<double>"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, allowed: F.Column, bound: int = 12_000, trees: int = 20) -> DataFrame:
-    """doc_id and score (0 to 1) of every document; learned from at most about ``bound`` labelled ones that allowed marks."""
+def toxicity(
+    docs: DataFrame, labels: DataFrame, allowed: F.Column, bound: int = 12_000, trees: int = 20, keep_columns: bool = False
+) -> DataFrame:
+    """doc_id (or all columns) and score (0 to 1) of every document; learned from at most about ``bound`` labelled ones that
+    allowed marks. A column named score is replaced."""
+    kept = [c for c in docs.columns if c not in ("score", "raw", "x")] if keep_columns else ["doc_id"]
     sample = stored(training_sample(docs, labels, "toxic", allowed, bound), "sample")
-    if sample.select("y").distinct().count() < 2:
+    if sample.where("fold > 0").select("y").distinct().count() < 2:
         mean = sample.agg(F.avg("y")).first()[0] or 0.0
-        return docs.select("doc_id", F.lit(float(mean)).alias("score"))
+        return docs.select(*kept, F.lit(float(mean)).alias("score"))
     lexicons = lexicon(sample.where("fold > 0"))
-    learning = stored(with_features(sample, lexicons), "features").withColumn("v", as_vector("x"))
-    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, seed=7, cacheNodeIds=False)
-    model = model.fit(learning.where("fold > 0").coalesce(2))
+    learning = stored(with_features(sample, lexicons), "features")
+    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, seed=7)
+    model = model.fit(learning.where("fold > 0").withColumn("v", as_vector("x")).coalesce(2))
 
     def raw(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("raw", vector_to_array("probability")[1])
+        return model.transform(df.withColumn("v", as_vector("x"))).withColumn("raw", vector_to_array("probability")[1])
 
     isotonic = calibration(raw(learning.where("fold = 0")))
-    scored = raw(with_features(docs.select("doc_id", "text"), lexicons).withColumn("v", as_vector("x")))
-    return calibrated(scored.select("doc_id", "raw"), isotonic)
+    needed = docs.select(*dict.fromkeys([*kept, "text"]))
+    scored = raw(with_features(needed, lexicons, keep_text="text" in kept))
+    return calibrated(scored.select(*kept, "raw"), isotonic)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
