@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.common import stored
@@ -42,45 +42,48 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Labels of the components that result if all pairs which share a bucket (bucket, id) are given to verify.
+def linked_groups(
+    members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+) -> DataFrame | None:
+    """Labels of the components that result if all pairs which share a bucket (bucket, id, mark) and are near are given to
+    verify; None if nothing is linked.
 
-    verify gets candidate pairs (a, b) and returns those that are linked. Pairs whose ends are known to be in one component need
-    no check. In each round every bucket that still holds several components names pivots, from its smallest ones; a pivot
-    is checked against the members of other components and leaves the bucket. The number of pivots grows fourfold by the round,
-    so that few rounds end the work however the links lie; the pairs checked are never more than those across components.
+    near compares the marks of two members; verify gets candidate pairs (a, b) and returns those that are linked. Pairs
+    whose ends are known to be in one component need no check. In each round every bucket that still holds several components
+    names pivots, from its smallest ones; a pivot is held against the members of other components and leaves the bucket.
+    The number of pivots grows by the round, so that few rounds end the work however the links lie; the pairs looked at are
+    never more than those across components.
     """
-    members = stored(members.select("bucket", "id").distinct(), "members")
     edges, labels, pivots_each = None, None, 1
     while True:
         if labels is None:
-            now = members.select("bucket", "id", F.col("id").alias("label"))
+            now = members.withColumn("label", F.col("id"))
         else:
-            spread = labels.repartition("label")
-            now = members.join(spread, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+            now = members.join(labels.repartition("label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        now = now.join(several.select("bucket").repartition(F.xxhash64("bucket")), "bucket", "left_semi")
-        now = stored(now, "members")
+        now = stored(now.join(several.select("bucket").repartition(F.xxhash64("bucket")), "bucket", "left_semi"), "members")
         if now.isEmpty():
-            break
-        sized = now
-        if labels is None:
-            sized = sized.withColumn("n", F.lit(1))
-        else:
+            return labels
+        sized = now.withColumn("n", F.lit(1).cast("long"))
+        if labels is not None:
             sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).repartition("n", "label")
-            sized = sized.join(sizes, ["bucket", "label"])
+            sized = now.join(sizes, ["bucket", "label"])
         slot = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = sized.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "id", "label")).alias("p"))
-        pivots = stored(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.label").alias("other")), "pivots")
-        pairs = pivots.join(now, "bucket").where("other <> label")
+        # the least (size of component, id) of each slot, in aggregates of plain numbers
+        least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min("id").alias("id"))
+        least = least.groupBy("bucket", "slot").agg(F.min("n").alias("n"), F.min_by("id", "n").alias("pivot"))
+        pivots = stored(
+            least.select("bucket", F.col("pivot").alias("id")).join(now, ["bucket", "id"]).select(
+                "bucket", F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("mark").alias("its_mark")
+            ),
+            "pivots",
+        )
+        pairs = pivots.join(now, (pivots["bucket"] == now["bucket"]) & (F.col("other") != F.col("label")) & near(F.col("its_mark"), F.col("mark")))
         pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         new = stored(verify(stored(pairs, "pairs")).select("a", "b").distinct(), "links")
-        if edges is None or not new.isEmpty():
+        if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = stored(components(edges), "labels")
         gone = pivots.select("bucket", F.col("pivot").alias("id"))
-        members = stored(now.join(gone, ["bucket", "id"], "left_anti").select("bucket", "id"), "members")
-        pivots_each *= 4
-    if labels is None:
-        return members.select("id", F.col("id").alias("label")).limit(0)
-    return labels
+        members = now.join(gone, ["bucket", "id"], "left_anti").select("bucket", "id", "mark")
+        pivots_each *= 8

@@ -9,8 +9,9 @@ on their full sets.
 Words are runs of other characters than ASCII white space, A-Z lower-cased.
 
 Defined results: a document with fewer words than a shingle has its whole sequence as one; without words, or with a null
-text, its set is empty, and it is linked with nothing; rows that repeat a doc_id are joined only if their sets are; a null
-doc_id is never a component's name unless all of its documents have it; an empty table gives no rows.
+text, its set is empty, and it is linked with nothing; rows that repeat a
+doc_id are documents of one component; documents without doc_id are linked with nothing, and each is kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -72,39 +73,41 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(-1, each) << shifts, axis=1)
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set in two longs."""
+    return tuple(np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (size of the set), id (digest of the set, null if empty), bands and signature."""
+    """doc_id, n (size of the set), h1 and h2 (digest of the set, null if empty), bands and signature."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
             rows = []
             for s in shingle_sets(part["text"].tolist(), size):
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 m = minima(s)
                 bands = m[: BANDS * ROWS].reshape(BANDS, ROWS)
                 key = bands[:, 0].copy()
                 for j in range(1, ROWS):
                     key = mixed(key + bands[:, j] * FACTORS[j])
-                rows.append((len(s), digest(s), key.view(np.int64), packed(m & np.uint64(2**BITS - 1)).view(np.int64)))
-            n, ids, bands, signs = zip(*rows, strict=True)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "id": ids, "bands": bands, "signature": signs})
+                rows.append((len(s), *digest(s), key.view(np.int64), packed(m & np.uint64(2**BITS - 1)).view(np.int64)))
+            n, h1, h2, bands, signs = zip(*rows, strict=True)
+            ids = {"h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64")}
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, **ids, "bands": bands, "signature": signs})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n long, id binary, bands array<long>, signature array<long>")
+    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n long, h1 long, h2 long, bands array<long>, signature array<long>")
 
 
-def estimate() -> F.Column:
-    """The corrected similarity of the signatures sa and sb."""
-    evens = int("01" * 32, 2)
+def estimate(one: F.Column, other: F.Column) -> F.Column:
+    """The corrected similarity of two signatures."""
+    evens = F.lit(int("01" * 32, 2))
     unequal = F.lit(0)
     for i in range(N_HASHES * BITS // 64):
-        x = F.col("sa")[i].bitwiseXOR(F.col("sb")[i])
-        unequal = unequal + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(evens)))
+        x = one[i].bitwiseXOR(other[i])
+        unequal = unequal + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(evens))
     chance = 2.0**-BITS
     return (1 - unequal / N_HASHES - chance) / (1 - chance)
 
@@ -115,31 +118,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: str = "0.8") ->
     Documents are linked if the shared part of their sets is at least ``similarity`` (exact decimal) of all of both.
     """
     share = Fraction(similarity)
-    up, down = share.numerator, share.denominator
+    up, down, j = share.numerator, share.denominator, float(share)
     rows = stored(sketches(docs, size), "sketches")
-    classes = stored(
-        rows.where("id is not null").groupBy("id").agg(
-            F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-        ),
-        "classes",
+    classes = rows.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("mark")
     )
-    exploded = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    exploded = exploded.select(F.xxhash64("band", "value").alias("bucket"), "id")
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    classes = stored(classes, "classes")
+    exploded = classes.select("id", "mark", F.posexplode("bands").alias("band", "value"))
+    exploded = exploded.select(F.xxhash64("band", "value").alias("bucket"), "id", "mark")
+    shared = exploded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = stored(exploded.join(shared, "bucket", "left_semi"), "members")
-    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
-    if classes.where("first is null").isEmpty():
-        texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    else:
-        texts = docs.select("doc_id", "text")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
 
     def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
-            found = [s for s in shingle_sets(part["text"].tolist(), size) if len(s)]
-            yield pd.DataFrame({"id": [digest(s) for s in found], "hashes": [s.tobytes() for s in found]})
+            found = shingle_sets(part["text"].tolist(), size)
+            yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "hashes": [s.tobytes() for s in found]})
+
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = stored(texts.mapInPandas(to_sets, "id long, hashes binary"), "sets")
+    mean = 2.0**-BITS + (1 - 2.0**-BITS) * j
+    deviation = (mean * (1 - mean) / N_HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
-    sets = stored(texts.mapInPandas(to_sets, "id binary, hashes binary"), "sets")
-    signatures = classes.select("id", "signature")
+    def near(one: F.Column, other: F.Column) -> F.Column:
+        return estimate(one, other) >= j - 6 * deviation
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -151,23 +153,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: str = "0.8") ->
             yield frame.loc[good, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
-        with_b = with_a.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-        j = float(share)
-        mean = 2.0**-BITS + (1 - 2.0**-BITS) * j
-        deviation = (mean * (1 - mean) / N_HASHES) ** 0.5 / (1 - 2.0**-BITS)
-        likely = stored(with_b.where(estimate() >= j - 6 * deviation).select("a", "b"), "likely")
-        full = likely.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-        return full.mapInPandas(compare, "a binary, b binary")
-
-    labels = linked_groups(members, verify)
-    named = classes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    named = stored(named, "named")
-    firsts = named.groupBy("label").agg(F.min("first").alias("component_id")).repartition("component_id")
-    placed = named.select("id", "label").join(firsts, "label").select("id", "component_id").repartition("component_id")
-    out = rows.select("doc_id", "n", "id").join(placed, "id", "left")
-    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return full.mapInPandas(compare, "a long, b long")
+
+    labels = linked_groups(members, near, verify)
+    named = classes.select("h1", "h2", "id")
+    if labels is None:
+        named = named.withColumn("component_id", F.col("id"))
+    else:
+        named = named.join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("component_id"))
+    named = named.select("h1", "h2", "component_id").repartition("component_id")
+    out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
