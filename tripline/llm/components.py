@@ -69,9 +69,10 @@ def linked_groups(
             sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).repartition("n", "label")
             sized = now.join(sizes, ["bucket", "label"])
         slot = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
-        # the least (size of component, id) of each slot, in aggregates of plain numbers
-        least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min("id").alias("id"))
-        least = least.groupBy("bucket", "slot").agg(F.min("n").alias("n"), F.min_by("id", "n").alias("pivot"))
+        # of each slot one of the smallest components; which one differs from bucket to bucket, so that links are soon found
+        sized = sized.withColumn("draw", F.xxhash64("id", "bucket"))
+        least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min_by("id", "draw").alias("id"))
+        least = least.groupBy("bucket", "slot").agg(F.min_by("id", "n").alias("pivot"))
         pivots = stored(
             least.select("bucket", F.col("pivot").alias("id")).join(now, ["bucket", "id"]).select(
                 "bucket", F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("mark").alias("its_mark")
@@ -86,4 +87,4 @@ def linked_groups(
             labels = stored(components(edges), "labels")
         gone = pivots.select("bucket", F.col("pivot").alias("id"))
         members = now.join(gone, ["bucket", "id"], "left_anti").select("bucket", "id", "mark")
-        pivots_each *= 8
+        pivots_each *= 4 if pivots_each == 1 else 8

@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its word shingles. Documents with equal sets form a class at once. Each class gets
 N_HASHES minima; bands of them name buckets, and the low BITS of each minimum are packed into a signature. Pairs that share a bucket
 are first judged by their signatures: of m equal low bits in N_HASHES, a share of 2**-BITS is chance, so the similarity is
-estimated as (m / N_HASHES - c) / (1 - c) with c = 2**-BITS. Pairs whose estimate is not six deviations too low are compared
-on their full sets.
+estimated as (m / N_HASHES - c) / (1 - c) with c = 2**-BITS. Pairs whose estimate is not DEVIATIONS too low are compared on their
+full sets.
 
 Words are runs of other characters than ASCII white space, A-Z lower-cased.
 
@@ -32,7 +32,9 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 #: At a similarity of 0.85 a pair shares none of the 25 bands of five minima with a chance of 4e-7, at 0.8 of 5e-5.
-N_HASHES, BANDS, ROWS, BITS = 128, 25, 5, 2
+N_HASHES, BANDS, ROWS, BITS = 256, 25, 5, 2
+#: Pairs whose estimate is this many deviations too low are not compared; one in 300,000 linked pairs is that far off.
+DEVIATIONS = 4.5
 _RANDOM = np.random.default_rng(20240607)
 FACTORS = _RANDOM.integers(0, 2**63, N_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RANDOM.integers(0, 2**63, N_HASHES, np.uint64)
@@ -141,7 +143,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: str = "0.8") ->
     deviation = (mean * (1 - mean) / N_HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
     def near(one: F.Column, other: F.Column) -> F.Column:
-        return estimate(one, other) >= j - 6 * deviation
+        return estimate(one, other) >= j - DEVIATIONS * deviation
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
