@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripline.functions import lists
 from tripline.operators import export, profiles, ranking, relational, vocab
-from tripline.plans.visits import events, item_visits, pairs, query
+from tripline.plans.visits import events, query
 from tripline.sources import readers, writers
 from tripline.sources.readers import table
 
