@@ -61,7 +61,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n + n // 4, 1 << 16)
             self.up, self.down = (np.full(size, b, np.uint64) for b in (BASE, BASE_INVERSE))
             for a in (self.up, self.down):
                 a[0] = 1

@@ -16,7 +16,6 @@ as hits; empty tables give no rows, or documents without hits; columns with the
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 

@@ -91,12 +91,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     word = np.zeros(n, np.uint64)
     for j in range(8):
         word = (word << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(word)
+    order = np.argsort(word).astype(np.int32)
     key = word[order]
     starts = np.concatenate([[True], key[1:] != key[:-1]])
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n, dtype=np.int32), 0))
     del word, key
     span, tied = 8, np.flatnonzero(~(starts & np.concatenate([starts[1:], [True]])))
     while span < depth and len(tied):
@@ -199,22 +199,25 @@ def load_shard(uri: str) -> tuple[np.ndarray, Joined]:
     return x["ids"], Joined([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 50, shard_bytes: int = 1 << 20, keep_bytes: bool = False, anchors_per_shard: int = 1 << 16
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of each removed run, in bytes) and kept_sha256 of every row; with
     keep_bytes also kept, the remaining bytes."""
     if not GRAM <= length <= GRAM + 30:
         raise ValueError(f"length is {GRAM} to {GRAM + 30}")
     spark = docs.sparkSession
     folder = shared_dir(spark, "text-shards")
-    log_buckets = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    log_buckets = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     buckets = np.arange(1 << log_buckets, dtype=np.uint64)
 
-    def cuts(sorted_hashes: np.ndarray) -> list[int]:
-        return [*np.searchsorted(sorted_hashes, buckets << np.uint64(64 - log_buckets)).tolist(), len(sorted_hashes)]
+    def cuts(sorted_hashes: np.ndarray, log: int) -> list[int]:
+        edges = np.arange(1 << log, dtype=np.uint64) << np.uint64(64 - log)
+        return [*np.searchsorted(sorted_hashes, edges).tolist(), len(sorted_hashes)]
 
     def in_order(hashes: np.ndarray) -> np.ndarray:
         """What is told about an anchor in the first round: its bucket and 32 bits."""
-        return hashes >> np.uint64(32 - log_buckets) if log_buckets <= 32 else hashes
+        return hashes >> np.uint64(32 - log_buckets)
 
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches(frames, lambda f: f["text"].str.len().fillna(0), shard_bytes):
@@ -240,6 +243,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
 
     told = stored(docs.select("doc_id", "text").mapInPandas(to_shards, "bucket int, shard string, told binary, several binary"), "anchors")
 
+    # What a shard of contexts holds must not grow with the corpus, so their number does.
+    total = told.agg(F.sum(F.octet_length("told")) / 4, F.count_if(F.col("bucket") == -1)).first()
+    log_contexts = max(8, int((total[0] or 0) // anchors_per_shard).bit_length())
+    shard_tasks = max(1, -(-(total[1] or 0) // 4))
+
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint32) for x in frame["told"]]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(frame["several"], parts, strict=True)]
@@ -251,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
         return pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "bits": [np.packbits(b).tobytes() for b in bits]})
 
     answers = told.where("bucket >= 0").groupBy("bucket").applyInPandas(repeated, "shard string, bucket int, bits binary")
-    per_shard = answers.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
+    per_shard = answers.repartition(shard_tasks, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 
     def to_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -283,7 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
                 hashes, start, size = hashes[one], start[one], (end - start)[one]
                 total = np.cumsum(size)
                 text = joined.data[np.arange(total[-1]) + np.repeat(start - total + size, size)]
-                edges = cuts(hashes)
+                edges = cuts(hashes, log_contexts)
                 at = np.concatenate([[0], total])
                 rows = []
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -304,10 +312,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 3 << 20
         return pd.DataFrame({"shard": frame["shard"], "side": frame["side"], "bucket": frame["bucket"], "masks": masks})
 
     decided = contexts.groupBy("bucket").applyInPandas(decisions, "shard string, side string, bucket int, masks binary")
-    decided = decided.groupBy("shard").agg(
+    decided = decided.repartition(shard_tasks, "shard").groupBy("shard").agg(
         F.min("side").alias("side"), F.sort_array(F.collect_list(F.struct("bucket", "masks"))).alias("masks")
     )
-    everything = told.where("bucket = -1").select("shard").repartition(1 << log_buckets, "shard").join(decided, "shard", "left")
+    everything = told.where("bucket = -1").select("shard").repartition(shard_tasks, "shard").join(decided, "shard", "left")
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
