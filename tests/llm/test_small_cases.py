@@ -289,7 +289,7 @@ def test_near_duplicates(spark):
         r, words = random.Random(i), list(base)
         for _ in range(i % 6):
             words[r.randrange(len(words))] = f"edit{i}"
-        rows.append((100 - i, " ".join(words), "s"))
+        rows.append((1000 - i, " ".join(words), "s"))
     rows += [(200 + i, babble(50 + i, 80), "s") for i in range(10)] + [(300, babble(50, 80).upper(), "s"), (55, rows[3][1], "s"), (400, "one two", "s")] + ODD[1:]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, rows), 3, "0.85").collect()}
     sets = {}

@@ -50,8 +50,8 @@ def linked_groups(
 
     near compares the marks of two members; verify gets candidate pairs (a, b) and returns those that are linked. Pairs
     whose ends are known to be in one component need no check. In each round every bucket that still holds several components
-    names pivots, from its smallest ones; a pivot is held against the members of other components and leaves the bucket.
-    The number of pivots grows by the round, so that few rounds end the work however the links lie; the pairs looked at are
+    names pivots, from its smallest ones; a pivot is held against the members of other components in all its buckets, and leaves
+    them. The number of pivots grows by the round, so that few rounds end the work however the links lie; the pairs looked at are
     never more than those across components.
     """
     edges, labels, pivots_each = None, None, 1
@@ -66,25 +66,22 @@ def linked_groups(
             return labels
         sized = now.withColumn("n", F.lit(1).cast("long"))
         if labels is not None:
-            sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).repartition("n", "label")
-            sized = now.join(sizes, ["bucket", "label"])
+            sizes = now.select("label", "id").distinct().groupBy("label").agg(F.count("*").alias("n")).repartition("n")
+            sized = now.join(sizes, "label")
+        # Of each slot one of the smallest components. A pivot is one in all its buckets, so that no pair is looked at again.
         slot = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
-        # of each slot one of the smallest components; which one differs from bucket to bucket, so that links are soon found
-        sized = sized.withColumn("draw", F.xxhash64("id", "bucket"))
+        sized = sized.withColumn("draw", F.xxhash64("id", F.lit(-pivots_each)))
         least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min_by("id", "draw").alias("id"))
-        least = least.groupBy("bucket", "slot").agg(F.min_by("id", "n").alias("pivot"))
-        pivots = stored(
-            least.select("bucket", F.col("pivot").alias("id")).join(now, ["bucket", "id"]).select(
-                "bucket", F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("mark").alias("its_mark")
-            ),
-            "pivots",
+        chosen = least.groupBy("bucket", "slot").agg(F.min_by("id", "n").alias("id")).select("id").distinct()
+        chosen = stored(chosen, "pivots")
+        pivots = now.join(chosen, "id", "left_semi").select(
+            F.col("bucket").alias("at"), F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("mark").alias("its_mark")
         )
-        pairs = pivots.join(now, (pivots["bucket"] == now["bucket"]) & (F.col("other") != F.col("label")) & near(F.col("its_mark"), F.col("mark")))
+        pairs = pivots.join(now, (F.col("at") == F.col("bucket")) & (F.col("other") != F.col("label")) & near(F.col("its_mark"), F.col("mark")))
         pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
         new = stored(verify(stored(pairs, "pairs")).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = stored(components(edges), "labels")
-        gone = pivots.select("bucket", F.col("pivot").alias("id"))
-        members = now.join(gone, ["bucket", "id"], "left_anti").select("bucket", "id", "mark")
+        members = now.join(chosen, "id", "left_anti").select("bucket", "id", "mark")
         pivots_each *= 4 if pivots_each == 1 else 8

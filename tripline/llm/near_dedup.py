@@ -52,7 +52,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(hashes[a : b - size + 1]))
         else:
-            whole = words[a : a + 1].copy()
+            whole = words[a : min(a + 1, b)].copy()
             for j in range(a + 1, b):
                 whole = mixed(whole + words[j : j + 1] * FACTORS[j - a])
             out.append(whole + np.uint64(b - a))
