@@ -21,3 +21,13 @@ def test_lines_with_a_changed_word_are_linked(spark):
     found = {x.doc_id: x.removed for x in line_dedup.removed_lines(documents(spark, rows)).collect()}
     lost = [i for i in range(60) if found[2 * i + 1] != [0]]
     assert len(lost) <= 1 and all(found[2 * i] == [] for i in range(60))
+
+
+def test_short_lines_and_every_document(spark, tmp_path):
+    rows = [(1, "Home\nContact us!\n"), (2, "home\ncontact us"), (3, "我们今天去公园散步看花然后回家吃饭"), (4, "我们今天去公园散步看花然后回家喝饭"), (5, None), (6, "contact ux\nabcde"), (7, "abde")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x.doc_id: x for x in line_dedup.op5_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert {i: x.removed for i, x in found.items()} == {1: "", 2: "0,1", 3: "", 4: "0", 5: "", 6: "0", 7: "0"}
+    assert (found[1].n_lines, found[1].n_judged, found[5].n_lines) == (3, 2, 0)
+    classes = {i: x.classes.split(",") for i, x in found.items()}
+    assert classes[1] == [*classes[2], ""] and classes[3] == classes[4] and classes[6] == [classes[1][1], classes[7][0]]
