@@ -2,7 +2,9 @@
 
 import random
 
-from tripline.llm import line_dedup
+import numpy as np
+
+from tripline.llm import line_dedup, near_dedup
 
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("n", "s", "rt", "ll") for c in ("o", "ae", "im", "us")]
 
@@ -31,3 +33,14 @@ def test_short_lines_and_every_document(spark, tmp_path):
     assert (found[1].n_lines, found[1].n_judged, found[5].n_lines) == (3, 2, 0)
     classes = {i: x.classes.split(",") for i, x in found.items()}
     assert classes[1] == [*classes[2], ""] and classes[3] == classes[4] and classes[6] == [classes[1][1], classes[7][0]]
+
+
+def test_low_bits_of_minima_are_independent():
+    r, low = np.random.default_rng(3), []
+    for _ in range(600):
+        h = r.integers(0, 2**64, 8, dtype=np.uint64)
+        one, other = near_dedup.minima(h[:7]), near_dedup.minima(h[[0, 1, 2, 3, 4, 5, 7]])
+        differ = one != other
+        a, b = near_dedup.low_bits(one), near_dedup.low_bits(other)
+        low.append((a[differ] == b[differ]).mean())
+    assert abs(np.mean(low) - 0.25) < 0.02 and np.std(low) < 0.1

@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set holds the 64-bit hashes of its word shingles. Documents with equal sets form a class at once. Each class gets
-N_HASHES minima; bands of them name buckets, and the low BITS of each minimum are packed into a signature. Pairs that share a bucket
+N_HASHES minima; bands of them name buckets, and the low BITS of each mixed minimum are packed into a signature. Pairs that share a bucket
 are first judged by their signatures: of m equal low bits in N_HASHES, a share of 2**-BITS is chance, so the similarity is
 estimated as (m / N_HASHES - c) / (1 - c) with c = 2**-BITS. Pairs whose estimate is not DEVIATIONS too low are compared on their
 full sets.
@@ -33,8 +33,8 @@ IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 #: At a similarity of 0.85 a pair shares none of the 25 bands of five minima with a chance of 4e-7, at 0.8 of 5e-5.
 N_HASHES, BANDS, ROWS, BITS = 256, 25, 5, 2
-#: Pairs whose estimate is this many deviations too low are not compared; one in 300,000 linked pairs is that far off.
-DEVIATIONS = 4.5
+#: Pairs whose estimate is this many deviations too low are not compared; the README has the loss measured by set size.
+DEVIATIONS = 6
 _RANDOM = np.random.default_rng(20240607)
 FACTORS = _RANDOM.integers(0, 2**63, N_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RANDOM.integers(0, 2**63, N_HASHES, np.uint64)
@@ -68,6 +68,11 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def low_bits(m: np.ndarray) -> np.ndarray:
+    """BITS bits of each minimum. Minima are mixed first: the low bits of FACTORS * h + TERMS depend on those of h alone."""
+    return mixed(m) & np.uint64(2**BITS - 1)
+
+
 def packed(low: np.ndarray) -> np.ndarray:
     """The signature's words: BITS bits of each minimum."""
     each = 64 // BITS
@@ -95,7 +100,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 key = bands[:, 0].copy()
                 for j in range(1, ROWS):
                     key = mixed(key + bands[:, j] * FACTORS[j])
-                rows.append((len(s), *digest(s), key.view(np.int64), packed(m & np.uint64(2**BITS - 1)).view(np.int64)))
+                rows.append((len(s), *digest(s), key.view(np.int64), packed(low_bits(m)).view(np.int64)))
             n, h1, h2, bands, signs = zip(*rows, strict=True)
             ids = {"h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64")}
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, **ids, "bands": bands, "signature": signs})
