@@ -55,7 +55,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers
 
     placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return read_tokens(write_tokens(placed, public_tokenizers.path("byte_bpe_50k.json"), order=["_file", "_row"]))
+    return read_tokens(write_tokens(placed, public_tokenizers.path("byte_bpe_50k.json"), order=["_file", "_row"], added=True))
 
 
 STAGES = [

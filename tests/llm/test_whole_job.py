@@ -1,10 +1,11 @@
 """Cases that an operator once left out."""
 
 import random
+import zlib
 
 import numpy as np
 
-from tripline.llm import line_dedup, near_dedup
+from tripline.llm import line_dedup, near_dedup, tokens
 
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("n", "s", "rt", "ll") for c in ("o", "ae", "im", "us")]
 
@@ -35,6 +36,30 @@ def test_short_lines_and_every_document(spark, tmp_path):
     assert classes[1] == [*classes[2], ""] and classes[3] == classes[4] and classes[6] == [classes[1][1], classes[7][0]]
 
 
+def test_encoder_finds_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), tokens.Encoder(path, added=True)
+    texts = ["one <|endoftext|> two", "one two", "<|endoftext|>", "a b " * 300 + "x <|endoftext|> y" + " c d" * 300]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [505, 220, 50256, 734]
+    assert [x.tolist() for x in encoder.encode(texts, 100)] == expected
+
+
+def test_query_finds_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    documents(spark, [(1, "one <|endoftext|> two"), (2, "three")]).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = tokens.op4_token_files(spark, str(tmp_path)).orderBy("doc_id").collect()
+    for r, t in zip(rows, ("one <|endoftext|> two", "three"), strict=True):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_low_bits_of_minima_are_independent():
     r, low = np.random.default_rng(3), []
     for _ in range(600):

@@ -181,15 +181,20 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts with a tokenizer file; what a pretoken encodes to is kept, so that it is merged only once.
 
-    Pretokens are told apart by 64-bit hashes. At most ``keep`` of them are kept; then it begins anew.
+    Pretokens are told apart by 64-bit hashes. At most ``keep`` of them are kept; then it begins anew. With ``added``, the
+    added tokens of the file are found in texts, as is the library's default; else they are text like any other.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 2_000_000, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.added: list[str] = []
+        if added:
+            self.tokenizer = Tokenizer.from_file(path)
+            self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
         self.clear()
 
@@ -206,14 +211,14 @@ class Encoder:
         spaced = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t[1:].isalpha()]
         for a in range(0, len(spaced), 4096):
             part = spaced[a : a + 4096]
-            whole = self.tokenizer.encode("".join(texts[i] for i in part), add_special_tokens=False)
+            whole = self.plain.encode("".join(texts[i] for i in part), add_special_tokens=False)
             owner = np.array(whole.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
             ids = whole.ids
             for i, x, y in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 found[i] = ids[x:y]
         alone = sorted(set(range(len(texts))) - set(spaced))
-        for i, x in zip(alone, self.tokenizer.encode_batch([texts[i] for i in alone], add_special_tokens=False), strict=True):
+        for i, x in zip(alone, self.plain.encode_batch([texts[i] for i in alone], add_special_tokens=False), strict=True):
             found[i] = x.ids
         size = np.fromiter(map(len, found), np.int64, len(found))
         start = len(self.ids) + np.cumsum(size) - size
@@ -223,13 +228,16 @@ class Encoder:
             np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.start, start), (self.size, size))
         )
 
+    def has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         whole = "\0".join(texts) + "\0"
         points = np.frombuffer(whole.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         kind = kinds()[np.minimum(points, 0x10000)]
         kind[ends] = END
-        rare = np.unique(np.searchsorted(ends, np.flatnonzero(kind == RARE)))
+        rare = np.unique([*np.searchsorted(ends, np.flatnonzero(kind == RARE)), *(i for i, t in enumerate(texts) if self.has_added(t))]).astype(int)
         begin = pretokens(points, np.minimum(kind, BLANK))
         g = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points + 1).astype(np.uint64) * POWERS.get(len(points) + 1)[0][:-1], out=g[1:])
@@ -257,7 +265,8 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None], most: int = 1_000_000) -> list[np.ndarray]:
-        """The ids of each text. It works on pieces of about ``most`` characters; longer texts are cut where none is lost."""
+        """The ids of each text. It works on pieces of about ``most`` characters; longer texts are cut where none is lost;
+        those with added tokens are not cut."""
         pieces, owner, held, out = [], [], 0, [[] for _ in texts]
 
         def work() -> None:
@@ -267,9 +276,9 @@ class Encoder:
             pieces, owner, held = [], [], 0
 
         for i, text in enumerate(texts):
-            at = 0
+            at, whole = 0, bool(text) and self.has_added(text)
             while text and at < len(text):
-                cut = CUT.search(text, at + most) if len(text) - at > 2 * most else None
+                cut = CUT.search(text, at + most) if len(text) - at > 2 * most and not whole else None
                 end = cut.start() if cut else len(text)
                 pieces.append(text[at:end])
                 owner.append(i)
@@ -281,18 +290,18 @@ class Encoder:
 
 
 @cache
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, added: bool = False) -> Encoder:
     """One for each Python worker, which keeps it from task to task."""
-    return Encoder(path)
+    return Encoder(path, added=added)
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer: str, end_id: int | None = 0, order: list[str] | None = None, file_ids: int = 4 << 20
+    docs: DataFrame, tokenizer: str, end_id: int | None = 0, order: list[str] | None = None, file_ids: int = 4 << 20, added: bool = False
 ) -> DataFrame:
     """Writes the documents' token files in the order of the columns (default doc_id) and returns their list.
 
     docs has doc_id and text; the list has part, seq, path, n_docs, n_ids and start (ids of all files before).
-    One range shuffle of the texts; a task holds one file's ids. Files of attempts that failed are not in the list.
+    added is the Encoder's. One range shuffle of the texts; a task holds one file's ids. Files of attempts that failed are not in the list.
     """
     order = order or ["doc_id"]
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "token-files")
@@ -302,7 +311,7 @@ def write_tokens(
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, added)
         doc_ids, ids, held, seq = [], [], 0, 0
         end = np.array([] if end_id is None else [end_id], np.uint32)
 
@@ -352,7 +361,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True))
 
 
 QUERIES = {"op4_token_files": op4_token_files}
