@@ -15,35 +15,35 @@ FAMILY_PRIORITY = (
     "nightclub", "restaurant",
 )
 FAMILIES = {
-    "restaurant": "restaurant meal_takeaway meal_delivery food establishment mediterranean_restaurant middle_eastern_restaurant "
-    "greek_restaurant french_restaurant spanish_restaurant latin_american_restaurant caribbean_restaurant african_restaurant "
-    "ethiopian_restaurant vegan_restaurant vegetarian_restaurant gluten-free_restaurant organic_restaurant "
-    "health_food_restaurant salad_shop buffet_restaurant caterer",
-    "cafe": "cafe",
-    "coffee": "coffee_shop coffee espresso_bar",
-    "bar": "bar sports_bar cocktail_bar",
-    "nightclub": "night_club nightclub",
-    "pub": "pub",
-    "wine_bar": "wine_bar",
-    "brewery": "brewery taproom",
-    "bakery": "bakery",
-    "ice_cream": "ice_cream_shop ice_cream frozen_yogurt_shop",
-    "dessert": "dessert_shop dessert candy_store chocolate_shop donut_shop",
-    "fast_food": "fast_food_restaurant fast_food sandwich_shop deli",
-    "pizza": "pizza_restaurant pizza pizzeria",
-    "burger": "hamburger_restaurant burger burger_restaurant",
-    "breakfast": "breakfast_restaurant brunch_restaurant breakfast brunch",
-    "bbq": "barbecue_restaurant bbq",
-    "steakhouse": "grill steakhouse steak_house",
-    "seafood": "seafood_restaurant seafood fish_restaurant",
-    "sushi": "sushi_restaurant sushi japanese_restaurant",
-    "american": "american_restaurant new_american_restaurant southern_restaurant soul_food_restaurant",
-    "mexican": "mexican_restaurant mexican tex-mex_restaurant taco_restaurant burrito_restaurant",
-    "italian": "italian_restaurant italian pasta_restaurant",
-    "chinese": "chinese_restaurant chinese dim_sum_restaurant",
-    "asian": "asian_restaurant thai_restaurant vietnamese_restaurant korean_restaurant indian_restaurant "
-    "asian_fusion_restaurant ramen_restaurant pho_restaurant noodle_restaurant",
-}
+    "restaurant": ["restaurant", "meal_takeaway", "meal_delivery", "food", "establishment", "mediterranean_restaurant",
+        "middle_eastern_restaurant", "greek_restaurant", "french_restaurant", "spanish_restaurant", "latin_american_restaurant",
+        "caribbean_restaurant", "african_restaurant", "ethiopian_restaurant", "vegan_restaurant", "vegetarian_restaurant",
+        "gluten-free_restaurant", "organic_restaurant", "health_food_restaurant", "salad_shop", "buffet_restaurant", "caterer"],
+    "cafe": ["cafe"],
+    "coffee": ["coffee_shop", "coffee", "espresso_bar"],
+    "bar": ["bar", "sports_bar", "cocktail_bar"],
+    "nightclub": ["night_club", "nightclub"],
+    "pub": ["pub"],
+    "wine_bar": ["wine_bar"],
+    "brewery": ["brewery", "taproom"],
+    "bakery": ["bakery"],
+    "ice_cream": ["ice_cream_shop", "ice_cream", "frozen_yogurt_shop"],
+    "dessert": ["dessert_shop", "dessert", "candy_store", "chocolate_shop", "donut_shop"],
+    "fast_food": ["fast_food_restaurant", "fast_food", "sandwich_shop", "deli"],
+    "pizza": ["pizza_restaurant", "pizza", "pizzeria"],
+    "burger": ["hamburger_restaurant", "burger", "burger_restaurant"],
+    "breakfast": ["breakfast_restaurant", "brunch_restaurant", "breakfast", "brunch"],
+    "bbq": ["barbecue_restaurant", "bbq"],
+    "steakhouse": ["grill", "steakhouse", "steak_house"],
+    "seafood": ["seafood_restaurant", "seafood", "fish_restaurant"],
+    "sushi": ["sushi_restaurant", "sushi", "japanese_restaurant"],
+    "american": ["american_restaurant", "new_american_restaurant", "southern_restaurant", "soul_food_restaurant"],
+    "mexican": ["mexican_restaurant", "mexican", "tex-mex_restaurant", "taco_restaurant", "burrito_restaurant"],
+    "italian": ["italian_restaurant", "italian", "pasta_restaurant"],
+    "chinese": ["chinese_restaurant", "chinese", "dim_sum_restaurant"],
+    "asian": ["asian_restaurant", "thai_restaurant", "vietnamese_restaurant", "korean_restaurant", "indian_restaurant",
+        "asian_fusion_restaurant", "ramen_restaurant", "pho_restaurant", "noodle_restaurant"],
+}
 NAME_KEYWORDS = {
     "pizza": ["pizza", "pizzeria", "pie", "pizza hut", "domino", "papa john", "little caesar"],
     "burger": ["burger", "burgers", "five guys", "shake shack", "smashburger", "whataburger", "in-n-out"],
@@ -94,7 +94,7 @@ def price_bucket(c: Column) -> Column:
 
 def category_family(c: Column) -> Column:
     """The family of a raw category: lower case, trimmed, spaces as underscores; 'other' if unknown or null."""
-    table = F.create_map(*[F.lit(x) for family, raw in FAMILIES.items() for key in raw.split() for x in (key, family)])
+    table = F.create_map(*[F.lit(x) for family, raw in FAMILIES.items() for key in raw for x in (key, family)])
     key = F.replace(strip(F.lower(c)), F.lit(" "), F.lit("_"))
     return F.coalesce(F.try_element_at(table, key), F.lit("other"))
 

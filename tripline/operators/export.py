@@ -72,12 +72,55 @@ def provenance(src: str = "source_id", dst: str = "dest_id", src_meta: str = "so
     }
 
 
-def with_places(rows: DataFrame, places: DataFrame, keep_unknown: bool = False) -> DataFrame:
+# Tokens that are no place, and the columns of an export in their order, with ranks first or with the source first.
+SPECIAL = ("<PAD>", "<UNK>")
+PLACE_COLUMNS = ("business_idx", "gmap_id", "name", "lat", "lon", "category_main", "category_all", "avg_rating", "num_reviews", "price_bucket", "is_closed")
+SCORES = ("score_raw", "score_share", "score_cum_share", "score_z")
+RANK_FIRST = (
+    "prediction_id", "rank", *SCORES, *(f"source_{c}" for c in PLACE_COLUMNS), *(f"dest_{c}" for c in PLACE_COLUMNS), "link_distance_km",
+    "same_main_category", "is_self_prediction", "source_has_metadata", "dest_has_metadata", "category_pair_key",
+)
+SOURCE_FIRST = (
+    "prediction_id", *(f"source_{c}" for c in PLACE_COLUMNS), "rank", *SCORES, *(f"dest_{c}" for c in PLACE_COLUMNS), "link_distance_km", "same_main_category",
+)
+
+
+def laid_out(rows: DataFrame, layout: tuple[str, ...], only: bool = False) -> DataFrame:
+    """The layout's columns that exist, in its order, then the others unless only the layout's are asked for."""
+    return rows.select(*[c for c in layout if c in rows.columns], *([] if only else [c for c in rows.columns if c not in layout]))
+
+
+def predictions_with_places(rows: DataFrame, vocabulary: DataFrame, places: DataFrame, include_unknown: bool = False) -> DataFrame:
+    """Predictions (prediction_id, source_business_idx, dest_business_idx, rank, score_raw) as an export with all columns of RANK_FIRST.
+
+    Indices are looked up in the vocabulary (business_idx, gmap_id), ids in the places; what has no place keeps its row, with nulls. Destinations
+    that the vocabulary lacks, or that are special tokens, are dropped; sources too unless they are included. Ranks, shares and z-scores are
+    over the rows that are left.
+    """
+    for end in ("source", "dest"):
+        words = vocabulary.select(F.col("business_idx").alias(f"{end}_business_idx"), F.col("gmap_id").alias(f"{end}_gmap_id"))
+        rows = rows.join(words, f"{end}_business_idx", "left")
+        if end == "dest" or not include_unknown:
+            rows = rows.where(F.col(f"{end}_gmap_id").isNotNull() & ~F.col(f"{end}_gmap_id").isin(*SPECIAL))
+        rows = rows.join(places.select(*[F.col(c).alias(f"{end}_{c}") for c in places.columns]), f"{end}_gmap_id", "left")
+    w = Window.partitionBy("prediction_id")
+    total, sd, score = F.sum("score_raw").over(w), F.stddev_pop("score_raw").over(w), F.col("score_raw")
+    share, order = _share(score, total), w.orderBy("rank")
+    rows = rows.withColumns({"_share": share, "score_z": F.round(F.when(sd > 0, (score - F.avg("score_raw").over(w)) / sd), 6), "_rank": F.row_number().over(order)})
+    running = F.sum("_share").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"score_cum_share": F.round(running, 9), "score_share": F.round("_share", 9), "rank": F.col("_rank")}).drop("_share", "_rank")
+    src, dst = F.col("source_category_main"), F.col("dest_category_main")
+    km = haversine_km(F.col("source_lat"), F.col("source_lon"), F.col("dest_lat"), F.col("dest_lon"))
+    flags = provenance("source_business_idx", "dest_business_idx") | {"link_distance_km": km, "same_main_category": F.coalesce(src == dst, F.lit(False)), "category_pair_key": named(src, dst)}
+    return laid_out(rows.withColumns(flags), RANK_FIRST)
+
+
+def with_places(rows: DataFrame, places: DataFrame, keep_unknown: bool = True) -> DataFrame:
     """Rows (source_idx, dest_idx, ...) with the places' columns (idx, id, name, lat, lon, category, ...) at both ends, the distance and
-    flags. Destinations that are no place are dropped, sources too unless they are to be kept."""
+    flags. What is no place keeps its row, with nulls, unless unknown places are to be dropped."""
     for end in ("source", "dest"):
         side = places.select(*[F.col(c).alias(f"{end}_{c}") for c in places.columns])
-        rows = rows.join(side, f"{end}_idx", "left" if end == "source" and keep_unknown else "inner")
+        rows = rows.join(side, f"{end}_idx", "left" if keep_unknown else "inner")
     km = haversine_km(F.col("source_lat"), F.col("source_lon"), F.col("dest_lat"), F.col("dest_lon"))
     same = F.coalesce(F.col("source_category") == F.col("dest_category"), F.lit(False))
     key = named(F.col("source_category"), F.col("dest_category"))
@@ -118,8 +161,7 @@ def nested_top_k(rows: DataFrame, src: str, columns: list[str]) -> DataFrame:
 
 
 def transition_matrix(candidates: DataFrame, score: Column, k: int = 10) -> DataFrame:
-    """Candidates (src_id, dst_id and features) with the k best of each source: transition_probability (softmax) and rank."""
-    out = candidates.withColumn("score", score)
-    out = out.withColumn("transition_probability", softmax("src_id"))
-    w = Window.partitionBy("src_id").orderBy(F.desc("score"), "dst_id")
+    """Candidates (src_id, dst_id and features) with the k best of each source: transition_probability (the score as it is) and rank."""
+    out = candidates.withColumn("transition_probability", score)
+    w = Window.partitionBy("src_id").orderBy(F.desc("transition_probability"), "dst_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

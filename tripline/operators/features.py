@@ -81,6 +81,16 @@ def preference() -> dict[str, Column]:
     }
 
 
+def opening_times(legacy: bool = False) -> dict[str, Column]:
+    """From both ends' parsed opening hours (src_hours, dst_hours)."""
+    out = {}
+    for end in ("src", "dst"):
+        ts, hours = _c(f"{end}_ts"), _c(f"{end}_hours")
+        out[f"{end}_is_open_at_time"] = time.open_at(hours, time.weekday_name(ts, legacy), F.hour(ts))
+        out[f"{end}_opens_early"] = time.opens_early(hours)
+    return out | {"hours_overlap": time.hours_overlap(_c("src_hours"), _c("dst_hours"))}
+
+
 def opening() -> dict[str, Column]:
     return {
         "is_late_night_transition": _c("src_has_late_night") & _c("dst_has_late_night"),
@@ -100,10 +110,10 @@ def topics(names: tuple[str, ...] = ("dessert", "drinks", "service", "atmosphere
 
 def services() -> dict[str, Column]:
     def same(x: str) -> Column:
-        return _c(f"src_has_{x}") & _c(f"dst_has_{x}")
+        return _c(f"src_has_{x}") == _c(f"dst_has_{x}")
 
     return {
-        "service_match": same("delivery") | same("takeout") | same("dinein"),
+        "service_match": same("delivery") & same("takeout"),
         "dst_adds_delivery": ~_c("src_has_delivery") & _c("dst_has_delivery"),
         "dst_adds_takeout": ~_c("src_has_takeout") & _c("dst_has_takeout"),
         "both_accept_reservations": _c("src_accepts_reservations") & _c("dst_accepts_reservations"),
@@ -149,6 +159,7 @@ def pair_features(pairs: DataFrame, legacy_weekday: bool = False) -> DataFrame:
         (("src_relative_results", "dst_id"), relationship),
         (("src_sentiment_score", "dst_sentiment_score", "src_avg_review_length", "dst_avg_review_length"), sentiment),
         (("user_avg_rating", "user_price_preference", "dst_rating", "dst_price"), preference),
+        (("src_hours", "dst_hours", "src_ts", "dst_ts"), lambda: opening_times(legacy_weekday)),
         (("src_has_late_night", "dst_has_late_night", "src_opens_early", "dst_opens_early", "src_is_24hr", "dst_is_24hr"), opening),
         (("src_mentions_dessert", "dst_mentions_price"), topics),
         (("src_has_delivery", "dst_has_delivery", "src_accepts_reservations", "dst_accepts_reservations"), services),
@@ -157,3 +168,63 @@ def pair_features(pairs: DataFrame, legacy_weekday: bool = False) -> DataFrame:
         if set(needs) <= set(pairs.columns):
             pairs = pairs.withColumns(group())
     return interactions(pairs)
+
+
+TOPIC_NAMES = ("dessert", "drinks", "service", "atmosphere", "price")
+# What stands for unknown inputs before anything is derived from them, and for unknown features afterwards.
+FILLS_BEFORE = {f"{end}_{c}": 0.0 for end in ("src", "dst") for c in (*(f"mentions_{t}" for t in TOPIC_NAMES), "price")}
+FILLS_AFTER = {
+    **{
+        f"{end}_{c}": v
+        for end in ("src", "dst")
+        for c, v in (
+            ("sentiment_score", 0.0), ("sentiment_std", 0.0), ("positive_review_pct", 0.5), ("avg_review_length", 50.0), ("is_open_at_time", True),
+            ("has_late_night", False), ("is_24hr", False), ("has_delivery", False), ("has_takeout", False), ("has_dinein", False),
+            ("accepts_reservations", False),
+        )
+    },
+    "sentiment_transition": 0.0, "is_sentiment_upgrade": False, "sentiment_similarity": 1.0, "both_positive_sentiment": False, "review_length_diff": 0.0,
+    "user_avg_rating": 3.5, "user_rating_std": 1.0, "user_total_reviews": 1, "user_unique_restaurants": 1, "user_avg_review_length": 50.0,
+    "user_visit_frequency": 1.0, "user_cuisine_diversity": 1, "user_price_preference": 2.0, "user_price_std": 1.0, "user_loyalty_score": 0.0,
+    "user_is_explorer": False, "user_is_frequent": False, "user_is_diverse_eater": False, "user_has_high_standards": False,
+    "user_is_price_sensitive": False, "user_visit_frequency_bucket": "low", "rating_vs_user_preference": 0.0, "price_vs_user_preference": 0.0,
+    "topic_transition_dessert": False, "topic_transition_drinks": False, "topic_similarity_count": 0, "hours_overlap": True,
+    "is_late_night_transition": False, "is_early_morning_transition": False, "involves_24hr_restaurant": False, "service_match": True,
+    "dst_adds_delivery": False, "dst_adds_takeout": False, "both_accept_reservations": False,
+}
+
+
+def filled(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    return df.fillna({c: v for c, v in values.items() if c in df.columns})
+
+
+def all_features(
+    pairs: DataFrame,
+    places: DataFrame,
+    sentiment: DataFrame | None = None,
+    topics: DataFrame | None = None,
+    profiles: DataFrame | None = None,
+    legacy_weekday: bool = False,
+) -> DataFrame:
+    """Pairs (user_id, src_id, dst_id, and of both ends ts, category, lat, lon, rating; delta_hours) with all features, nulls filled.
+
+    places has id, price_bucket, relative_results, hours (parsed), has_late_night, is_24hr and the services. What reviews tell joins
+    the places first (sentiment and topics by id), so that the pairs are joined with one wide table for each end, and with the users' profiles.
+    """
+    wide = places.select(
+        "id", F.col("price_bucket").cast("double").alias("price"), "relative_results", "hours", "has_late_night", "is_24hr",
+        "has_delivery", "has_takeout", "has_dinein", "accepts_reservations",
+    )
+    if sentiment is not None:
+        told = sentiment.select("id", F.col("avg_sentiment").alias("sentiment_score"), "sentiment_std", "positive_review_pct", "avg_review_length")
+        wide = wide.join(told, "id", "left")
+    if topics is not None:
+        wide = wide.join(topics.select("id", *[f"mentions_{t}" for t in TOPIC_NAMES]), "id", "left")
+    out = pairs
+    for end in ("src", "dst"):
+        out = out.join(wide.select(*[F.col(c).alias(f"{end}_{c}") for c in wide.columns]), f"{end}_id", "left")
+    if profiles is not None:
+        out = out.join(profiles, "user_id", "left")
+    out = filled(pair_features(filled(out, FILLS_BEFORE), legacy_weekday), FILLS_AFTER)
+    gone = [f"{end}_{c}" for end in ("src", "dst") for c in ("hours", "relative_results", "opens_early")]
+    return interactions(out.drop(*gone)).withColumn("label", F.lit(1))

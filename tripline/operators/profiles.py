@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripline.functions.text import TOPICS, polarity, topic_flags
 from tripline.functions.time import days_between
+from tripline.operators.relational import row_index
 
 
 def rating_stats(user: str, rating: str, item: str, ts: str, text: str | None = None) -> list[Column]:
@@ -62,12 +63,22 @@ def loyalty(visits: DataFrame, user: str, item: str) -> DataFrame:
     return counts.groupBy(user).agg(F.avg((F.col("_n") > 1).cast("double")).alias("loyalty_score"))
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, median: the middle value, or the mean of both, chosen by rank over a range shuffle."""
+    values = df.select(F.col(column).cast("double").alias("_v")).where("_v is not null")
+    n = values.agg(F.count("*").alias("_n"))
+    ranked = row_index(values, ["_v"], "_i").crossJoin(F.broadcast(n))
+    middle = (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.floor(F.col("_n") / 2))
+    return ranked.where(middle).agg(F.avg("_v").alias("median"))
+
+
 def median_flags(users: DataFrame, columns: dict[str, str], frequency: str | None = None) -> DataFrame:
     """Flags (name -> column) whether a user is above the median of all users, and a low, medium or high frequency bucket (below half,
     above twice the median)."""
     wanted = list(dict.fromkeys([*columns.values(), *([frequency] if frequency else [])]))
-    medians = users.agg(*[F.median(c).alias(f"_m_{c}") for c in wanted])
-    out = users.crossJoin(F.broadcast(medians))
+    out = users
+    for c in wanted:
+        out = out.crossJoin(F.broadcast(exact_median(users, c).select(F.col("median").alias(f"_m_{c}"))))
     out = out.withColumns({name: F.coalesce(F.col(c) > F.col(f"_m_{c}"), F.lit(False)) for name, c in columns.items()})
     if frequency:
         f, m = F.col(frequency), F.col(f"_m_{frequency}")
@@ -94,13 +105,44 @@ def topic_shares(reviews: DataFrame, key: str, text: str = "text", topics: dict[
 
 
 def user_similarity(a: dict[str, Column], b: dict[str, Column], numeric: list[str], flags: list[str]) -> Column:
-    """The mean of relative closeness of the numbers, 1 - |a - b| / max(|a|, |b|, 1e-9), and of equal flags."""
-    parts = []
-    for c in numeric:
-        most = F.greatest(F.abs(a[c]), F.abs(b[c]), F.lit(1e-9))
-        parts.append(F.coalesce(1 - F.abs(a[c] - b[c]) / most, F.lit(0.0)))
-    parts += [F.coalesce((a[c] == b[c]).cast("double"), F.lit(0.0)) for c in flags]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total / len(parts)
+    """The mean of relative closeness of the numbers that both have, 1 - |a - b| / (|a| + |b| + 1e-6), and of equal flags."""
+    parts = [1 - F.abs(a[c] - b[c]) / (F.abs(a[c]) + F.abs(b[c]) + 1e-6) for c in numeric]
+    parts += [a[c].eqNullSafe(b[c]).cast("double") for c in flags]
+    total, count = F.lit(0.0), F.lit(0)
+    for p in parts:
+        total, count = total + F.coalesce(p, F.lit(0.0)), count + p.isNotNull().cast("int")
+    return F.when(count > 0, total / count).otherwise(0.0)
+
+
+# What stands for what is unknown of a user.
+PROFILE_FILLS = {
+    "user_avg_rating": 3.5, "user_rating_std": 1.0, "user_avg_review_length": 50.0, "user_visit_frequency": 1.0, "user_cuisine_diversity": 1,
+    "user_price_preference": 2.0, "user_price_std": 1.0, "user_loyalty_score": 0.0, "user_favorite_cuisine": "american", "user_pct_5_star": 0.2,
+    "user_pct_1_star": 0.1, "user_pct_positive": 0.6, "user_pct_negative": 0.2, "user_is_consistent_rater": False, "user_is_explorer": False,
+    "user_is_frequent": False, "user_is_diverse_eater": False, "user_has_high_standards": False, "user_is_price_sensitive": False,
+    "user_visit_frequency_bucket": "low",
+}
+
+
+def user_profiles(reviews: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each user of the reviews (user_id, item, rating, ts, text), with what their places (id, category, price_bucket) tell: ratings,
+    frequency, tastes, habits and flags, nulls filled. All but repeat visits and medians is one aggregate."""
+    rows = reviews.join(places.select(F.col("id").alias("item"), "category", "price_bucket"), "item", "left")
+    users = rows.groupBy("user_id").agg(
+        *rating_stats("user_id", "rating", "item", "ts", "text"), *rating_shares("rating"), distinct_with_null("category").alias("cuisines"),
+        F.avg("price_bucket").alias("price_mean"), F.stddev_samp("price_bucket").alias("price_std"), F.mode("category", True).alias("favorite"),
+    )
+    users = visit_frequency(users).join(loyalty(reviews, "user_id", "item"), "user_id", "left")
+    flags = {"user_is_explorer": "unique_items", "user_is_frequent": "visit_frequency", "user_is_diverse_eater": "cuisines"}
+    users = median_flags(users, flags, "visit_frequency")
+    out = users.select(
+        "user_id", F.col("avg_rating").alias("user_avg_rating"), F.col("rating_std").alias("user_rating_std"), F.col("total_reviews").alias("user_total_reviews"),
+        F.col("unique_items").alias("user_unique_restaurants"), F.col("avg_length").alias("user_avg_review_length"),
+        F.col("visit_frequency").alias("user_visit_frequency"), F.col("cuisines").cast("long").alias("user_cuisine_diversity"),
+        F.col("price_mean").alias("user_price_preference"), F.col("price_std").alias("user_price_std"), F.col("favorite").alias("user_favorite_cuisine"),
+        F.col("loyalty_score").alias("user_loyalty_score"), *[F.col(c).alias(f"user_{c}") for c in ("pct_5_star", "pct_1_star", "pct_positive", "pct_negative")],
+        *flags, (F.col("avg_rating") > 4).alias("user_has_high_standards"),
+        ((F.col("price_mean") <= 2) & (F.col("price_std") <= 0.5)).alias("user_is_price_sensitive"), F.col("is_consistent").alias("user_is_consistent_rater"),
+        F.col("frequency_bucket").alias("user_visit_frequency_bucket"),
+    )
+    return out.fillna(PROFILE_FILLS)

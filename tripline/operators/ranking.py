@@ -20,9 +20,37 @@ GROUPS = (
     ("spatial", ("distance", "neighborhood", "direction")), ("temporal", ("hour", "day_of_week", "weekend", "delta", "meal")),
     ("quality", ("rating", "highly_rated")), ("price", ("price", "upgrade", "downgrade")),
     ("category", ("category", "same_category", "cuisine", "dessert", "meal_progression")),
-    ("relationship", ("relative_results", "is_in_relative")), ("review_sentiment", ("sentiment", "review")),
-    ("user_behavior", ("user_",)), ("operating_hours", ("open", "24hr", "late_night", "early_morning")),
-    ("topics", ("mentions", "topic")), ("service_options", ("delivery", "takeout", "dinein", "reservations", "service")),
+    ("relationship", ("relative_results", "is_in_relative")), ("review_sentiment", ("sentiment", "review_length", "positive_review")),
+    ("user_behavior", ("user_", "explorer", "frequent", "diverse", "standards", "consistent")),
+    ("cuisine_complementarity", ("cuisine_pair", "complementarity", "followup", "progression")),
+    ("operating_hours", ("open_at_time", "hours_overlap", "late_night", "early_morning", "24hr")),
+    ("topics", ("mentions_", "topic_")), ("service_options", ("delivery", "takeout", "dinein", "reservations", "service")),
+)
+DEFAULT_GROUP = "spatial"
+
+# The inputs of the ranker.
+CATEGORICAL = ("distance_bucket", "direction", "delta_hours_bucket", "dst_meal_type", "cuisine_pair_type", "user_visit_frequency_bucket")
+NUMERICAL = (
+    "distance_km", "delta_hours", "src_hour", "dst_hour", "src_day_of_week", "dst_day_of_week", "src_rating", "dst_rating", "rating_diff",
+    "src_price", "dst_price", "price_diff", "relative_results_rank", "src_sentiment_score", "dst_sentiment_score", "sentiment_transition",
+    "sentiment_similarity", "src_avg_review_length", "dst_avg_review_length", "review_length_diff", "src_positive_review_pct",
+    "dst_positive_review_pct", "user_avg_rating", "user_rating_std", "user_total_reviews", "user_unique_restaurants", "user_visit_frequency",
+    "user_cuisine_diversity", "user_price_preference", "user_price_std", "user_loyalty_score", "user_pct_5_star", "user_pct_1_star",
+    "user_pct_positive", "user_pct_negative", "rating_vs_user_preference", "price_vs_user_preference", "src_mentions_dessert",
+    "dst_mentions_dessert", "src_mentions_drinks", "dst_mentions_drinks", "src_mentions_service", "dst_mentions_service",
+    "src_mentions_atmosphere", "dst_mentions_atmosphere", "src_mentions_price", "dst_mentions_price", "topic_similarity_count",
+)
+BOOLEAN = (
+    "same_neighborhood", "src_is_weekend", "dst_is_weekend", "src_is_breakfast", "dst_is_breakfast", "src_is_lunch", "dst_is_lunch",
+    "src_is_dinner", "dst_is_dinner", "is_rating_upgrade", "is_rating_downgrade", "src_is_highly_rated", "dst_is_highly_rated",
+    "is_price_upgrade", "is_price_downgrade", "same_price_level", "same_category", "is_in_relative_results", "is_sentiment_upgrade",
+    "both_positive_sentiment", "user_is_explorer", "user_is_frequent", "user_is_diverse_eater", "user_has_high_standards",
+    "user_is_price_sensitive", "user_is_consistent_rater", "is_dessert_followup", "is_meal_progression", "src_is_open_at_time",
+    "dst_is_open_at_time", "hours_overlap", "is_late_night_transition", "is_early_morning_transition", "involves_24hr_restaurant",
+    "src_has_late_night", "dst_has_late_night", "src_is_24hr", "dst_is_24hr", "topic_transition_dessert", "topic_transition_drinks",
+    "src_has_delivery", "dst_has_delivery", "src_has_takeout", "dst_has_takeout", "src_has_dinein", "dst_has_dinein",
+    "src_accepts_reservations", "dst_accepts_reservations", "service_match", "dst_adds_delivery", "dst_adds_takeout",
+    "both_accept_reservations",
 )
 
 
@@ -56,7 +84,7 @@ def recall_mrr(df: DataFrame, query: str, label: str, ks: tuple[int, ...] = (1,
 
 
 def ndcg(df: DataFrame, query: str, label: str, k: int = 10) -> DataFrame:
-    """One row: the mean over queries with a positive of DCG@k over the ideal DCG of the same rows."""
+    """One row: the mean over queries of DCG@k over the ideal DCG of the same rows, 0 for a query without positives."""
     ideal = Window.partitionBy(query).orderBy(F.desc(label), "rank")
     rows = df.where(F.col("rank") <= k).withColumn("_ideal", F.row_number().over(ideal))
 
@@ -64,7 +92,8 @@ def ndcg(df: DataFrame, query: str, label: str, k: int = 10) -> DataFrame:
         return F.sum(F.col(label) / F.log2(F.col(at) + 1))
 
     each = rows.groupBy(query).agg(gain("rank").alias("_dcg"), gain("_ideal").alias("_idcg"))
-    return each.where(F.col("_idcg") > 0).agg(F.avg(F.col("_dcg") / F.col("_idcg")).alias(f"ndcg_at_{k}"), F.count("*").alias("n_queries"))
+    value = F.when(F.col("_idcg") > 0, F.col("_dcg") / F.col("_idcg")).otherwise(0.0)
+    return each.agg(F.avg(value).alias(f"ndcg_at_{k}"), F.count("*").alias("n_queries"))
 
 
 def top_k_accuracy(df: DataFrame, predicted: str, target: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -104,16 +133,50 @@ def importance_group(name: Column) -> Column:
     out = out.when(mixed, "spatial")
     for group, words in GROUPS:
         out = out.when(has_any(words), group)
-    return out.otherwise("category")
+    return out.otherwise(DEFAULT_GROUP)
 
 
 def named_importance(scores: DataFrame, names: list[str]) -> DataFrame:
-    """Importance rows (feature, score) whose internal names f0, f1, ... are replaced by the real ones, with their groups."""
-    real = F.element_at(F.array(*[F.lit(n) for n in names]), F.try_add(F.regexp_extract("feature", r"^f(\d+)$", 1).try_cast("int"), F.lit(1)))
-    name = F.when(F.col("feature").rlike(r"^f\d+$"), real).otherwise(F.col("feature"))
+    """Importance rows (feature, score) whose internal names f0, f1, ... are replaced by the real ones, if there are so many, with their groups."""
+    real = F.get(F.array(*[F.lit(n) for n in names]), F.regexp_extract("feature", r"^f(\d+)$", 1).try_cast("int"))
+    name = F.coalesce(F.when(F.col("feature").rlike(r"^f\d+$"), real), F.col("feature"))
     return scores.select(name.alias("feature"), "score", importance_group(name).alias("grp"))
 
 
+def group_importance(importance: DataFrame) -> DataFrame:
+    """Of each group of named_importance: total, mean and number of its scores."""
+    return importance.groupBy("grp").agg(F.sum("score").alias("total"), F.avg("score").alias("mean"), F.count("*").alias("n"))
+
+
+def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
+    return importance.orderBy(F.desc("score"), "feature").limit(n)
+
+
+def ranking_data(df: DataFrame, query: list[str], categories: dict[str, list], label: str = "label", tie: str = "dst_id") -> tuple[DataFrame, list[str]]:
+    """The rows as a ranker's input, and the features' names: the query's columns, label, group_size (rows of the query) and x, an array of
+    doubles (null and NaN are 0) in the order of the names: numbers, flags, interactions, and a 0 or 1 for each of the categories'
+    values, which are those seen in training (categorical column -> values)."""
+    from tripline.operators.features import interactions
+    from tripline.operators.relational import one_hot
+
+    wide = interactions(df)
+    mixed = [c for c in wide.columns if any(m in c for m in INTERACTION_MARKS)]
+    for column, values in categories.items():
+        wide = one_hot(wide, column, values)
+    names = [*NUMERICAL, *BOOLEAN, *mixed, *(f"{c}_{v}" for c, values in categories.items() for v in values)]
+    x = F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names])
+    size = F.count("*").over(Window.partitionBy(*query))
+    return wide.select(*query, tie, label, size.alias("group_size"), x.alias("x")), names
+
+
+def evaluate(ranked_rows: DataFrame, query: str, label: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: recall_mrr and the nDCG at each k."""
+    out = recall_mrr(ranked_rows, query, label, ks)
+    for k in ks:
+        out = out.crossJoin(F.broadcast(ndcg(ranked_rows, query, label, k).drop("n_queries")))
+    return out
+
+
 def fit_pairwise(df: DataFrame, query: str, label: str, features: list[str], most_negatives: int = 8) -> PipelineModel:
     """A linear pairwise ranker: logistic regression on differences between a query's positives and at most so many of its
     negatives (by hash)."""

@@ -65,7 +65,7 @@ def top_groups(df: DataFrame, keys: list[str], n: int, name: str = "n") -> DataF
 
 def percent_of_total(df: DataFrame, key: str) -> DataFrame:
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("_total"))
+    total = counts.agg(F.sum("n").alias("_total"))
     return counts.crossJoin(F.broadcast(total)).select(key, "n", (100.0 * F.col("n") / F.col("_total")).alias("pct"))
 
 
@@ -83,7 +83,9 @@ def row_index(df: DataFrame, keys: list[str], name: str = "row_index") -> DataFr
     A range shuffle sorts the rows; counts of its partitions, summed up, give each partition's first number. No single task
     sees all rows.
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The number of partitions is given, so that the rows and their counts are dealt out alike.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     numbered = ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     numbered = numbered.withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripline.functions.geo import haversine_km
 from tripline.functions.time import add_hours
-from tripline.operators.geo_join import radius_join
+from tripline.operators.geo_join import distance_band, radius_join
 
 
 def draw(*keys: Column, seed: int = 42) -> Column:
@@ -27,40 +30,93 @@ def hash_sample_per(df: DataFrame, group: list[str], keys: list[str], n: int, se
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def numbered(df: DataFrame, group: list[str], item: str, seed: int = 42, spread: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The items of each group with their place in it (from 0, in an order of hashes), and each group's size.
+
+    A group is ranked within ``spread`` ranges of hashes, and the ranges' counts are summed up, so that no task holds a whole group.
+    """
+    rows = df.select(*group, item).withColumn("_h", F.xxhash64(*group, item, F.lit(seed)))
+    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 40) % spread)
+    counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", item)) - 1
+    placed = rows.withColumn("_r", rank).join(starts, [*group, "_b"])
+    return placed.select(*group, item, (F.col("_start") + F.col("_r")).alias("place")), counts.groupBy(*group).agg(F.sum("_n").alias("size"))
+
+
+def _drawn(pairs: DataFrame, pool: DataFrame, group: str, n: int, others: int, wanted: Callable[[Column], Column], seed: int) -> DataFrame:
+    """The pairs with ``drawn``, n items of their group's pool that are wanted (or all such items, if they are fewer). Each pair
+    begins at a place of its own and looks at n + others items, as at most ``others`` of a pool can be unwanted."""
+    places, sizes = numbered(pool, [group], "cand", seed)
+    start = F.pmod(F.xxhash64("pair_id", F.lit(seed)), F.col("size"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.lit(n + others)) - 1)
+    asked = pairs.select("pair_id", group).join(sizes, group).select("pair_id", group, start.alias("_at"), "size", F.explode(steps).alias("step"))
+    asked = asked.withColumn("place", (F.col("_at") + F.col("step")) % F.col("size"))
+    found = asked.join(places, [group, "place"]).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("step", "cand"))).alias("_l"))
+    out = pairs.join(found, "pair_id", "left")
+    items = F.coalesce(F.transform("_l", lambda x: x["cand"]), F.array().cast(f"array<{dict(pool.dtypes)['cand']}>"))
+    return out.withColumn("_i", items).withColumn("drawn", F.slice(F.filter("_i", lambda x: wanted(x)), 1, n) if n else F.slice("_i", 1, 0)).drop("_i", "_l")
+
+
 def hybrid_negatives(pairs: DataFrame, places: DataFrame, n: int = 4, km: float = 10.0, seed: int = 42) -> DataFrame:
-    """Negatives for pairs (pair_id, src_id, dst_id, src_ts): half of them near the source, a quarter related to it and a
-    quarter of its category, all distinct and neither source nor destination.
+    """Negatives for pairs (pair_id, src_id, dst_id, src_ts): of n, int(n / 2) near the source, int(0.3 n) related to it and the rest of its
+    category, drawn in this order from all places; none is the destination, drawn twice, or (but for related ones) the source. Where
+    there are fewer such places, all are taken.
+
+    places has id, lat, lon, category and relative_results. Returns pair_id, src_id, dst_id, strategy, delta_hours, dst_ts.
+    """
+    near, related = n // 2, int(n * 0.3)
+    category = n - near - related
+    place = places.select("id", "lat", "lon", "category", "relative_results")
+    base = pairs.select("pair_id", "src_id", "dst_id", "src_ts").join(place.select(F.col("id").alias("src_id"), F.col("category").alias("_category")), "src_id")
+    sources = place.join(base.select(F.col("src_id").alias("id")).distinct(), "id", "left_semi")
+    around = radius_join(sources.select("id", "lat", "lon"), place.select("id", "lat", "lon"), "id", km).select("src_id", F.col("dst_id").alias("cand"))
+    rows = _drawn(base, around, "src_id", near, 1, lambda x: x != F.col("dst_id"), seed).withColumnRenamed("drawn", "_near")
+
+    known = sources.select("id", F.explode("relative_results").alias("cand")).join(place.select(F.col("id").alias("cand")), "cand", "left_semi")
+    known = known.groupBy(F.col("id").alias("src_id")).agg(F.collect_set("cand").alias("_known"))  # as many as the place's own list has
+    rows = rows.join(known, "src_id", "left")
+    left = F.filter(F.coalesce("_known", F.slice("_near", 1, 0)), lambda x: (x != F.col("dst_id")) & ~F.array_contains(F.col("_near"), x))
+    order = F.array_sort(F.transform(left, lambda x: F.struct(F.xxhash64("pair_id", x, F.lit(seed)).alias("h"), x.alias("x"))))
+    rows = rows.withColumn("_related", F.slice(F.transform(order, lambda s: s["x"]), 1, related) if related else F.slice("_near", 1, 0))
 
-    places has id, lat, lon, category and relative_results. Candidates are drawn for each source place first
-    (a bounded number, by hash), then for each pair. Returns pair_id, src_id, dst_id, strategy, delta_hours, dst_ts.
+    same = place.where("category is not null").select(F.col("category").alias("_category"), F.col("id").alias("cand"))
+
+    def other(x: Column) -> Column:
+        return (x != F.col("dst_id")) & (x != F.col("src_id")) & ~F.array_contains(F.col("_near"), x) & ~F.array_contains(F.col("_related"), x)
+
+    rows = _drawn(rows, same, "_category", category, 2 + near + related, other, seed + 1).withColumnRenamed("drawn", "_same")
+
+    def of_kind(name: str, ids: str) -> Column:
+        return F.transform(ids, lambda x: F.struct(F.lit(name).alias("strategy"), x.alias("id")))
+
+    kinds = F.concat(of_kind("near", "_near"), of_kind("related", "_related"), of_kind("category", "_same"))
+    out = rows.select("pair_id", "src_id", "src_ts", F.explode(kinds).alias("_n"))
+    out = out.select("pair_id", "src_id", F.col("_n.id").alias("dst_id"), F.col("_n.strategy").alias("strategy"), "src_ts")
+    out = out.withColumn("delta_hours", 0.2 + draw(F.col("pair_id"), F.col("dst_id"), seed=seed) * (168 - 0.2))
+    return out.select("pair_id", "src_id", "dst_id", "strategy", "delta_hours", add_hours(F.col("src_ts"), F.col("delta_hours")).alias("dst_ts"))
+
+
+def distance_matched(pairs: DataFrame, places: DataFrame, attempts: int = 50, seed: int = 42) -> DataFrame:
+    """For each pair (pair_id, src_id, dst_id) one place whose distance from the source fits the destination's (distance_band): the first that
+    fits of so many places drawn at random, or else the first drawn that is neither end, whose distance is then given as 0.
+
+    places has id, lat, lon. Returns pair_id, neg_id, distance_km, matched; pairs without any place to draw are left out.
     """
-    near, related = max(1, n // 2), max(1, n // 4)
-    want = {"near": near, "related": related, "category": max(0, n - near - related)}
-    sources = pairs.select("src_id").distinct()
-    base = places.join(sources, places["id"] == sources["src_id"], "left_semi")
-    geo = radius_join(base.select("id", "lat", "lon"), places.select("id", "lat", "lon"), "id", km).select("src_id", F.col("dst_id").alias("cand"))
-    rel = base.select(F.col("id").alias("src_id"), F.explode("relative_results").alias("cand")).join(
-        places.select(F.col("id").alias("cand")), "cand", "left_semi"
-    )
-    same = hash_sample_per(places.select("category", "id"), ["category"], ["id"], 64, seed)
-    cat = base.select(F.col("id").alias("src_id"), "category").join(same, "category").select("src_id", F.col("id").alias("cand"))
-    pools = [
-        (i, name, hash_sample_per(p.where("cand <> src_id").distinct(), ["src_id"], ["cand"], 64, seed).groupBy("src_id").agg(F.collect_set("cand").alias("pool")))
-        for i, (name, p) in enumerate((("near", geo), ("related", rel), ("category", cat)))
-    ]
-    found = None
-    for i, name, pool in pools:
-        drawn = pairs.select("pair_id", "src_id", "dst_id", "src_ts").join(pool, "src_id").withColumn("cand", F.explode("pool"))
-        drawn = drawn.where("cand <> dst_id").select("pair_id", "src_id", "src_ts", "cand", F.lit(i).alias("p"), F.lit(name).alias("strategy"))
-        found = drawn if found is None else found.unionByName(drawn)
-    once = Window.partitionBy("pair_id", "cand").orderBy("p")
-    found = found.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k")
-    rank = F.row_number().over(Window.partitionBy("pair_id", "strategy").orderBy(F.xxhash64("pair_id", "cand", F.lit(seed)), "cand"))
-    limit = F.create_map(*[F.lit(x) for k, v in want.items() for x in (k, v)])
-    kept = found.withColumn("_r", rank).where(F.col("_r") <= F.element_at(limit, F.col("strategy")))
-    delta = 0.2 + draw(F.col("pair_id"), F.col("cand"), seed=seed) * (168 - 0.2)
-    kept = kept.withColumn("delta_hours", delta)
-    return kept.select("pair_id", "src_id", F.col("cand").alias("dst_id"), "strategy", "delta_hours", add_hours(F.col("src_ts"), F.col("delta_hours")).alias("dst_ts"))
+    spots = places.select("id", "lat", "lon")
+    numbers, sizes = numbered(spots.select(F.lit(0).alias("_all"), F.col("id").alias("cand")), ["_all"], "cand", seed)
+    ends = pairs
+    for end in ("src", "dst"):
+        ends = ends.join(spots.select(F.col("id").alias(f"{end}_id"), F.col("lat").alias(f"_{end}_lat"), F.col("lon").alias(f"_{end}_lon")), f"{end}_id")
+    positive = haversine_km(F.col("_src_lat"), F.col("_src_lon"), F.col("_dst_lat"), F.col("_dst_lon"))
+    asked = ends.crossJoin(F.broadcast(sizes.select("size"))).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    asked = asked.withColumn("place", F.pmod(F.xxhash64("pair_id", "_try", F.lit(seed)), F.col("size")))
+    found = asked.join(numbers.select("place", F.col("cand").alias("id")).join(spots, "id"), "place").where("id <> src_id and id <> dst_id")
+    km = haversine_km(F.col("_src_lat"), F.col("_src_lon"), F.col("lat"), F.col("lon"))
+    found = found.withColumn("_fits", distance_band(positive, km)).withColumn("_km", km)
+    best = found.groupBy("pair_id").agg(F.min(F.struct((~F.col("_fits")).alias("unfit"), "_try", "id", "_km")).alias("_b"))
+    return best.select("pair_id", F.col("_b.id").alias("neg_id"), F.when(F.col("_b.unfit"), 0.0).otherwise(F.col("_b._km")).alias("distance_km"), (~F.col("_b.unfit")).alias("matched"))
 
 
 def candidate_union(sources: list[DataFrame], key: str, item: str, order: str, caps: list[int | None], most: int = 100) -> DataFrame:

@@ -31,6 +31,21 @@ def consecutive_pairs(
     return pairs.where((F.col("delta_hours") > above) & (F.col("delta_hours") <= until))
 
 
+def user_sequences(reviews: DataFrame, places: DataFrame) -> DataFrame:
+    """The reviews (user_id, item, ts, rating, tie) of known places (id, category, lat, lon) as visits in the users' order."""
+    rows = reviews.join(places.select(F.col("id").alias("item"), "category", "lat", "lon"), "item")
+    return sequence(rows, "user_id", "ts", ["tie"]).select("user_id", "seq_idx", "item", "ts", "category", "lat", "lon", "rating", "tie")
+
+
+def retention(before: DataFrame, after: DataFrame, user: str | None = None) -> DataFrame:
+    """One row: how many rows (and users) there were, are left and are gone, and the share left in percent."""
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias(f"n_{name}"), *([F.count_distinct(user).alias(f"users_{name}")] if user else []))
+
+    out = counts(before, "before").crossJoin(F.broadcast(counts(after, "after")))
+    return out.withColumns({"n_removed": F.col("n_before") - F.col("n_after"), "pct_left": F.try_divide(100.0 * F.col("n_after"), F.col("n_before"))})
+
+
 def transitions(pairs: DataFrame, src: str, dst: str) -> DataFrame:
     """How often src is followed by dst, and that count's share of src's (a first-order next-item scorer)."""
     counts = pairs.groupBy(src, dst).agg(F.count("*").alias("n"))

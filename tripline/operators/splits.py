@@ -35,9 +35,9 @@ def users_by_time(
 
 
 def rows_by_place(df: DataFrame, inside: Column, keys: list[str], shares: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
-    """Rows that the box holds are test. The rest is split by time: up to the first share train, up to both val, and test."""
+    """Rows that the box holds are test, and no others. The rest is split by time in train and val, in the proportion of the shares."""
     here = F.coalesce(inside, F.lit(False))
-    rest = rows_by_time(df.where(~here), keys, shares)
+    rest = rows_by_time(df.where(~here), keys, (shares[0] / sum(shares),), ("train", "val"))
     return rest.unionByName(df.where(here).withColumn("split", F.lit("test")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripline.operators.relational import row_index
+
 PAD, UNK, SPECIAL = 0, 1, ("<PAD>", "<UNK>")
 
 
@@ -16,9 +18,9 @@ def frequent(df: DataFrame, column: str, most: int = 20_000) -> DataFrame:
 
 
 def sorted_values(df: DataFrame, column: str) -> DataFrame:
-    """token, idx (from 2) of the distinct values in order; meant for few values."""
+    """token, idx (from 2) of the distinct values in order."""
     found = df.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
-    return found.withColumn("idx", F.row_number().over(Window.orderBy("token")).cast("long") + 1)
+    return row_index(found, ["token"], "idx").select("token", (F.col("idx") + 2).cast("long").alias("idx"))
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, name: str = "idx") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripline.functions import geo, lists, text
 from tripline.functions import time as t
 from tripline.operators import features, geo_join, profiles, sampling
-from tripline.plans.visits import events, pairs, query
+from tripline.plans.visits import PAIRS, events, pairs, query
 from tripline.sources.readers import table
 
 
@@ -30,9 +30,17 @@ def km(a: str, b: str) -> str:
     )
 
 
-@query(f"""SELECT a.id AS src_id, b.id AS dst_id, round({km('a', 'b')}, 4) AS distance_km FROM {PLACES} a JOIN {PLACES} b ON a.id <> b.id AND {km('a', 'b')} <= 10""")
+#: The places drawn together to a quarter of their distances.
+DENSE = f"(SELECT id, 33 + (lat - 33) / 4 AS lat, -85 + (lon + 85) / 4 AS lon, balance FROM {PLACES})"
+
+
+def dense_places(spark: SparkSession, d: str) -> DataFrame:
+    return places(spark, d).withColumns({"lat": 33 + (F.col("lat") - 33) / 4, "lon": -85 + (F.col("lon") + 85) / 4})
+
+
+@query(f"""SELECT a.id AS src_id, b.id AS dst_id, round({km('a', 'b')}, 4) AS distance_km FROM {DENSE} a JOIN {DENSE} b ON a.id <> b.id AND {km('a', 'b')} <= 10""")
 def radius_join(spark, d):
-    p = places(spark, d)
+    p = dense_places(spark, d)
     return geo_join.radius_join(p, p, "id", 10.0).select("src_id", "dst_id", F.round("distance_km", 4).alias("distance_km"))
 
 
@@ -310,7 +318,7 @@ def interaction_features(spark, d):
 
 
 @query(f"""SELECT id, round(balance2 - balance, 4) AS price_diff, balance2 > balance AS is_price_upgrade, balance2 = balance AS same_price_level, round({km('n', 'm')} * (balance2 - balance), 2) AS distance_x_diff,
-    (id % 2 = 0 AND id % 3 = 0) OR (id % 5 = 0) AS service_match, id % 2 <> 0 AND id % 3 = 0 AS dst_adds_delivery, abs(id % 10 / 10.0 - id % 7 / 10.0) < 0.2 AS near_topic
+    (id % 2 = 0) = (id % 3 = 0) AS service_match, id % 2 <> 0 AND id % 3 = 0 AS dst_adds_delivery, abs(id % 10 / 10.0 - id % 7 / 10.0) < 0.2 AS near_topic
     FROM (SELECT *, struct_pack(lat, lon) AS n, struct_pack(lat := lat2, lon := lon2) AS m FROM {NEXT})""")
 def pair_features(spark, d):
     k = F.col("id")
@@ -336,12 +344,51 @@ def hash_sample(spark, d):
 
 @query()
 def hybrid_negatives(spark, d):
-    p = places(spark, d)
+    return sampling.hybrid_negatives(*sampled_pairs(spark, d))
+
+
+VISITED = f"""(SELECT src_event_id AS pair_id, src_event_id % n AS src_id, dst_event_id % n AS dst_id FROM {PAIRS}, (SELECT count(*) AS n FROM supplier)
+    WHERE delta_hours > 0 AND delta_hours <= 168 AND src_event_id % n <> dst_event_id % n)"""
+
+
+@query(f"""WITH near AS (SELECT a.id AS src_id, b.id AS dst_id FROM {DENSE} a JOIN {DENSE} b ON a.id <> b.id AND {km('a', 'b')} <= 10),
+    p AS (SELECT v.*, (SELECT count(*) FROM near n WHERE n.src_id = v.src_id) AS k, EXISTS (SELECT 1 FROM near n WHERE n.src_id = v.src_id AND n.dst_id = v.dst_id) AS hit FROM {VISITED} v)
+    SELECT count(*) AS pairs, sum(least(2, k - hit::INT))::BIGINT AS near, true AS some_category, true AS some_related, 0::BIGINT AS repeated, 0::BIGINT AS destinations, 0::BIGINT AS sources,
+        0::BIGINT AS far, 0::BIGINT AS unrelated, 0::BIGINT AS other_category, 0::BIGINT AS late FROM p""")
+def negative_counts(spark, d):
+    """What holds of hybrid_negatives, however they are drawn: numbers, and how many break a rule."""
+    rows, p = sampled_pairs(spark, d)
+    found = sampling.hybrid_negatives(rows, p).withColumnRenamed("dst_id", "neg_id")
+    found = found.join(rows.select("pair_id", "dst_id", "src_ts"), "pair_id")
+    for end in ("src", "neg"):
+        found = found.join(p.select(*[F.col(c).alias(f"{end}_{c}") for c in p.columns]), f"{end}_id")
+    dist = geo.haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("neg_lat"), F.col("neg_lon"))
+    near, related, same = (F.col("strategy") == x for x in ("near", "related", "category"))
+    counts = found.agg(
+        F.count_if(near).alias("near"), (F.count_if(same) > 0).alias("some_category"), (F.count_if(related) > 0).alias("some_related"),
+        (F.count("*") - F.count_distinct("pair_id", "neg_id")).alias("repeated"), F.count_if(F.col("neg_id") == F.col("dst_id")).alias("destinations"),
+        F.count_if(~related & (F.col("neg_id") == F.col("src_id"))).alias("sources"), F.count_if(near & (dist > 10)).alias("far"),
+        F.count_if(related & ~F.array_contains(F.col("src_relative_results"), F.col("neg_id"))).alias("unrelated"),
+        F.count_if(same & (F.col("src_category") != F.col("neg_category"))).alias("other_category"),
+        F.count_if(~F.col("delta_hours").between(0.2, 168) | (t.hours_between(F.col("src_ts"), F.col("dst_ts")) > 168.01)).alias("late"),
+    )
+    return rows.agg(F.count("*").alias("pairs")).crossJoin(counts)
+
+
+def sampled_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Consecutive events as pairs of the dense places, and these with a category and related places."""
+    p = dense_places(spark, d)
     n = p.count()
-    related = F.array(*[((F.col("id") * m + 7) % n + 1).alias("x") for m in (3, 5, 11)])
+    related = F.array(*[((F.col("id") * m + 7) % n).alias("x") for m in (3, 5, 11)])
     p = p.withColumns({"category": (F.col("id") % 5).cast("string"), "relative_results": related})
-    rows = pairs(spark, d).select(F.col("src_event_id").alias("pair_id"), (F.col("src_event_id") % n + 1).alias("src_id"), (F.col("dst_event_id") % n + 1).alias("dst_id"), "src_ts")
-    return sampling.hybrid_negatives(rows.where("src_id <> dst_id"), p)
+    rows = pairs(spark, d).select(F.col("src_event_id").alias("pair_id"), (F.col("src_event_id") % n).alias("src_id"), (F.col("dst_event_id") % n).alias("dst_id"), "src_ts")
+    return rows.where("src_id <> dst_id"), p
+
+
+@query()
+def distance_matched(spark, d):
+    rows, p = sampled_pairs(spark, d)
+    return sampling.distance_matched(rows, p).withColumn("distance_km", F.round("distance_km", 4))
 
 
 @query(f"""WITH near AS (SELECT a.id AS src, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2), b.id) AS r, 0 AS p FROM {PLACES} a JOIN {PLACES} b

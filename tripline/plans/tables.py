@@ -83,11 +83,12 @@ def two_column_ids(spark, d):
     return relational.ids_of_both(rows, "c_nationkey", "s_nationkey").where("id is not null")
 
 
-@query("""SELECT p_partkey, (p_type = 'ECONOMY')::INT AS "p_type_ECONOMY", (p_type = 'PROMO')::INT AS "p_type_PROMO", (p_type = 'STANDARD')::INT AS "p_type_STANDARD" FROM part""")
+@query("""SELECT event_id, replace(array_to_string(list_transform((SELECT list_sort(list(DISTINCT event_type)) FROM events WHERE value < 100 AND event_type <> 'view'), lambda t: (t = event_type)::INT::VARCHAR), ''), ' ', '') AS flags FROM events""")
 def one_hot(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_type")
-    seen = set(relational.seen_values(rows, "p_type")) | {"ECONOMY", "PROMO", "STANDARD"}
-    return relational.one_hot(rows, "p_type", sorted(seen & {"ECONOMY", "PROMO", "STANDARD"})).drop("p_type")
+    train = events(spark, d).where("value < 100 and event_type <> 'view'")
+    seen = relational.seen_values(train, "event_type")
+    rows = relational.one_hot(events(spark, d), "event_type", seen)
+    return rows.select("event_id", F.concat(*[F.col(f"event_type_{v}").cast("string") for v in seen]).alias("flags"))
 
 
 @query("SELECT o_orderkey AS id, floor(o_totalprice)::INT AS price, o_orderstatus AS status, 1 AS label FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 200000 AND o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('P')")
@@ -140,10 +141,10 @@ def scalar_summary(spark, d):
     )
 
 
-@query("SELECT user_id, event_type, list_contains(l, event_type) AS in_list FROM events JOIN (SELECT user_id % 7 AS k, list_sort(list_distinct(list(event_type))) AS l FROM events WHERE event_id < 40 GROUP BY k) ON k = user_id % 7")
+@query("SELECT user_id, event_type, list_contains(l, event_type) AS in_list FROM events JOIN (SELECT user_id % 7 AS k, list_sort(list_distinct(list(event_type))) AS l FROM events WHERE value > 150 GROUP BY k) ON k = user_id % 7")
 def array_member_join(spark, d):
     rows = events(spark, d).withColumn("k", F.col("user_id") % 7)
-    side = rows.where("event_id < 40").groupBy("k").agg(F.sort_array(F.collect_set("event_type")).alias("l"))
+    side = rows.where("value > 150").groupBy("k").agg(F.sort_array(F.collect_set("event_type")).alias("l"))
     return rows.join(side, "k").select("user_id", "event_type", lists.member(F.col("l"), F.col("event_type")).alias("in_list"))
 
 
@@ -172,14 +173,16 @@ def provenance_flags(spark, d):
     return rows.withColumns(export.provenance()).select("doc_id", "source_has_metadata", "dest_has_metadata", "is_self_prediction")
 
 
-@query("""WITH u AS (SELECT user_id, avg(value) AS v, count(*) AS n, max(value) > 90 AS f FROM events GROUP BY user_id)
-    SELECT a.user_id, round((greatest(0, 1 - abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1e-9)) + (1 - abs(a.n - b.n) / greatest(a.n, b.n, 1e-9)) + (a.f = b.f)::INT) / 3, 6) AS similarity
+@query("""WITH u AS (SELECT user_id, avg(value) AS v, count(*) AS n, max(value) > 250 AS f, avg(value) FILTER (event_type = 'error' AND value > 60) AS s FROM events GROUP BY user_id)
+    SELECT a.user_id, round((1 - abs(a.v - b.v) / (abs(a.v) + abs(b.v) + 1e-6) + 1 - abs(a.n - b.n) / (a.n + b.n + 1e-6) + (a.f = b.f)::INT
+        + coalesce(1 - abs(a.s - b.s) / (abs(a.s) + abs(b.s) + 1e-6), 0)) / (3 + (a.s IS NOT NULL AND b.s IS NOT NULL)::INT), 6) AS similarity
     FROM u a JOIN u b ON b.user_id = a.user_id + 1""")
 def user_similarity(spark, d):
-    users = events(spark, d).groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").alias("n"), (F.max("value") > 90).alias("f"))
-    other = users.select((F.col("user_id") - 1).alias("user_id"), *[F.col(c).alias(f"o_{c}") for c in "vnf"])
+    users = events(spark, d).groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").alias("n"), (F.max("value") > 250).alias("f"),
+        F.avg(F.when((F.col("event_type") == "error") & (F.col("value") > 60), F.col("value"))).alias("s"))
+    other = users.select((F.col("user_id") - 1).alias("user_id"), *[F.col(c).alias(f"o_{c}") for c in "vnfs"])
     both = users.join(other, "user_id")
-    value = profiles.user_similarity({c: F.col(c) for c in "vnf"}, {c: F.col(f"o_{c}") for c in "vnf"}, ["v", "n"], ["f"])
+    value = profiles.user_similarity({c: F.col(c) for c in "vnfs"}, {c: F.col(f"o_{c}") for c in "vnfs"}, ["v", "n", "s"], ["f"])
     return both.select("user_id", F.round(value, 6).alias("similarity"))
 
 
@@ -228,7 +231,7 @@ def recall_mrr(spark, d):
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY label DESC, rank) AS ideal FROM {RANKED} WHERE rank <= 5),
     q AS (SELECT sum(label / log2(rank + 1)) AS dcg, sum(label / log2(ideal + 1)) AS idcg FROM r GROUP BY l_orderkey)
-    SELECT round(avg(dcg / idcg), 6) AS ndcg_at_5, count(*) AS n_queries FROM q WHERE idcg > 0""")
+    SELECT round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS ndcg_at_5, count(*) AS n_queries FROM q""")
 def ndcg(spark, d):
     return ranking.ndcg(ranking_frame(spark, d), "l_orderkey", "label", 5).withColumn("ndcg_at_5", F.round("ndcg_at_5", 6))
 
@@ -257,11 +260,26 @@ def per_class_metrics(spark, d):
     return found.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("""SELECT grp, count(*) AS n, round(sum(score), 4) AS total FROM (SELECT p_retailprice AS score, ['spatial','quality','temporal','price','spatial','user_behavior','topics','service_options'][p_partkey % 8 + 1] AS grp FROM part) GROUP BY grp""")
+@query("""SELECT grp, count(*) AS n, round(sum(score), 4) AS total FROM (SELECT p_retailprice AS score, ['spatial','quality','temporal','price','spatial','user_behavior','topics','service_options',
+    'category','review_sentiment','user_behavior','temporal','temporal','cuisine_complementarity','operating_hours','review_sentiment','spatial','relationship','price','quality','spatial','user_behavior'][p_partkey % 22 + 1] AS grp
+    FROM part) GROUP BY grp""")
 def importance_groups(spark, d):
-    names = ["distance_km", "distance_x_dst_rating", "src_hour", "price_diff", "rating_ratio", "user_loyalty_score", "topic_similarity_count", "dst_has_takeout"]
-    scores = table(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey") % 8).alias("feature"), F.col("p_retailprice").alias("score"))
-    return ranking.named_importance(scores, names).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    names = [
+        "distance_km", "distance_x_dst_rating", "src_hour", "price_diff", "rating_ratio", "user_loyalty_score", "topic_similarity_count", "dst_has_takeout",
+        "cuisine_pair_type", "dst_avg_review_length", "user_is_explorer", "is_meal_progression", "hours_overlap", "is_progression", "dst_is_24hr", "sentiment_match_score",
+        "unknown_thing", "is_in_relative_results", "price_x_rating", "dst_is_highly_rated", "same_cat_x_distance", "user_pref_x_dst_rating",
+    ]
+    scores = table(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey") % 22).alias("feature"), F.col("p_retailprice").alias("score"))
+    found = ranking.group_importance(ranking.named_importance(scores, names))
+    return found.select("grp", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'f9' ELSE ['distance_km', 'price_diff'][p_partkey % 3] END AS feature, p_retailprice AS score FROM part ORDER BY score DESC, feature LIMIT 20""")
+def top_features(spark, d):
+    part = F.when(F.col("p_partkey") % 3 == 0, 9).otherwise(F.col("p_partkey") % 3 - 1)
+    scores = table(spark, d, "part").select(F.concat(F.lit("f"), part).alias("feature"), F.col("p_retailprice").alias("score"))
+    named = ranking.named_importance(scores, ["distance_km", "price_diff"])
+    return ranking.top_features(named).select("feature", "score")
 
 
 EXPLODED = "(SELECT vec_id, label, unnest(range(1, 65))::INT AS rank, unnest(range(64)) AS item, unnest(embedding)::DOUBLE AS score FROM embeddings)"
@@ -334,7 +352,7 @@ def nested_topk_json(spark, d):
     return export.nested_top_k(ranking_frame(spark, d).where("rank <= 3"), "l_orderkey", ["l_partkey"])
 
 
-@query(f"""SELECT l_suppkey AS src_id, l_partkey AS dst_id, round(p, 6) AS transition_probability, rank::INT AS rank FROM (SELECT l_suppkey, l_partkey, exp(s) / sum(exp(s)) OVER (PARTITION BY l_suppkey) AS p,
+@query(f"""SELECT l_suppkey AS src_id, l_partkey AS dst_id, round(s, 6) AS transition_probability, rank::INT AS rank FROM (SELECT l_suppkey, l_partkey, s,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY s DESC, l_partkey) AS rank FROM (SELECT l_suppkey, l_partkey, count(*)::DOUBLE AS s FROM lineitem GROUP BY ALL)) WHERE rank <= 10""")
 def transition_matrix(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("dst_id")).agg(F.count("*").cast("double").alias("n"))
@@ -352,7 +370,7 @@ def export_with_places(spark, d):
         F.col("s_nationkey").cast("string").alias("category"),
     )
     rows = place.select(F.col("idx").alias("source_idx"), F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("dest_idx"))
-    out = export.with_places(rows, place)
+    out = export.with_places(rows.join(place.select(F.col("idx").alias("dest_idx")), "dest_idx", "left_semi"), place)
     return out.select("source_idx", "dest_idx", F.round("link_distance_km", 3).alias("link_distance_km"), "same_main_category", "is_self_prediction", "category_pair_key")
 
 

@@ -132,13 +132,13 @@ def loyalty_share(spark, d):
     return found.withColumn("loyalty_score", F.round("loyalty_score", 6))
 
 
-@query("""WITH u AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k, avg(value) AS v FROM events GROUP BY user_id),
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k, count(DISTINCT floor(value)) AS v FROM events GROUP BY user_id),
     m AS (SELECT median(n) AS mn, median(k) AS mk, median(v) AS mv FROM u)
-    SELECT user_id, n > mn AS is_frequent, k > mk AS is_diverse, v > mv AS has_high_standards,
+    SELECT user_id, n > mn AS is_frequent, k > mk AS is_diverse, v > mv AS is_explorer,
         CASE WHEN n < 0.5 * mn THEN 'low' WHEN n > 2 * mn THEN 'high' ELSE 'medium' END AS frequency_bucket FROM u, m""")
 def median_flags(spark, d):
-    users = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("k"), F.avg("value").alias("v"))
-    flags = {"is_frequent": "n", "is_diverse": "k", "has_high_standards": "v"}
+    users = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("k"), F.count_distinct(F.floor("value")).alias("v"))
+    flags = {"is_frequent": "n", "is_diverse": "k", "is_explorer": "v"}
     return profiles.median_flags(users, flags, "n").select("user_id", *flags, "frequency_bucket")
 
 
@@ -202,8 +202,8 @@ def split_users_temporal(spark, d):
     return splits.users_by_time(events(spark, d), "user_id", "ts").select("event_id", "split")
 
 
-@query("""SELECT o_orderkey, split FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'test' WHEN i < floor(n * 0.7) THEN 'train'
-        WHEN i < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM (
+@query("""SELECT o_orderkey, split FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'test' WHEN i < floor(n * 0.7 / 0.85 + 1e-6) THEN 'train'
+        ELSE 'val' END AS split FROM (
     SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey) - 1 AS i,
         count(*) OVER (PARTITION BY o_orderstatus = 'F') AS n FROM orders))""")
 def split_rows_geo(spark, d):

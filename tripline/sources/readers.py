@@ -65,20 +65,21 @@ def clean_places(raw: DataFrame, south: float = 30.0, north: float = 35.5, west:
 
     families = text.category_families(F.col("category"))
     rows = raw.where(F.col("gmap_id").isNotNull() & geo.in_box(F.col("latitude"), F.col("longitude"), south, north, west, east))
-    rows = rows.withColumns({"_families": families, "_hours": time.parse_hours(F.col("hours")), "_services": lists.service_flags(F.col("MISC"))})
+    rows = rows.withColumns({"_families": families, "_services": lists.service_flags(F.col("MISC"))})
     out = rows.select(
         "gmap_id", text.strip(F.col("name")).alias("name"), F.col("latitude").cast("float").alias("lat"), F.col("longitude").cast("float").alias("lon"),
         text.main_family(F.col("_families")).alias("category_main"), F.col("_families").alias("category_all"),
         F.col("avg_rating").cast("float").alias("avg_rating"), F.col("num_of_reviews").alias("num_reviews"),
         text.price_bucket(F.col("price")).alias("price_bucket"), text.contains_word(F.col("state"), "closed").alias("is_closed"),
-        "relative_results", F.col("_hours.parsed").alias("hours"), F.col("_hours.days_open").alias("days_open"),
-        F.col("_hours.avg_hours").alias("avg_hours"), F.col("_hours.late_night").alias("has_late_night"),
-        F.col("_hours.open_24h").alias("is_24hr"), F.col("_hours.weekend_only").alias("is_weekend_only"),
-        F.col("_services.delivery").alias("has_delivery"), F.col("_services.takeout").alias("has_takeout"),
+        "relative_results", "hours", F.col("_services.delivery").alias("has_delivery"), F.col("_services.takeout").alias("has_takeout"),
         F.col("_services.dinein").alias("has_dinein"), F.col("_services.reservations").alias("accepts_reservations"),
         F.col("_services.quick_visit").alias("has_quick_visit"), F.col("_services.requires_mask").alias("requires_mask"),
     )
-    return dedup(out.where("category_main is not null").drop("hours"), ["gmap_id"], [F.col("name")])
+    out = dedup(out.where("category_main is not null"), ["gmap_id"], [F.col("name")])
+    # Parsed hours are a map, which has no order: they are parsed when each place has one row.
+    parsed = {"hours": "parsed", "days_open": "days_open", "avg_hours": "avg_hours", "has_late_night": "late_night", "is_24hr": "open_24h", "is_weekend_only": "weekend_only"}
+    out = out.withColumn("_hours", time.parse_hours(F.col("hours")))
+    return out.withColumns({c: F.col(f"_hours.{x}") for c, x in parsed.items()}).drop("_hours")
 
 
 def refine_category(places: DataFrame) -> DataFrame:

@@ -41,10 +41,20 @@ def summary_json(df: DataFrame, scalars: dict, top: DataFrame) -> DataFrame:
     return df.agg(*[c.alias(k) for k, c in scalars.items()]).crossJoin(rows).select(F.to_json(F.struct("*")).alias("value"))
 
 
+def _files(df: DataFrame) -> list[str]:
+    spark = df.sparkSession
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return out
+
+
 def cached(build: Callable[[], DataFrame], path: str, inputs: list[DataFrame], refresh: bool = False) -> DataFrame:
-    """What build gives, kept as Parquet below the path under a name made from the inputs' plans; built again only if refresh is set or
-    another input comes."""
-    marks = [str(sorted(x.inputFiles())) + str(x.schema.json()) for x in inputs]
+    """What build gives, kept as Parquet below the path under a name made from the inputs' plans and their files' names, sizes and times;
+    built again only if refresh is set or another input comes."""
+    marks = [f"{x.semanticHash()} {_files(x)} {x.schema.json()}" for x in inputs]
     place = f"{path}/{hashlib.sha256('|'.join(marks).encode()).hexdigest()[:16]}"
     spark = inputs[0].sparkSession
     if not refresh:
