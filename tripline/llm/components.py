@@ -11,21 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripline.llm.common import stored
+from tripline.llm.common import drop, kept, stored
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows, one for each key, dealt out anew, so that a join on the key has a shuffle on both sides."""
+    return df.repartition(F.xxhash64(key))
 
 
 def least_of_key(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """The least value of each key, dealt out anew, so that a join with it has a shuffle on both sides."""
-    return df.groupBy(key).agg(F.min(value).alias(name)).repartition(name)
+    return dealt(df.groupBy(key).agg(F.min(value).alias(name)), key)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and label (the least id of its component) of every node of the edges (a, b).
 
     Alternating stars: every node hands its larger neighbours, then its smaller ones, to the least of them, until nothing
-    changes. Every round is written in the shared folder.
+    changes. Every round is written in the shared folder, and the one before removed.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         smaller = least_of_key(large, "a", "b", "m")
         small = large.join(smaller, "a")
         down = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(down.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now, new = kept(down.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(spark, path)
+        path = new
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == state:
             roots = now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
@@ -43,45 +50,73 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_groups(
-    members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+    members: DataFrame,
+    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    edges: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Labels of the components that result if all pairs which share a bucket (bucket, id, mark) and are near are given to
-    verify; None if nothing is linked.
-
-    near compares the marks of two members; verify gets candidate pairs (a, b) and returns those that are linked. Pairs
-    whose ends are known to be in one component need no check. In each round every bucket that still holds several components
-    names pivots, from its smallest ones; a pivot is held against the members of other components in all its buckets, and leaves
-    them. The number of pivots grows by the round, so that few rounds end the work however the links lie; the pairs looked at are
-    never more than those across components.
+    """Labels of the components that result if all pairs which share a bucket (bucket, id, and marks in further columns) and are near
+    are given to verify, together with edges (a, b) that are known; None if nothing is linked.
+
+    near compares the marks of two members, which it gets by name; verify gets candidate pairs (a, b) and returns those that are linked.
+    Pairs whose ends are known to be in one component need no check. First, twice, the members of a third of the buckets are held against
+    one of them, which joins most of what is linked and makes no more pairs than there are members. Then in each round every bucket that still holds several components names pivots, from its smallest ones; a pivot is held against the
+    members of other components in all its buckets, and leaves them. The number of pivots grows by the round, so that few rounds end
+    the work however the links lie; the pairs looked at are never more than those across components.
     """
-    edges, labels, pivots_each = None, None, 1
+    spark, labels, pivots_each, stars = members.sparkSession, None, 4, 2
+    columns = members.columns
+    if edges is not None and not (edges := stored(edges, "links")).isEmpty():
+        labels = stored(components(edges), "labels")
+    else:
+        edges = None
+    members, path = kept(members, "members")
+
+    def against(pivots: DataFrame, now: DataFrame, other: Column) -> DataFrame:
+        """Near pairs of a bucket's pivots and members of other components."""
+        its = pivots.select(*[F.col(c).alias(f"its_{c}") for c in pivots.columns])
+        close = near(lambda c: F.col(f"its_{c}"), lambda c: F.col(c))
+        pairs = its.join(now, (F.col("its_bucket") == F.col("bucket")) & other & close)
+        return pairs.select(F.least("its_id", "id").alias("a"), F.greatest("its_id", "id").alias("b")).distinct()
+
     while True:
         if labels is None:
             now = members.withColumn("label", F.col("id"))
         else:
-            now = members.join(labels.repartition("label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            now = members.join(dealt(labels, "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        now = stored(now.join(several.select("bucket").repartition(F.xxhash64("bucket")), "bucket", "left_semi"), "members")
+        now, new_path = kept(now.join(dealt(several.select("bucket"), "bucket"), "bucket", "left_semi"), "members")
+        drop(spark, path)
+        path = new_path
         if now.isEmpty():
             return labels
-        sized = now.withColumn("n", F.lit(1).cast("long"))
-        if labels is not None:
-            sizes = now.select("label", "id").distinct().groupBy("label").agg(F.count("*").alias("n")).repartition("n")
-            sized = now.join(sizes, "label")
         # Of each slot one of the smallest components. A pivot is one in all its buckets, so that no pair is looked at again.
-        slot = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
-        sized = sized.withColumn("draw", F.xxhash64("id", F.lit(-pivots_each)))
-        least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min_by("id", "draw").alias("id"))
-        chosen = least.groupBy("bucket", "slot").agg(F.min_by("id", "n").alias("id")).select("id").distinct()
-        chosen = stored(chosen, "pivots")
-        pivots = now.join(chosen, "id", "left_semi").select(
-            F.col("bucket").alias("at"), F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("mark").alias("its_mark")
-        )
-        pairs = pivots.join(now, (F.col("at") == F.col("bucket")) & (F.col("other") != F.col("label")) & near(F.col("its_mark"), F.col("mark")))
-        pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-        new = stored(verify(stored(pairs, "pairs")).select("a", "b").distinct(), "links")
+        sized = now.select("bucket", "id", "label", F.xxhash64("id", F.lit(stars - pivots_each)).alias("draw"))
+        star = stars > 0
+        if star:
+            chosen = sized.where(F.pmod("bucket", F.lit(3)) == stars).groupBy("bucket").agg(F.min_by("id", "draw").alias("id"))
+            chosen, chosen_path = kept(chosen, "pivots")
+            pivots = now.join(dealt(chosen, "bucket"), ["bucket", "id"], "left_semi")
+        else:
+            if labels is not None:
+                sizes = now.select("label", "id").distinct().groupBy("label").agg(F.count("*").alias("n"))
+                sized = sized.join(dealt(sizes, "label"), "label")
+            else:
+                sized = sized.withColumn("n", F.lit(1).cast("long"))
+            slot = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
+            least = sized.groupBy("bucket", slot.alias("slot"), "n").agg(F.min_by("id", "draw").alias("id"))
+            chosen = least.groupBy("bucket", "slot").agg(F.min_by("id", "n").alias("id")).select("id").distinct()
+            chosen, chosen_path = kept(chosen, "pivots")
+            pivots = now.join(dealt(chosen, "id"), "id", "left_semi")
+        pairs, pairs_path = kept(against(pivots, now, F.col("its_label") != F.col("label")), "pairs")
+        new = stored(verify(pairs).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = stored(components(edges), "labels")
-        members = now.join(chosen, "id", "left_anti").select("bucket", "id", "mark")
-        pivots_each *= 4 if pivots_each == 1 else 8
+        members = now.select(*columns)
+        if not star:
+            members, old = kept(members.join(dealt(chosen, "id"), "id", "left_anti").select(*columns), "members")
+            drop(spark, path)
+            path = old
+        drop(spark, pairs_path, chosen_path)
+        stars, pivots_each = (stars - 1, pivots_each) if star else (0, pivots_each * 8)
