@@ -4,19 +4,22 @@ A byte is removed if a string of ``length`` bytes that covers it also starts in
 UTF-8 bytes; strings never cross documents and are judged on the input.
 
 1. Documents are gathered into shards, which are written as files in the shared folder. Every string has an anchor, its
-   substring of ``GRAM`` bytes of the least hash, so equal strings have equal anchors at equal places. Hashes of anchors are
-   dealt out by their first bits, and those that occur in one document only are ruled out.
-2. For every other anchor a shard sends its distinct contexts (the bytes of all strings that have the anchor) with the least
-   doc_id to the anchor's shard of contexts. There, contexts that differ are put in a suffix array by Larsson-Sadakane
-   refinement (only suffixes that still tie are sorted again, by the rank of what follows), Kasai's algorithm gives the common
-   prefixes, and suffixes that agree on ``length`` bytes form one string, whose least doc_id decides.
-3. The decisions go back to the shards, which look their contexts up by binary search and mark the strings.
-
-No text is shuffled; what moves is four bytes for each anchor, and the contexts of those that repeat.
+   substring of ``GRAM`` bytes of the least hash, so equal strings have equal anchors at equal places. Bits of the anchors' hashes are
+   dealt out, and anchors that occur in one shard only are ruled out for what crosses shards.
+2. Every shard gets a suffix array by Larsson-Sadakane refinement (only suffixes that still tie are sorted again, by the rank of what
+   follows) and common prefixes by Kasai's algorithm. Suffixes that agree on ``length`` bytes are one string, which decides all repeats
+   within the shard. Of every anchor that other shards have too, the shard sends its distinct contexts (the bytes of all strings that
+   have the anchor), in the order of its suffix array and with the least doc_id, to the anchor's bucket.
+3. A bucket merges the shards' sorted contexts by binary search, comparing bytes. Contexts of one anchor that differ are put in a suffix
+   array of their own, so that the strings they share get their least doc_id too.
+4. The decisions go back to the shards, which mark the strings.
+
+Hashes only rule out; that strings are equal is decided by suffix order, common prefixes and bytes. No text is shuffled but the
+contexts of anchors that several shards have. Texts above ``shard_bytes`` are cut into pieces that overlap by length - 1
+bytes, and put together again at the end.
 
 Defined results: a null or empty text has no bytes; a null doc_id counts as greater than all others; rows that repeat a doc_id
-don't remove from each other; an empty table gives no rows; columns other than doc_id and text are not read. A
-document is never split, so a task needs about a hundred times the longest document's bytes of memory.
+don't remove from each other; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm.common import POWERS, Joined, batches, mixed, prefix_hash, read_file, shared_dir, span_hash, stored, table, text_bytes, write_file
+from tripline.llm.common import Joined, batches, mixed, read_file, shared_dir, small_batches, stored, table, tasks_for, text_bytes, write_file
 
 GRAM = 20
 LAST = np.iinfo(np.int64).max
 ALL = np.uint32(1 << 31)
+#: Files of the shared folder hold shards of about so many bytes.
+PACK_BYTES = 16 << 20
 
 
 def sliding(f: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
@@ -49,18 +55,34 @@ def sliding(f: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a big-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data), np.uint64)
+    for j in range(8):
+        word = (word << np.uint64(8)) | padded[j : j + len(data)]
+    return word
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the GRAM bytes at each place where so many are left; never 0."""
+    word = eight(data)
+    n = len(data) - GRAM + 1
+    h = mixed(word[:n])
+    for at in (8, GRAM - 8):
+        h = mixed((h ^ word[at : at + n]) * np.uint64(0x9E3779B97F4A7C15))
+    return h | np.uint64(1)
+
+
 class Anchors:
     """The anchors of a shard: place, hash, and the bytes from ``start`` to ``end`` that their strings cover."""
 
     def __init__(self, joined: Joined, length: int) -> None:
         data, width = joined.data, length - GRAM + 1
-        self.joined, self.length = joined, length
-        n = len(data) - GRAM + 1
-        if n < 1:
+        if len(data) < GRAM:
             data = np.concatenate([data, np.zeros(GRAM, np.uint8)])
-            n = len(data) - GRAM + 1
-        self.g = prefix_hash(data)
-        h = mixed((self.g[GRAM:] - self.g[:n]) * POWERS.get(len(self.g))[1][:n]) | np.uint64(1)
+        h = gram_hashes(data)
+        n = len(h)
         least = sliding(np.minimum, h, width)
         rest = np.repeat(joined.end, np.diff(np.concatenate([[0], joined.end + 1])))[:n] - np.arange(min(n, len(joined.data)))
         least[: len(rest)][rest < length] = 0  # no string starts here
@@ -84,13 +106,11 @@ class Anchors:
         self.end = (np.maximum.reduceat(last, cut) if len(cut) else cut) + length
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Sorted suffixes of the bytes by their first ``depth`` bytes at least, ties by place; zeros follow the end."""
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes of the bytes by their first ``depth`` bytes at least, ties by place; zeros follow the end. Also which of the sorted
+    suffixes may share ``depth`` bytes with another, as they tie in the last round of refinement."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + n]
+    word = eight(data)
     order = np.argsort(word).astype(np.int32)
     key = word[order]
     starts = np.concatenate([[True], key[1:] != key[:-1]])
@@ -99,7 +119,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n, dtype=np.int32), 0))
     del word, key
     span, tied = 8, np.flatnonzero(~(starts & np.concatenate([starts[1:], [True]])))
+    close = tied
     while span < depth and len(tied):
+        close = tied
         mine = order[tied]
         both = (rank[mine].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(mine + span, n)] + 1).astype(np.uint64)
         by = np.argsort(both)
@@ -111,22 +133,24 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         span *= 2
     mine = order[tied]  # what ties still is put in the order of the text
     order[tied] = mine[np.argsort((rank[mine].astype(np.uint64) << np.uint64(32)) | mine.astype(np.uint64))]
-    return order
+    several = np.zeros(n, bool)
+    several[close] = True
+    return order, several
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """Kasai: how many bytes, up to ``most``, each suffix shares with the one sorted before it (0 for the first).
+def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int, several: np.ndarray | None = None) -> np.ndarray:
+    """Kasai: how many bytes, up to ``most`` (255 at most), each suffix shares with the one sorted before it (0 for the first).
 
     What the suffix at p shares, that at p + 1 shares but for one byte; as order ends at some depth, that is only taken for
     granted below ``most``, or if the same neighbours follow. The runs of text from each of ``starts`` to the next are followed
-    side by side, each beginning anew.
+    side by side, each beginning anew. Sorted suffixes that several leaves out share less than ``most`` bytes with others; 0 stands for them.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(most, np.uint8)])
-    before = np.full(n, -1)
-    before[order[1:]] = order[:-1]
-    out, at, stop = np.zeros(n, np.int64), starts.copy(), np.append(starts[1:], n)
-    h = np.zeros(len(starts), np.int64)
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1] if several is None else np.where(several[1:] & several[:-1], order[:-1], -1)
+    out, at, stop = np.zeros(n, np.uint8), starts.astype(np.int32), np.append(starts[1:], n).astype(np.int32)
+    h = np.zeros(len(starts), np.int32)
     while len(at):
         q = before[at]
         h[q < 0] = 0
@@ -144,214 +168,343 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, mos
     return out
 
 
-def decide(anchor: np.ndarray, data: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
-    """For every context (of an anchor, its size and least doc_id; data has the bytes of all): which of its strings start in a
-    document before that least one, as bits; ALL if the context itself is in an earlier one."""
-    end = np.cumsum(size)
-    start = end - size
-    name = span_hash(prefix_hash(data), start, end) + anchor
-    _, first, same = np.unique(name, return_index=True, return_inverse=True)
-    doc = np.full(len(first), LAST)
-    np.minimum.at(doc, same, least)
-    out = np.where(doc[same] < least, ALL, np.uint32(0))
-    _, group, members = np.unique(anchor[first], return_inverse=True, return_counts=True)
-    mixed_up = np.flatnonzero(members[group] > 1)  # anchors with several contexts
-    if not len(mixed_up):
-        return out
-    some = first[mixed_up]
-    sizes = size[some]
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    text = data[np.arange(ends[-1]) + np.repeat(start[some] - starts, sizes)]
-    order = suffix_array(text, length)
-    shared = common_prefixes(text, order, starts, length)
-    cls = np.cumsum(shared[order] < length) - 1
-    place = np.empty(len(text), np.int64)
-    place[order] = cls
-    windows = sizes - length + 1
-    wend = np.cumsum(windows)
-    within = np.arange(wend[-1]) - np.repeat(wend - windows, windows)
-    owner = np.repeat(np.arange(len(some)), windows)
-    cls = place[starts[owner] + within]
-    earliest = np.full(int(cls.max()) + 1, LAST)
-    np.minimum.at(earliest, cls, doc[mixed_up][owner])
-    bits = np.where(earliest[cls] < doc[mixed_up][owner], np.uint32(1) << within.astype(np.uint32), np.uint32(0))
-    mask = np.zeros(len(first), np.uint32)
-    mask[mixed_up] = np.bitwise_or.reduceat(bits, wend - windows)
-    return out | np.where(out == 0, mask[same], np.uint32(0))
-
-
-def put_arrays(uri: str, **arrays: np.ndarray) -> str:
-    raw = io.BytesIO()
-    np.savez(raw, **arrays)
-    write_file(uri, zstandard.ZstdCompressor(level=1).compress(raw.getvalue()))
-    return uri
-
-
-def get_arrays(uri: str) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(read_file(uri))
+def string_classes(data: np.ndarray, length: int, stretch: int = 128) -> np.ndarray:
+    """Of each place the number of the ``length`` bytes that start there, in sorted order: equal numbers, equal bytes."""
+    order, several = suffix_array(data, length)
+    shared = common_prefixes(data, order, np.arange(0, len(data), stretch), length, several)
+    out = np.empty(len(data), np.int32)
+    out[order] = np.cumsum(shared[order] < length, dtype=np.int32) - 1
+    return out
+
+
+def least_by(group: np.ndarray, n: int, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least known id of each group (LAST if there is none), and whether there is one."""
+    least, some = np.full(n, LAST), np.zeros(n, bool)
+    np.minimum.at(least, group[known], ids[known])
+    some[group[known]] = True
+    return least, some
+
+
+def earlier(least: np.ndarray, some: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether the least id is under the other one, where an unknown one is above all."""
+    return some & (~known | (least < ids))
+
+
+class Contexts:
+    """Sorted distinct contexts: keys (size and bytes), anchors, and least ids."""
+
+    def __init__(self, anchor: np.ndarray, data: np.ndarray, size: np.ndarray, least: np.ndarray, some: np.ndarray, width: int) -> None:
+        row = np.zeros((len(size), width + 1), np.uint8)
+        row[:, 0] = size
+        row[:, 1:][np.arange(width) < size[:, None]] = data
+        self.key, self.anchor, self.least, self.some = row.view(f"S{width + 1}").ravel(), anchor, least, some
+
+    def merge(self, other: Contexts) -> Contexts:
+        """Takes what the other one has; each of its keys is found by binary search."""
+        at = np.searchsorted(self.key, other.key)
+        same = self.key[np.minimum(at, len(self.key) - 1)] == other.key
+        mine = at[same]
+        self.least, self.some = self.least.copy(), self.some.copy()
+        self.least[mine] = np.minimum(self.least[mine], other.least[same])
+        self.some[mine] |= other.some[same]
+        new = ~same
+        for name in ("key", "anchor", "least", "some"):
+            setattr(self, name, np.insert(getattr(self, name), at[new], getattr(other, name)[new]))
+        return self
+
+
+def decide(blocks: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray]:
+    """For the contexts of each shard (anchor, bytes of all, size, least id, whether there is one; sorted by size and bytes): which of
+    their strings start in a document before that least one, as bits; ALL if the context itself is in an earlier one."""
+    width = 2 * length - GRAM
+    given = [Contexts(*b, width) for b in blocks]
+    merged = [Contexts(*b, width) for b in blocks]
+    while len(merged) > 1:
+        merged = [x.merge(y[0]) if y else x for x, y in ((merged[i], merged[i + 1 : i + 2]) for i in range(0, len(merged), 2))]
+    found = merged[0]
+    mask = np.zeros(len(found.key), np.uint32)
+    _, group, members = np.unique(found.anchor, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(members[group] > 1)  # contexts of anchors that have several
+    if len(some):
+        rows = found.key[some].view(np.uint8).reshape(len(some), width + 1)
+        sizes = rows[:, 0].astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        text = rows[:, 1:][np.arange(width) < sizes[:, None]]
+        order, several = suffix_array(text, length)
+        shared = common_prefixes(text, order, starts, length, several)
+        place = np.empty(len(text), np.int32)
+        place[order] = np.cumsum(shared[order] < length, dtype=np.int32) - 1
+        windows = sizes - length + 1
+        wend = np.cumsum(windows)
+        within = np.arange(wend[-1]) - np.repeat(wend - windows, windows)
+        owner = np.repeat(np.arange(len(some)), windows)
+        cls = place[starts[owner] + within]
+        ids, known = found.least[some][owner], found.some[some][owner]
+        least, any_known = least_by(cls, int(cls.max()) + 1, ids, known)
+        bits = np.where(earlier(least[cls], any_known[cls], ids, known), np.uint32(1) << within.astype(np.uint32), np.uint32(0))
+        mask[some] = np.bitwise_or.reduceat(bits, wend - windows)
+    out = []
+    for x in given:
+        at = np.searchsorted(found.key, x.key)
+        out.append(np.where(earlier(found.least[at], found.some[at], x.least, x.some), ALL, mask[at]))
+    return out
+
+
+class Pack:
+    """Byte strings gathered into files of the shared folder; each has a name of its own at once."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.parts, self.held = folder, [], 0
+        self.begin()
+
+    def begin(self) -> None:
+        self.uri = f"{self.folder}/{os.urandom(12).hex()}.zst"
+
+    def add(self, **arrays: np.ndarray) -> str:
+        raw = io.BytesIO()
+        np.savez(raw, **arrays)
+        data = zstandard.ZstdCompressor(level=1).compress(raw.getvalue())
+        name = f"{self.uri}#{self.held}#{len(data)}"
+        self.parts.append(data)
+        self.held += len(data)
+        if self.held >= PACK_BYTES:
+            self.flush()
+        return name
+
+    def flush(self) -> None:
+        if self.parts:
+            write_file(self.uri, b"".join(self.parts))
+        self.parts, self.held = [], 0
+        self.begin()
+
+
+def get_arrays(name: str) -> dict[str, np.ndarray]:
+    uri, start, size = name.rsplit("#", 2)
+    raw = zstandard.ZstdDecompressor().decompress(read_file(uri, int(start), int(size)))
     return dict(np.load(io.BytesIO(raw)))
 
 
-def load_shard(uri: str) -> tuple[np.ndarray, Joined]:
-    x = get_arrays(uri)
-    raw, cut = x["data"].tobytes(), np.concatenate([[0], np.cumsum(x["sizes"])]).tolist()
-    return x["ids"], Joined([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+class Shard:
+    """ids, known (whether the id is), whole (0, or a number that the pieces of one text share), at (where a piece starts), own
+    (how many of its bytes are not the next piece's too) and the texts."""
+
+    NAMES = ("ids", "known", "whole", "at", "own")
+
+    def __init__(self, rows: list[tuple], texts: list[bytes]) -> None:
+        for name, x, kind in zip(self.NAMES, zip(*rows, strict=True), (np.int64, bool, np.int64, np.int64, np.int64), strict=True):
+            setattr(self, name, np.array(x, kind))
+        self.joined = Joined(texts)
+
+    def put(self, pack: Pack) -> str:
+        joined = self.joined
+        return pack.add(data=joined.data, sizes=joined.end - joined.start, **{n: getattr(self, n) for n in self.NAMES})
+
+    @classmethod
+    def get(cls, name: str) -> Shard:
+        x = get_arrays(name)
+        raw, cut = x["data"].tobytes(), np.cumsum(x["sizes"] + 1).tolist()
+        texts = [raw[b - 1 - n : b - 1] for b, n in zip(cut, x["sizes"].tolist(), strict=True)]
+        return cls(list(zip(*(x[n].tolist() for n in cls.NAMES), strict=True)), texts)
+
+
+def removal(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, list[dict[str, int]], bytes]:
+    """How many bytes the spans (sorted, possibly touching) remove, the maximal spans, and the rest."""
+    runs: list[list[int]] = []
+    for a, b in spans:
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    at, parts = 0, []
+    for a, b in runs:
+        parts.append(data[at:a])
+        at = b
+    rest = b"".join([*parts, data[at:]])
+    return len(data) - len(rest), [{"start": a, "end": b} for a, b in runs], rest
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, shard_bytes: int = 1 << 20, keep_bytes: bool = False, anchors_per_shard: int = 1 << 16
+    docs: DataFrame, length: int = 50, shard_bytes: int = 1 << 20, keep_bytes: bool = False, anchors_per_bucket: int = 1 << 16
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of each removed run, in bytes) and kept_sha256 of every row; with
-    keep_bytes also kept, the remaining bytes."""
+    keep_bytes also kept, the remaining bytes. length is GRAM to GRAM + 30, as a context's strings are told by 31 bits."""
     if not GRAM <= length <= GRAM + 30:
         raise ValueError(f"length is {GRAM} to {GRAM + 30}")
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "text-shards")
     log_buckets = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    buckets = np.arange(1 << log_buckets, dtype=np.uint64)
-
-    def cuts(sorted_hashes: np.ndarray, log: int) -> list[int]:
-        edges = np.arange(1 << log, dtype=np.uint64) << np.uint64(64 - log)
-        return [*np.searchsorted(sorted_hashes, edges).tolist(), len(sorted_hashes)]
 
-    def in_order(hashes: np.ndarray) -> np.ndarray:
+    def told_of(hashes: np.ndarray) -> np.ndarray:
         """What is told about an anchor in the first round: its bucket and 32 bits."""
         return hashes >> np.uint64(32 - log_buckets)
 
+    def ranges(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Each bucket of the sorted ones, and from where to where it is."""
+        each, first = np.unique(buckets, return_index=True)
+        return zip(each.tolist(), first.tolist(), [*first[1:].tolist(), len(buckets)], strict=False)
+
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0), shard_bytes):
-            ids = np.array([LAST if pd.isna(x) else int(x) for x in part["doc_id"]], np.int64)
-            texts = [text_bytes(t) for t in part["text"]]
-            uri = put_arrays(
-                f"{folder}/{os.urandom(12).hex()}.zst", ids=ids, sizes=np.array([len(t) for t in texts]),
-                data=np.frombuffer(b"".join(texts), np.uint8),
-            )
-            found = Anchors(Joined(texts), length)
-            told = np.unique(in_order(found.hash))
-            at = np.searchsorted(told, in_order(found.hash))
-            low, high = np.full(len(told), LAST), np.full(len(told), -1)
-            np.minimum.at(low, at, found.doc)
-            np.maximum.at(high, at, found.doc)
-            several = low != high
-            edges = np.searchsorted(told, buckets << np.uint64(32)).tolist() + [len(told)]
-            rows = [(-1, uri, b"", b"")]
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                if b > a:
-                    rows.append((k, uri, told[a:b].astype(np.uint32).tobytes(), np.packbits(several[a:b]).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "shard", "told", "several"])
-
-    told = stored(docs.select("doc_id", "text").mapInPandas(to_shards, "bucket int, shard string, told binary, several binary"), "anchors")
-
-    # What a shard of contexts holds must not grow with the corpus, so their number does.
+        pack = Pack(folder)
+        for part in batches(frames, most=shard_bytes):
+            rows, texts = [], []
+            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                known, raw = not pd.isna(doc_id), text_bytes(text)
+                doc_id = int(doc_id) if known else LAST
+                if len(raw) <= shard_bytes:
+                    rows.append((doc_id, known, 0, 0, len(raw)))
+                    texts.append(raw)
+                else:
+                    whole = int.from_bytes(os.urandom(7)) + 1
+                    for at in range(0, len(raw), shard_bytes):
+                        rows.append((doc_id, known, whole, at, min(shard_bytes, len(raw) - at)))
+                        texts.append(raw[at : at + shard_bytes + length - 1])
+            apart = [(i, i + 1) for i in range(len(rows))] if any(r[2] for r in rows) else [(0, len(rows))]
+            for a, b in apart:
+                shard = Shard(rows[a:b], texts[a:b])
+                name, told = shard.put(pack), np.unique(told_of(Anchors(shard.joined, length).hash))
+                out = [(-1, name, b"")]
+                out += [(k, name, told[i:j].astype(np.uint32).tobytes()) for k, i, j in ranges(told >> np.uint64(32))]
+                yield pd.DataFrame(out, columns=["bucket", "shard", "told"])
+        pack.flush()
+
+    # In pandas a nullable integer would become a float.
+    source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    told = stored(source.mapInPandas(to_shards, "bucket int, shard string, told binary"), "anchors")
+
+    # What a bucket holds must not grow with the corpus, so their number does.
     total = told.agg(F.sum(F.octet_length("told")) / 4, F.count_if(F.col("bucket") == -1)).first()
-    log_contexts = max(8, int((total[0] or 0) // anchors_per_shard).bit_length())
-    shard_tasks = max(1, -(-(total[1] or 0) // 4))
+    log_contexts = max(8, int((total[0] or 0) // anchors_per_bucket).bit_length())
+    tasks, spread = tasks_for(spark, -(-(total[1] or 0) // 4)), 1 << log_contexts
 
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint32) for x in frame["told"]]
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(frame["several"], parts, strict=True)]
-        flat, flag = np.concatenate(parts), np.concatenate(flags)
-        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-        count[at[flag > 0]] += 1
         ends = np.cumsum([len(p) for p in parts])
-        bits = np.split(count[at] > 1, ends[:-1])
+        flat = np.concatenate(parts)
+        order = np.argsort(flat)
+        ranked = flat[order]
+        same = ranked[1:] == ranked[:-1]
+        several = np.zeros(len(flat), bool)
+        several[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        bits = np.split(several, ends[:-1])
         return pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "bits": [np.packbits(b).tobytes() for b in bits]})
 
     answers = told.where("bucket >= 0").groupBy("bucket").applyInPandas(repeated, "shard string, bucket int, bits binary")
-    per_shard = answers.repartition(shard_tasks, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
+    answers = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    everything = told.where("bucket = -1").select("shard").repartition(tasks, "shard")
 
     def to_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = Pack(folder)
         for frame in frames:
-            for uri, answer in zip(frame["shard"], frame["answers"], strict=True):
-                ids, joined = load_shard(uri)
+            for name, answer in zip(frame["shard"], frame["answers"], strict=True):
+                shard = Shard.get(name)
+                joined, owner = shard.joined, np.repeat(np.arange(len(shard.ids)), shard.joined.end - shard.joined.start + 1)
+                cls = string_classes(joined.data, length)
+                begins = np.flatnonzero(joined.end[owner] - np.arange(len(owner)) >= length)  # where strings start
+                mine, ids, known = cls[begins], shard.ids[owner[begins]], shard.known[owner[begins]]
+                least, some = least_by(mine, int(cls.max()) + 1, ids, known)
+                starts = np.zeros(len(joined.data), bool)
+                starts[begins] = earlier(least[mine], some[mine], ids, known)
                 found = Anchors(joined, length)
-                told = np.unique(in_order(found.hash))
-                edges = np.searchsorted(told, buckets << np.uint64(32)).tolist() + [len(told)]
-                good = np.zeros(len(told), bool)
-                for x in answer:
-                    a, b = edges[x["bucket"]], edges[x["bucket"] + 1]
-                    good[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-                use = np.flatnonzero(good[np.searchsorted(told, in_order(found.hash))])
-                if not len(use):
-                    continue
-                hashes, start, end = found.hash[use], found.start[use], found.end[use]
-                name = span_hash(found.g, start, end) ^ hashes
-                order = np.lexsort((name, hashes))
-                new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])])
+                hashes = told_of(found.hash)
+                told = np.unique(hashes)
+                good, bits = np.zeros(len(told), bool), {x["bucket"]: x["bits"] for x in ([] if answer is None else answer)}
+                for k, i, j in ranges(told >> np.uint64(32)):
+                    good[i:j] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=j - i)
+                use = np.flatnonzero(good[np.searchsorted(told, hashes)])
+                start, end = found.start[use], found.end[use]
+                # A context is told from others by its size and its first and last string.
+                keys = np.stack([cls[end - length], cls[start], end - start, found.hash[use] >> np.uint64(64 - log_contexts)]).astype(np.int64)
+                order = np.lexsort(keys)
+                new = np.concatenate([[True], (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)])[: len(order)]
                 which = np.empty(len(use), np.int64)
                 which[order] = np.cumsum(new) - 1
                 one = order[new]
-                least = np.full(len(one), LAST)
-                np.minimum.at(least, which, ids[found.doc[use]])
-                side = put_arrays(
-                    f"{folder}/{os.urandom(12).hex()}.zst", start=start.astype(np.uint32), size=(end - start).astype(np.uint8),
-                    doc=found.doc[use].astype(np.uint32), which=which.astype(np.uint32), least=least,
-                )
-                hashes, start, size = hashes[one], start[one], (end - start)[one]
+                doc = found.doc[use]
+                least, some = least_by(which, len(one), shard.ids[doc], shard.known[doc])
+                side = pack.add(
+                    starts=np.packbits(starts), start=start.astype(np.uint32), size=(end - start).astype(np.uint8), which=which.astype(np.uint32)
+                )
+                size, hashes, start = (end - start)[one], found.hash[use][one], start[one]
                 total = np.cumsum(size)
-                text = joined.data[np.arange(total[-1]) + np.repeat(start - total + size, size)]
-                edges = cuts(hashes, log_contexts)
+                text = joined.data[np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)]
                 at = np.concatenate([[0], total])
-                rows = []
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    if b > a:
-                        parts = hashes[a:b], text[at[a] : at[b]], size[a:b].astype(np.uint8), least[a:b]
-                        rows.append((k, uri, side, *(p.tobytes() for p in parts)))
-                yield pd.DataFrame(rows, columns=["bucket", "shard", "side", "anchor", "data", "size", "least"])
+                # The shard itself is told by a row without contexts, in a bucket of its own kind.
+                rows = [(-1 - zlib.crc32(name.encode()) % spread, name, side, b"", b"", b"", b"", b"")]
+                for k, i, j in ranges(hashes >> np.uint64(64 - log_contexts)):
+                    parts = hashes[i:j], text[at[i] : at[j]], size[i:j].astype(np.uint8), least[i:j], some[i:j]
+                    rows.append((k, name, side, *(p.tobytes() for p in parts)))
+                yield pd.DataFrame(rows, columns=["bucket", "shard", "side", "anchor", "data", "size", "least", "some"])
+        pack.flush()
 
-    context_schema = "bucket int, shard string, side string, anchor binary, data binary, size binary, least binary"
-    contexts = per_shard.mapInPandas(to_contexts, context_schema)
+    context_schema = "bucket int, shard string, side string, anchor binary, data binary, size binary, least binary, some binary"
+    contexts = everything.join(answers, "shard", "left").mapInPandas(to_contexts, context_schema)
 
     def decisions(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"anchor": np.uint64, "data": np.uint8, "size": np.uint8, "least": np.int64}
-        x = {c: np.concatenate([np.frombuffer(v, kind) for v in frame[c]]) for c, kind in kinds.items()}
-        found = decide(x["anchor"], x["data"], x["size"].astype(np.int64), x["least"], length)
-        ends = np.cumsum([len(v) for v in frame["size"]])
-        masks = [m.tobytes() for m in np.split(found, ends[:-1])]
-        return pd.DataFrame({"shard": frame["shard"], "side": frame["side"], "bucket": frame["bucket"], "masks": masks})
-
-    decided = contexts.groupBy("bucket").applyInPandas(decisions, "shard string, side string, bucket int, masks binary")
-    decided = decided.repartition(shard_tasks, "shard").groupBy("shard").agg(
-        F.min("side").alias("side"), F.sort_array(F.collect_list(F.struct("bucket", "masks"))).alias("masks")
-    )
-    everything = told.where("bucket = -1").select("shard").repartition(shard_tasks, "shard").join(decided, "shard", "left")
+        if frame["bucket"].iloc[0] < 0:
+            return frame[["shard", "bucket", "side"]].assign(masks=None)
+        kinds = {"anchor": np.uint64, "data": np.uint8, "size": np.uint8, "least": np.int64, "some": bool}
+        blocks = [[np.frombuffer(v, kind) for v, kind in zip(row, kinds.values(), strict=True)] for row in frame[list(kinds)].itertuples(index=False)]
+        blocks = [(a, d, s.astype(np.int64), x, y) for a, d, s, x, y in blocks]
+        masks = [m.tobytes() for m in decide(blocks, length)]
+        return pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "side": None, "masks": masks})
+
+    decided = contexts.groupBy("bucket").applyInPandas(decisions, "shard string, bucket int, side string, masks binary")
+    told_masks = F.when(F.col("masks").isNotNull(), F.struct("bucket", "masks"))
+    sides = decided.repartition(tasks, "shard").groupBy("shard").agg(F.max("side").alias("side"), F.sort_array(F.collect_list(told_masks)).alias("masks"))
+
+    def result(doc_id: int, known: bool, data: bytes, spans: list[tuple[int, int]]) -> tuple:
+        removed, runs, rest = removal(data, spans)
+        row = (int(doc_id) if known else None, len(data), removed, runs, hashlib.sha256(rest).hexdigest())
+        return (*row, rest) if keep_bytes else row
+
+    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for uri, side, masks in zip(frame["shard"], frame["side"], frame["masks"], strict=True):
-                ids, joined = load_shard(uri)
-                starts = np.zeros(len(joined.data) + 1, bool)  # of strings to be removed
-                if side is not None:
-                    x = get_arrays(side)
+            for name, side, masks in zip(frame["shard"], frame["side"], frame["masks"], strict=True):
+                shard, x = Shard.get(name), get_arrays(side)
+                joined = shard.joined
+                starts = np.unpackbits(x["starts"], count=len(joined.data)).view(bool)
+                if len(masks):
                     mask = np.concatenate([np.frombuffer(m["masks"], np.uint32) for m in masks])[x["which"]]
-                    whole = (mask & ALL > 0) | (x["least"][x["which"]] < ids[x["doc"]])
                     begin, size = x["start"].astype(np.int64), x["size"].astype(np.int64)
                     for w in range(length - GRAM + 1):
-                        hit = (whole | ((mask >> np.uint32(w)) & 1 > 0)) & (w <= size - length)
+                        hit = ((mask & ALL > 0) | ((mask >> np.uint32(w)) & 1 > 0)) & (w <= size - length)
                         starts[begin[hit] + w] = True
-                cover = np.zeros(len(joined.data) + length + 1, np.int64)
                 at = np.flatnonzero(starts)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
-                gone = np.cumsum(cover)[: len(joined.data)] > 0
-                edges = np.diff(gone.view(np.int8), prepend=0, append=0)
-                opens, closes = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+                ends = np.append(np.diff(at) > length, True)[: len(at)]  # runs of strings that overlap or touch
+                opens, closes = at[np.concatenate([[True], ends[:-1]])[: len(at)]], at[ends] + length
                 owner = np.searchsorted(joined.end, opens)
-                cut = np.searchsorted(owner, np.arange(len(ids) + 1))
-                rows = []
-                for d in range(len(ids)):
-                    a, b = joined.start[d], joined.end[d]
-                    kept = joined.data[a:b][~gone[a:b]].tobytes()
-                    spans = [{"start": int(p - a), "end": int(q - a)} for p, q in zip(opens[cut[d] : cut[d + 1]], closes[cut[d] : cut[d + 1]], strict=True)]
-                    row = (None if ids[d] == LAST else int(ids[d]), int(b - a), int(b - a) - len(kept), spans, hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept) if keep_bytes else row)
-                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"] + ["kept"] * keep_bytes
-                out = pd.DataFrame(rows, columns=names)
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                cut = np.searchsorted(owner, np.arange(len(shard.ids) + 1))
+                rows, pieces = [], []
+                for d in range(len(shard.ids)):
+                    first = int(joined.start[d]) - int(shard.at[d])
+                    spans = [(int(p) - first, int(q) - first) for p, q in zip(opens[cut[d] : cut[d + 1]], closes[cut[d] : cut[d + 1]], strict=True)]
+                    data = joined.data[joined.start[d] : joined.end[d]]
+                    if shard.whole[d]:
+                        pieces.append((int(shard.whole[d]), int(shard.at[d]), data[: shard.own[d]].tobytes(), [{"start": a, "end": b} for a, b in spans]))
+                        rows.append((*result(shard.ids[d], shard.known[d], b"", []), *pieces[-1]))
+                    else:
+                        rows.append((*result(shard.ids[d], shard.known[d], data.tobytes(), spans), 0, 0, None, None))
+                out = pd.DataFrame(rows, columns=[*names, "whole", "at", "piece", "parts"])
+                yield out.assign(doc_id=pd.array(out["doc_id"].tolist(), "Int64"))
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        spans = [(x["start"], x["end"]) for parts in frame["parts"] for x in parts]
+        doc_id = frame["doc_id"].iloc[0]
+        row = result(0 if pd.isna(doc_id) else int(doc_id), not pd.isna(doc_id), b"".join(map(bytes, frame["piece"])), sorted(spans))
+        out = pd.DataFrame([row], columns=names)
+        return out.assign(doc_id=pd.array(out["doc_id"].tolist(), "Int64"))
 
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    return everything.mapInPandas(mark, schema + ", kept binary" * keep_bytes)
+    schema += ", kept binary" * keep_bytes
+    marked = sides.mapInPandas(mark, schema + ", whole long, at long, piece binary, parts array<struct<start: long, end: long>>")
+    marked = stored(marked, "marked")
+    long = marked.where("whole > 0").groupBy("whole").applyInPandas(together, schema)
+    return marked.where("whole = 0").select(*names).unionByName(long)
 
 
 def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
