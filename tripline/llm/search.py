@@ -1,29 +1,32 @@
 """Exact top-k search by inner product with a pivot table.
 
-Components are taken as floor(scale * x), so all scores are integers. For a pivot p the triangle inequality gives
-|q - v| >= ||q - p| - |v - p||, and <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2; the largest lower bound of the
-distance over all pivots is therefore an upper bound of the score. A block of rows is evaluated for a query in the order of these
-bounds, until the next bound is under the query's k-th best score.
+Components are taken as floor(scale * x), so all scores are integers. The pivots are rows far from each other in a bounded sample; the
+distances of all rows to them are computed once and stored. From the distances of a query and of a row follows an upper bound of their score
+(see Pivots). The rows of a chunk are evaluated for a query in the order of these bounds, until the next bound is under the query's
+k-th best score.
 
-The queries are a stated set: they are read in blocks of at most ``block`` rows, and each block is held against all rows in one
-job. What goes to the executors at a time has that bound; every task returns k rows a query, and Spark merges them.
+The queries are a stated set, written in blocks in the shared folder; every task holds its rows against all blocks, and none of them
+goes through the driver. Every task returns k rows a query for each chunk, and Spark merges them.
 
 Defined results: vectors that are null, or have null or non-finite components, take no part; vectors are only compared with
 vectors of as many components; an empty vector scores 0 with other empty ones; a null id takes no part; rows that repeat an id
-are candidates of their own (not for a query of that id), and repeated queries are one query each, ranked together; an empty
+are candidates of their own (not for a query of that id), and repeated queries are a query each; an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.common import shared_dir, table
+from tripline.llm.common import shared_dir, small_batches, stored, table
 
 
 def integers(vectors: list, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -49,10 +52,10 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(v: np.ndarray, count: int) -> np.ndarray:
-    """Rows far from each other: each is the farthest from those before it."""
-    chosen = [0]
-    near = ((v - v[0]) ** 2).sum(1)
-    while len(chosen) < min(count, len(v)):
+    """Rows far from each other, and from the origin: each is the farthest from those before it."""
+    near = (v**2).sum(1)
+    chosen: list[int] = []
+    while len(chosen) < min(count, len(v)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((v - v[chosen[-1]]) ** 2).sum(1))
     return v[chosen]
@@ -63,14 +66,40 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def upper_bounds(q: np.ndarray, v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of the inner product of each row of q with each of v, from their distances to the pivots."""
-    q_table, v_table = distances(q, pivots), distances(v, pivots)
-    gap = np.zeros((len(q), len(v)))
-    for j in range(len(pivots)):
-        np.maximum(gap, np.abs(q_table[:, j, None] - v_table[None, :, j]), out=gap)
-    whole = (q**2).sum(1)[:, None] + (v**2).sum(1)[None]
-    return (whole - gap**2) / 2 + 1 + 1e-7 * whole  # rounding never lowers it below the score
+class Pivots:
+    """Pivots, and what distances to them tell about inner products.
+
+    A vector's norm and distances to the pivots give its inner products with them, and so its place in the space that they span; the
+    rest of it has a known length and an unknown direction. Of the bounds of all pivots together, |q - v|^2 is at least the squared distance
+    of the places and of the lengths of the rests, and no single pivot's ||q - p| - |v - p|| is above that.
+    """
+
+    def __init__(self, rows: np.ndarray) -> None:
+        rows = rows[: rows.shape[1]]  # more pivots than components would tell nothing new
+        r = np.linalg.qr(rows.T)[1] if len(rows) else np.zeros((0, 0))
+        size = np.abs(np.diag(r))
+        good = size > 1e-6 * max(size.max(initial=0), 1e-9)  # a pivot that others nearly span tells nothing new
+        self.rows = rows[good]
+        self.norms = (self.rows**2).sum(1)
+        r = np.linalg.qr(self.rows.T)[1] if len(self.rows) else np.zeros((0, 0))
+        self.turn = np.linalg.inv(r) if len(r) else r
+
+    def table(self, v: np.ndarray) -> np.ndarray:
+        """Norm and distances to the pivots of each row."""
+        return np.concatenate([np.sqrt((v**2).sum(1))[:, None], distances(v, self.rows)], axis=1)
+
+    def places(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From rows of the table: the vectors' places in the pivots' space with the lengths of their rests, and their norms."""
+        square = table[:, 0] ** 2
+        inner = (square[:, None] + self.norms - table[:, 1:] ** 2) / 2
+        place = inner @ self.turn
+        rest = np.sqrt(np.maximum(square - (place**2).sum(1), 0))
+        return np.concatenate([place, rest[:, None]], axis=1), table[:, 0]
+
+
+def upper_bounds(q: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of the inner products of vectors with these places and norms; rounding never lowers it below the score."""
+    return q[0] @ v[0].T + (1 + 1e-6 * np.outer(q[1], v[1]))
 
 
 class Best:
@@ -89,72 +118,114 @@ class Best:
 
 
 def evaluate(
-    best: list[Best], q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, pivots: np.ndarray, step: int = 128
-) -> None:
-    """Takes the rows of v into account, for each query in bound order until none can change its best."""
-    for a in range(0, len(q), 256):
-        bounds = upper_bounds(q[a : a + 256], v, pivots)
-        for i, bound in enumerate(bounds, a):
-            rows = np.flatnonzero((bound >= best[i].floor()) & (ids != q_ids[i]))
-            rows = rows[np.argsort(-bound[rows])]
-            for b in range(0, len(rows), step):
-                if bound[rows[b]] < best[i].floor():
-                    break
-                some = rows[b : b + step]
-                best[i].add(scores(q[i : i + 1], v[some])[0], ids[some])
+    best: list[Best], q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, bounds: np.ndarray, step: int = 128
+) -> int:
+    """Takes the rows of v into account, for each query in bound order until none can change its best. Returns how many were evaluated."""
+    done = 0
+    for i, bound in enumerate(bounds):
+        rows = np.flatnonzero((bound >= best[i].floor()) & (ids != q_ids[i]))
+        first = min(step, len(rows))
+        if not first:
+            continue
+        top = rows[np.argpartition(-bound[rows], first - 1)[:first]] if len(rows) > first else rows
+        best[i].add(scores(q[i : i + 1], v[top])[0], ids[top])
+        done += first
+        left = rows[bound[rows] >= best[i].floor()]
+        left = np.setdiff1d(left, top, assume_unique=True)
+        left = left[np.argsort(-bound[left])]
+        for b in range(0, len(left), step):
+            if bound[left[b]] < best[i].floor():
+                break
+            some = left[b : b + step]
+            best[i].add(scores(q[i : i + 1], v[some])[0], ids[some])
+            done += len(some)
+    return done
+
+
+@lru_cache(maxsize=2)
+def block_files(folder: str) -> tuple[str, ...]:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    return tuple(sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".parquet")))
+
+
+def read_block(folder: str, file: str) -> pd.DataFrame:
+    fs, _ = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(file) as source:
+        return pq.read_table(source).to_pandas()
+
+
+def unpacked(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), width) if width else np.zeros((len(column), 0))
+
+
+TABLE = "vec_id long, asked boolean, at long, n int, x binary, distances binary"
+
+
+def pivot_table(rows: DataFrame, is_query: str, scale: float, n_pivots: int, sample: int) -> tuple[DataFrame, dict[int, Pivots]]:
+    """TABLE of the rows that take part (at numbers them), stored once, and the pivots by number of components."""
+    usable = rows.where("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.expr(is_query).alias("asked"))
+    picked = usable.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    vectors = [np.array([np.nan if x is None else x for x in r[0]], np.float64) for r in picked]
+    pivots = {n: Pivots(pivots_of(v, n_pivots)) for n, (_, v) in integers(vectors, scale).items() if len(v)}
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 33
+        for frame in frames:
+            for n, (at, v) in integers(frame["embedding"].tolist(), scale).items():
+                if len(at):
+                    told = pivots.get(n, Pivots(np.zeros((0, n)))).table(v)
+                    some = frame.iloc[at]
+                    yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy(np.int64), "asked": some["asked"].fillna(False).to_numpy(bool), "at": first + at, "n": n, "x": [x.tobytes() for x in v], "distances": [x.tobytes() for x in told]})
+            first += len(frame)
+
+    return stored(usable.mapInPandas(work, TABLE), "pivot-table"), pivots
 
 
 def top_k(
-    rows: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, n_pivots: int = 16, block: int = 4096
+    rows: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, n_pivots: int = 48, block: int = 1024, sample: int = 4096, chunk: int = 16_384
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the k rows (vec_id, embedding) of highest score for every row that is_query (SQL) marks.
 
-    Exact; the pivots are taken from the first rows that a task sees, which only decides how soon it stops.
+    Exact. The pivots are taken from a sample of so many rows, which only decides how soon a search stops. A task holds ``chunk`` rows of the
+    table and reads the queries in blocks from the shared folder.
     """
     spark = rows.sparkSession
-    path = shared_dir(spark, "top-k")
-    found = "q long, query_id long, vec_id long, score long"
-    spark.createDataFrame([], found).write.parquet(path)
-    usable = rows.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
-    held: list[tuple[int, np.ndarray]] = []
-
-    def against_all(first: int) -> None:
-        asked = spark.sparkContext.broadcast(([i for i, _ in held], integers([x for _, x in held], scale)))
-
-        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, by_size = asked.value
-            q_ids = np.array(q_ids, np.int64)
-            best = {n: [Best(k) for _ in at] for n, (at, _) in by_size.items()}
-            pivots: dict[int, np.ndarray] = {}
-            for frame in frames:
-                for a in range(0, len(frame), 4096):
-                    part = frame.iloc[a : a + 4096]
-                    part_ids = part["vec_id"].to_numpy(np.int64)
-                    for n, (at, v) in integers(part["embedding"].tolist(), scale).items():
-                        if n in best and len(at):
-                            if n not in pivots:
-                                pivots[n] = pivots_of(v, n_pivots)
-                            mine, q = by_size[n]
-                            evaluate(best[n], q, q_ids[mine], v, part_ids[at], pivots[n])
-            for n, list_ in best.items():
-                for i, x in zip(by_size[n][0], list_, strict=True):
-                    if len(x.id):
-                        yield pd.DataFrame({"q": first + i, "query_id": q_ids[i], "vec_id": x.id, "score": x.score})
-
-        usable.mapInPandas(search, found).write.mode("append").parquet(path)
-        asked.unpersist()
-
-    first = 0
-    for row in usable.where(is_query).toLocalIterator():
-        held.append((row[0], np.array([np.nan if x is None else x for x in row[1]], np.float64)))
-        if len(held) == block:
-            against_all(first)
-            first, held = first + block, []
-    if held:
-        against_all(first)
+    small_batches(spark)
+    table_, pivots = pivot_table(rows, is_query, scale, n_pivots, sample)
+    folder = shared_dir(spark, "queries")
+    table_.where("asked").write.option("maxRecordsPerFile", block).parquet(folder)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def against_all(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for n, mine in part.groupby("n"):
+                guide = pivots.get(n, Pivots(np.zeros((0, n))))
+                ids, v, v_at = mine["vec_id"].to_numpy(), unpacked(mine["x"], n), guide.places(unpacked(mine["distances"], len(guide.rows) + 1))
+                for file in block_files(folder):
+                    asked = read_block(folder, file)
+                    asked = asked[asked["n"] == n]
+                    for a in range(0, len(asked), 64):
+                        some = asked.iloc[a : a + 64]
+                        q, q_ids = unpacked(some["x"], n), some["vec_id"].to_numpy()
+                        best = [Best(k) for _ in range(len(some))]
+                        evaluate(best, q, q_ids, v, ids, upper_bounds(guide.places(unpacked(some["distances"], len(guide.rows) + 1)), v_at))
+                        size = [len(b.id) for b in best]
+                        yield pd.DataFrame({"q": np.repeat(some["at"].to_numpy(), size), "query_id": np.repeat(q_ids, size), "vec_id": np.concatenate([b.id for b in best]), "score": np.concatenate([b.score for b in best])})
+
+        held, count = [], 0
+        for frame in frames:
+            held.append(frame)
+            count += len(frame)
+            if count >= chunk:
+                yield from against_all(pd.concat(held))
+                held, count = [], 0
+        if held:
+            yield from against_all(pd.concat(held))
+
+    found = table_.drop("at", "asked").mapInPandas(search, "q long, query_id long, vec_id long, score long")
     ranks = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    out = spark.read.schema(found).parquet(path).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
