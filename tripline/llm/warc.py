@@ -7,7 +7,8 @@ origin. A page whose payload equals an earlier page's is a revisit record withou
 Defined results: a null payload is empty; payloads under ``least`` bytes are never revisits; of rows that repeat the
 smallest page_id of a payload, each is a response; a null page_id is no candidate for that smallest one unless all are
 null; a null url is written as no header; an empty table gives no archives and no rows; other columns are not read.
-On reading, a record whose segments, total length, digest or chunks don't fit has valid = false and no payload.
+On reading, a record whose segments, total length, digest or chunks don't fit has valid = false and no payload, digest or length;
+those of a valid response are the decoded payload's. Records of other kinds are passed over, and an archive is read as far as it can be.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import gzip
 import hashlib
 import io
 import os
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm.common import read_file, shared_dir, stored, table, write_file
+from tripline.llm.common import read_file, shared_dir, small_batches, stored, table, tasks_for, write_file
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = """page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long,
@@ -64,18 +66,30 @@ def record(headers: dict[str, object], block: bytes) -> bytes:
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+    """Headers (names in lower case) and block of each record of an archive, as far as it can be read: it ends where the archive is cut off,
+    or at a record whose length is not known."""
     source = gzip.GzipFile(fileobj=io.BytesIO(data))
-    while version := source.readline():
-        if not version.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {}
-        while (line := source.readline().decode().rstrip("\r\n")) != "":
-            name, _, value = line.partition(":")
-            headers[name.lower()] = value.strip()
-        block = source.read(int(headers["content-length"]))
-        source.read(4)
-        yield headers, block
+    try:
+        while True:
+            while (version := source.readline()) in (b"\r\n", b"\n"):
+                pass
+            if not version.startswith(b"WARC/"):
+                return
+            headers = {}
+            while line := source.readline().decode("utf-8", "replace").rstrip("\r\n"):
+                name, _, value = line.partition(":")
+                headers[name.strip().lower()] = value.strip()
+            size = number(headers.get("content-length"))
+            block = b"" if size is None else source.read(size)
+            if size is None or len(block) < size:
+                return
+            yield headers, block
+    except (EOFError, OSError, zlib.error):
+        return
+
+
+def number(x: str | None) -> int | None:
+    return int(x) if x and x.isascii() and x.isdigit() else None
 
 
 def write_warc(
@@ -85,6 +99,7 @@ def write_warc(
 
     The rows are shuffled once, by payload digest, for a join that Spark can split where a digest is hot.
     """
+    small_batches(pages.sparkSession)
     folder = shared_dir(pages.sparkSession, "warc")
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", body.alias("payload")).select(
@@ -92,7 +107,7 @@ def write_warc(
     )
     seen = rows.where(F.col("n_bytes") >= least).groupBy("digest")
     first = seen.agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n").repartition("first_id")  # so that the join below has a shuffle on both sides
+    first = first.where("n > 1").drop("n").repartition(F.xxhash64("digest"))  # so that the join below has a shuffle on both sides
     joined = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id", "first_url")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +180,15 @@ def checked(digest: str | None, length: int | None, block: bytes) -> bytes | Non
     return body if good else None
 
 
+def told(payload: bytes | None) -> tuple[str | None, int | None]:
+    """Digest and length of a payload as it was decoded; nulls where it could not be."""
+    return (None, None) if payload is None else (hashlib.sha256(payload).hexdigest(), len(payload))
+
+
 def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The pages of the listed archives (path), segments put together: page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, valid, and payload if asked for (null for revisits)."""
 
-    def number(x: str | None) -> int | None:
-        return None if x is None else int(x)
-
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORDS.replace("\n", " ").split(",")]
         for frame in frames:
@@ -179,12 +196,15 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 out, held = [], 0
                 for h, block in records(read_file(path)):
                     digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    length, segment, kind = number(h.get("x-payload-length")), number(h.get("warc-segment-number")), h["warc-type"]
+                    length, segment, kind = number(h.get("x-payload-length")), number(h.get("warc-segment-number")), h.get("warc-type")
                     payload, origin = None, None
+                    if kind not in ("response", "revisit", "continuation"):
+                        continue
                     if segment:
-                        origin = h.get("warc-segment-origin-id", h["warc-record-id"])
+                        origin = h.get("warc-segment-origin-id", h.get("warc-record-id"))
                     elif kind == "response":
                         payload, block = checked(digest, length, block), None
+                        digest, length = told(payload)
                     else:
                         block = None
                     total = number(h.get("warc-segment-total-length"))
@@ -209,11 +229,13 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 payload = checked(r.payload_digest, length, block) if fits else None
                 out.append(payload)
             frame = frame.drop(columns=["segments", "total"])
+            frame["payload_digest"] = [told(p)[0] for p in out]
+            frame["payload_bytes"] = pd.array([told(p)[1] for p in out], "Int64")
             frame["valid"] = [p is not None for p in out]
             frame["payload"] = out if payloads else None
             yield frame
 
-    spread = archives.select("path").repartition(max(1, archives.count()))
+    spread = archives.select("path").repartition(tasks_for(archives.sparkSession, archives.count()))
     found = stored(spread.mapInPandas(read, RECORDS), "warc-records")
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     parts = found.where("origin is not null").groupBy("origin").agg(
@@ -231,7 +253,7 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
-    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
 QUERIES = {"op1_warc": op1_warc}
@@ -244,6 +266,6 @@ SQL = {
         )
         SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
             CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+            CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS valid
         FROM p LEFT JOIN f USING (payload_digest)"""
 }
