@@ -1,17 +1,34 @@
-"""What the operators share: the shared folder, its files, and byte-level word splitting in numpy."""
+"""What the operators share: the shared folder, its files, bounded batches, and byte-level word splitting in numpy.
+
+Words are told apart by their bytes, or by 64-bit XXH3 hashes of them.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Bytes of rows that Spark hands to a Python worker at a time (or one row), and bytes of text that an operator works on at a time.
+ARROW_BYTES, WORK_BYTES = 4 << 20, 1 << 20
 
-#: Odd multiplier of the polynomial word and substring hashes, with its inverse modulo 2**64.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds by bytes instead of rows; a smaller bound that the session has is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m")).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not now.rstrip("kmg").isdigit() or int(now.rstrip("kmg")) * unit > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -25,11 +42,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: it cuts the lineage, and survives executors."""
+def drop(spark: SparkSession, *uris: str) -> None:
+    """Removes folders of the shared folder that no later step reads."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written as Parquet in the shared folder and read again, and the folder: it cuts the lineage, and survives executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return kept(df, name)[0]
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -42,10 +70,11 @@ def write_file(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def read_file(uri: str) -> bytes:
+def read_file(uri: str, start: int = 0, size: int | None = None) -> bytes:
     fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path, compression=None) as source:
-        return source.read()
+    with fs.open_input_file(path) as source:
+        source.seek(start)
+        return source.read(size)
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -53,25 +82,6 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-class Powers:
-    """Powers of BASE and of its inverse, grown as far as they are asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n + n // 4, 1 << 16)
-            self.up, self.down = (np.full(size, b, np.uint64) for b in (BASE, BASE_INVERSE))
-            for a in (self.up, self.down):
-                a[0] = 1
-                np.multiply.accumulate(a, out=a)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Each 64-bit hash with its bits spread over the whole word."""
     h = h ^ (h >> np.uint64(32))
@@ -82,18 +92,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """g with g[j] - g[i] = BASE**i times the hash of bytes i to j, modulo 2**64."""
-    up, _ = POWERS.get(len(data) + 1)
-    g = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=g[1:])
-    return g
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit XXH3 hashes of byte strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def span_hash(g: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hashes of the byte spans [start, end)."""
-    _, down = POWERS.get(len(g))
-    return mixed((g[end] - g[start]) * down[start] + (end - start).astype(np.uint64))
+def numbered(words: list[bytes]) -> np.ndarray:
+    """Equal byte strings get equal numbers, from 0 in order of appearance."""
+    found: dict[bytes, int] = defaultdict(count().__next__)
+    return np.fromiter(map(found.__getitem__, words), np.int64, len(words))
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -101,7 +108,7 @@ LOWER[65:91] += 32
 
 
 class Joined:
-    """The UTF-8 bytes of several texts in one array, each text followed by a line feed; ``at`` has their bounds."""
+    """The UTF-8 bytes of several texts in one array, each text followed by a line feed; ``start`` and ``end`` are their bounds."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -109,8 +116,8 @@ class Joined:
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
 
-    def words(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Maximal runs of word bytes after lower-casing A-Z: starts, ends, hashes, and each text's first word.
+    def words(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Maximal runs of word bytes after lower-casing A-Z: starts, ends, the words, and each text's first word.
 
         is_word says for each byte value whether it belongs to words; a line feed must not.
         """
@@ -119,19 +126,60 @@ class Joined:
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         first = np.searchsorted(start, np.append(self.start, len(self.data)))
-        return start, end, span_hash(prefix_hash(low), start, end), first
+        low[~inside] = 32
+        return start, end, low.tobytes().split(), first
 
 
-def batches(frames, size, most: int = 4 << 20):
-    """Slices of the pandas frames, each with a total size of about ``most`` or of one row; size gives a frame's sizes."""
+def text_sizes(frame) -> np.ndarray:
+    """Bytes of each text in UTF-8."""
+    return np.fromiter((len(text_bytes(t)) for t in frame["text"]), np.int64, len(frame))
+
+
+def cut_by_size(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows, each with a total size of about ``most`` or of one row."""
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), len(sizes)]
+    return list(zip(cuts, cuts[1:], strict=False)) if len(sizes) else []
+
+
+def batches(frames, size=text_sizes, most: int = WORK_BYTES):
+    """Slices of the pandas frames by the total of size, which gives a frame's sizes."""
     for frame in frames:
-        if len(frame):
-            group = np.cumsum(size(frame)) // most
-            for a, b in zip(
-                (cuts := [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(frame)]), cuts[1:], strict=False
-            ):
-                yield frame.iloc[a:b]
+        for a, b in cut_by_size(size(frame), most):
+            yield frame.iloc[a:b]
+
+
+def with_made(df: DataFrame, make, made: dict[str, tuple[str, pa.DataType]], keep_text: bool = True, most: int = WORK_BYTES) -> DataFrame:
+    """The rows with the columns ``made`` (Spark and Arrow types), which make returns by name for a list of texts of about ``most``
+    bytes. The other columns pass through as Arrow data, whatever their types; columns of the made names are replaced."""
+    left = [c for c in df.columns if c not in made and (keep_text or c != "text")]
+    schema = StructType([df.schema[c] for c in left] + [StructType.fromDDL(f"`{c}` {t}")[0] for c, (t, _) in made.items()])
+
+    def work(parts):
+        for part in parts:
+            for a, b in cut_by_size(pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(), most):
+                rows = part.slice(a, b - a)
+                found = make(rows.column("text").to_pylist())
+                columns = [rows.column(c) for c in left] + [pa.array(found[c], t) for c, (_, t) in made.items()]
+                yield pa.RecordBatch.from_arrays(columns, [*left, *made])
+
+    return df.mapInArrow(work, schema)
+
+
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with all columns but the needed ones under names that no operator uses, and those names by the given ones."""
+    names = {c: c if c in needed else f"__given_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[df[f"`{c}`"].alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[df[n].alias(c) for c, n in names.items()])
+
+
+def tasks_for(spark: SparkSession, items: int) -> int:
+    """In how many tasks to read files or shards: as many at most as the cluster has use for."""
+    return max(1, min(items, max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

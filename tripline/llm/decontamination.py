@@ -18,45 +18,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm.common import Joined, batches, shared_dir, table, text_bytes
+from tripline.llm.common import Joined, shared_dir, small_batches, table, text_bytes, with_made
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+#: So many blocks of phrases a worker keeps from shard to shard; of more, it reads each again for every shard.
+KEPT_BLOCKS = 4
 
 
 class Phrases:
-    """The distinct phrases of one block of items, as symbols (from 1) of the block's vocabulary, grouped by length."""
+    """The distinct phrases of one block of items, as symbols (from 1) of the block's vocabulary, grouped by length.
+
+    A group has the length, a row of symbols for each phrase, and the item ids of phrase i at ids[cut[i] : cut[i + 1]].
+    """
 
     def __init__(self, item_ids: list[int | None], texts: list[str | None], window: int) -> None:
-        joined = Joined([text_bytes(t) for t in texts])
-        _, _, hashes, first = joined.words(IS_WORD)
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
-        owners: dict[tuple, set] = {}
-        for item, a, b in zip(item_ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            words = symbol[a:b] + 1
-            for i in range(max(b - a - window, 0) + 1 if b > a else 0):
-                owners.setdefault(tuple(words[i : i + window].tolist()), set()).add(item)
-        self.least = min(map(len, owners), default=1)
+        start, _, words, first = Joined([text_bytes(t) for t in texts]).words(IS_WORD)
+        self.vocabulary: dict[bytes, int] = {}
+        symbol = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(start))
+        rows: dict[int, list] = {}
+        for item, a, b in zip(range(len(texts)), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b > a:
+                found = np.lib.stride_tricks.sliding_window_view(symbol[a:b], min(b - a, window))
+                rows.setdefault(found.shape[1], []).append((found, np.full(len(found), item)))
+        self.least = min(rows, default=1)
         self.groups = []
-        for n in sorted({len(p) for p in owners}):
-            mine = [p for p in owners if len(p) == n]
-            items = [sorted(x for x in owners[p] if x is not None) for p in mine]
-            self.groups.append((n, np.array(mine, np.int64), items))
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        known = np.array([i is not None for i in item_ids], bool)
+        number = np.array([0 if i is None else i for i in item_ids], np.int64)
+        for n, parts in sorted(rows.items()):
+            distinct, which = np.unique(np.concatenate([x for x, _ in parts]), axis=0, return_inverse=True)
+            owner = np.concatenate([x for _, x in parts])
+            pairs = np.unique(np.stack([which.ravel(), owner])[:, known[owner]], axis=1)
+            self.groups.append((n, distinct.astype(np.int64), np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), number[pairs[1]]))
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
         """Of each word; 0 for words that no phrase has."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -166,8 +172,8 @@ class FmIndex:
         return out
 
 
-def occurrences(index_text: np.ndarray, phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-    """By phrase length: the positions where phrases occur, which phrase each is, and the phrases' items."""
+def occurrences(index_text: np.ndarray, phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By phrase length: the positions where phrases occur, which phrase each is, and the phrases' items (cut and ids)."""
     inside = index_text > 0
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
@@ -180,61 +186,79 @@ def occurrences(index_text: np.ndarray, phrases: Phrases) -> Iterator[tuple[int,
     at = np.arange(total[-1]) + np.repeat(starts - total + sizes, sizes)
     text = np.where(np.arange(total[-1]) == np.repeat(total - 1, sizes), 0, index_text[np.minimum(at, len(index_text) - 1)])
     index = FmIndex(text)
-    for n, rows, items in phrases.groups:
+    for n, rows, cut, ids in phrases.groups:
         which, lo, hi = index.search(rows)
         count = hi - lo
         if len(which):
             end = np.cumsum(count)
             suffix = np.arange(end[-1]) + np.repeat(lo - end + count, count)
-            yield n, at[index.locate(suffix)], np.repeat(which, count), items
+            yield n, at[index.locate(suffix)], np.repeat(which, count), cut, ids
 
 
-@lru_cache(maxsize=4)
-def block_files(folder: str) -> tuple[str, ...]:
+def read_phrases(folder: str, window: int, block_bytes: int) -> Iterator[Phrases]:
+    """The benchmark in blocks of about ``block_bytes`` of texts or of one item."""
     fs, path = pafs.FileSystem.from_uri(folder)
-    return tuple(sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".parquet")))
-
-
-@lru_cache(maxsize=4)
-def block_phrases(folder: str, file: str, window: int) -> Phrases:
-    fs, _ = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_file(file) as source:
-        rows = pq.read_table(source)
-    return Phrases(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window)
+    ids, texts, held = [], [], 0
+    for file in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".parquet")):
+        with fs.open_input_file(file) as source:
+            for part in pq.ParquetFile(source).iter_batches(64, columns=["item_id", "text"]):
+                for i, text in zip(part["item_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(text)
+                    held += len(text_bytes(text))
+                    if held >= block_bytes:
+                        yield Phrases(ids, texts, window)
+                        ids, texts, held = [], [], 0
+    if ids:
+        yield Phrases(ids, texts, window)
+
+
+@lru_cache(maxsize=1)
+def few_blocks(folder: str, window: int, block_bytes: int) -> list[Phrases] | None:
+    """All blocks, if they are few enough for a worker to keep them."""
+    blocks = list(islice(read_phrases(folder, window, block_bytes), KEPT_BLOCKS + 1))
+    return blocks if len(blocks) <= KEPT_BLOCKS else None
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = 10, shard_bytes: int = 4 << 20, block_rows: int = 20_000
+    docs: DataFrame, items: DataFrame, window: int = 10, shard_bytes: int = 1 << 20, block_bytes: int = 1 << 20
 ) -> DataFrame:
     """The documents with n_words, n_hit (words inside phrases), items (ids, in order of their strings), spans (start and
     end of what is to be removed, in characters) and clean_text (the text without the spans).
     """
+    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession, "phrases")
-    items.select(F.col("item_id").cast("long"), "text").write.option("maxRecordsPerFile", block_rows).parquet(folder)
-    new = ["n_words", "n_hit", "items", "spans", "clean_text"]
-    kept = docs.select(*[c for c in docs.columns if c not in new])
+    items.select(F.col("item_id").cast("long"), "text").write.parquet(folder)
+    longs, place = pa.list_(pa.int64()), pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    made = {
+        "n_words": ("long", pa.int64()),
+        "n_hit": ("long", pa.int64()),
+        "items": ("array<long>", longs),
+        "spans": ("array<struct<start: long, end: long>>", pa.list_(place)),
+        "clean_text": ("string", pa.string()),
+    }
 
     def shard(texts: list[str | None]) -> dict[str, list]:
         joined = Joined([text_bytes(t) for t in texts])
-        start, end, hashes, first = joined.words(IS_WORD)
+        start, end, each, first = joined.words(IS_WORD)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         apart = np.arange(len(start)) + owner  # where each word stands in a text with a separator after each document
         back = np.full(len(start) + len(texts) + 1, -1)
         back[apart] = np.arange(len(start))
         cover = np.zeros(len(start) + 1, np.int64)
         found: list[set] = [set() for _ in texts]
-        for file in block_files(folder):
-            phrases = block_phrases(folder, file, window)
+        blocks = few_blocks(folder, window, block_bytes)
+        for phrases in read_phrases(folder, window, block_bytes) if blocks is None else blocks:
             if not phrases.groups:
                 continue
             symbols = np.zeros(len(start) + len(texts) + 1, np.int64)
-            symbols[apart] = phrases.symbols(hashes)
-            for n, at, which, ids in occurrences(symbols, phrases):
+            symbols[apart] = phrases.symbols(each)
+            for n, at, which, cut, ids in occurrences(symbols, phrases):
                 words = back[at]
                 np.add.at(cover, words, 1)
                 np.add.at(cover, words + n, -1)
                 for d, p in np.unique(np.stack([owner[words], which]), axis=1).T.tolist():
-                    found[d].update(ids[p])
+                    found[d].update(ids[cut[p] : cut[p + 1]].tolist())
         hit = np.cumsum(cover[:-1]) > 0
         # A span runs from the first to the last of neighbouring hit words of one document.
         follows = hit[1:] & hit[:-1] & (owner[1:] == owner[:-1])
@@ -243,7 +267,7 @@ def decontaminate(
         spans: list[list] = [[] for _ in texts]
         for d, a, b in zip(owner[opens].tolist(), start[opens].tolist(), end[closes].tolist(), strict=True):
             spans[d].append((a - int(joined.start[d]), b - int(joined.start[d])))
-        out: dict[str, list] = {c: [] for c in new}
+        out: dict[str, list] = {c: [] for c in made}
         out["n_words"] = np.diff(first).tolist()
         out["n_hit"] = np.bincount(owner[hit], minlength=len(texts)).tolist()
         out["items"] = [[int(x) for x in sorted(map(str, f))] for f in found]
@@ -263,13 +287,7 @@ def decontaminate(
             out["clean_text"].append("".join(parts) + raw[at:].decode())
         return out
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0), shard_bytes):
-            yield part.assign(**shard(part["text"].tolist()))
-
-    types = "n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>, clean_text string"
-    schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes] + [types])
-    return kept.mapInPandas(work, schema)
+    return with_made(docs, shard, made, most=shard_bytes)
 
 
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

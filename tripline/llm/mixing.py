@@ -8,7 +8,7 @@ rows, made from the weights alone, places every block, and the documents themsel
 
 A source that has run out leaves its slots empty; the others keep theirs, and no document is lost.
 
-Defined results: a null source is a source of its own; a null doc_id has the digest of an empty text; rows that repeat a
+Defined results: a null source is a source of its own; a null doc_id has the digest of its text; rows that repeat a
 doc_id follow each other in one order of their texts' hashes; a weight under 1 is an error; an empty table gives no rows.
 Columns of documents that have the name of a result column are replaced.
 """
@@ -67,7 +67,7 @@ def mix(
         [("" if s is None else "=" + s, own[s], i, slot) for s, i, slot in schedule(own)],
         "_key string, _weight long, _turn long, _slot long",
     )
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.coalesce("text", F.lit("")))).cast("binary"))
     rows = docs.drop(*RESULT).withColumns(
         {"_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_digest": digest, "_tie": F.xxhash64("text")}
     )
@@ -112,7 +112,7 @@ SQL = {
         ), plan AS (SELECT source, n, total, done AS turn, slot FROM run WHERE picked),
         placed AS (
             SELECT doc_id, source, (row_number() OVER (PARTITION BY source
-                ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1)::BIGINT AS rk FROM documents
+                ORDER BY md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))), doc_id NULLS FIRST) - 1)::BIGINT AS rk FROM documents
         )
         SELECT doc_id, p.source, rk // 8 AS block, rk % 8 AS block_pos, rk // 8 * total // n AS release,
             ((rk // 8 + 1) * total + n - 1) // n AS deadline, rk // 8 // n * total + slot AS slot

@@ -1,8 +1,8 @@
 """Quality of documents by a linear-chain conditional random field over their lines.
 
 Each line has features of its own and those of the lines before and after it. The field labels every line good or bad. Only whole
-documents are labelled, so in training all lines of a document carry its label, and the field finds out which features and
-neighbours tell. A document's raw quality is the mean of its lines' marginal probabilities of being good
+documents are labelled, so the lines' labels are latent: training begins with the documents' labels and goes on by expectation and
+maximisation, with a document's label as evidence for each of its lines. A document's raw quality is the mean of its lines' marginal probabilities of being good
 (forward-backward), weighted with the lines' lengths; isotonic regression on a fifth of the sample that the field has not
 seen turns it into the score.
 
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm.common import Joined, batches, prefix_hash, span_hash, stored, table, text_bytes
+from tripline.llm.common import Joined, batches, numbered, small_batches, stored, table, text_bytes, with_made
 from tripline.llm.supervised import calibrated, calibration, remainder, training_sample
 
 IS_WORD = np.ones(256, bool)
@@ -48,6 +49,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     mark = ~(upper | lower | digit | wide | blank)
     plain = np.isin(data, [39, 44, 46, 45])  # ' , . -
     word_start, word_end, words, _ = joined.words(IS_WORD)
+    words = numbered(words)
     line = np.searchsorted(end, word_start)
     repeat = np.zeros(len(words), bool)  # as the word before, or the one before that
     for d in (1, 2):
@@ -62,10 +64,10 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     distinct[order[1:]] = (words[order][1:] != words[order][:-1]) | (line[order][1:] != line[order][:-1])
     marks = np.concatenate([[0], np.cumsum(mark & ~plain, dtype=np.int64)])
     odd = marks[word_end] - marks[word_start]
-    text_hash = span_hash(prefix_hash(data), start, end)
-    order = np.lexsort((np.arange(len(end)), text_hash, owner))
+    line_text = numbered(data.tobytes().split(b"\n")[:-1])
+    order = np.lexsort((np.arange(len(end)), line_text, owner))
     again = np.zeros(len(end))
-    again[order[1:]] = (text_hash[order][1:] == text_hash[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (size[order][1:] > 0)
+    again[order[1:]] = (line_text[order][1:] == line_text[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (size[order][1:] > 0)
     per_byte, per_word = 1 / np.maximum(size, 1), 1 / np.maximum(n_words, 1)
     own = np.stack(
         [
@@ -123,24 +125,31 @@ class Field:
         )
         return good, np.stack([1 - good[starts], good[starts]], axis=1), pairs
 
-    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> None:
-        """Adam on the log likelihood of the lines' labels y, with a share ``decay`` of weight decay."""
-        z = np.clip((x - self.mean) / self.deviation, -8, 8)
-        first = np.concatenate([[True], owner[1:] != owner[:-1]])
-        want_first = np.array([np.mean(y[first] == k) for k in (0, 1)])
-        later = np.flatnonzero(~first)
-        want_pair = np.array([[np.sum((y[later - 1] == i) & (y[later] == j)) for j in (0, 1)] for i in (0, 1)]) / len(y)
+    def climb(self, z: np.ndarray, owner: np.ndarray, want: np.ndarray, first: np.ndarray, pair: np.ndarray, steps: int, rate: float = 0.05, decay: float = 1e-3) -> None:
+        """Adam on the log likelihood of (expected) line labels, given with those of first lines and of pairs as means, with weight decay."""
         theta = np.concatenate([self.w, [self.b], self.first, self.pair.ravel()])
         m, v, k = np.zeros_like(theta), np.zeros_like(theta), len(self.w)
         for step in range(1, steps + 1):
-            self.w, self.b, self.first, self.pair = theta[:k], theta[k], theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2)
             good, firsts, pairs = self.marginals(z @ self.w + self.b, owner)
-            gap = (y - good) / len(y)
-            slope = np.concatenate([gap @ z, [gap.sum()], want_first - firsts.mean(0), (want_pair - pairs.sum(0) / len(y)).ravel()])
+            gap = (want - good) / len(want)
+            slope = np.concatenate([gap @ z, [gap.sum()], first - firsts.mean(0), (pair - pairs.sum(0) / len(want)).ravel()])
             slope -= decay * theta
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        self.w, self.b, self.first, self.pair = theta[:k], theta[k], theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2)
+            self.w, self.b, self.first, self.pair = theta[:k], theta[k], theta[k + 1 : k + 3], theta[k + 3 :].reshape(2, 2)
+
+    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 2, evidence: float = 2.0) -> None:
+        """Learns from the labels y of the lines' documents. The lines' own labels are latent: first each is its document's; then, in rounds of
+        expectation and maximisation, the field's own view of the lines with ``evidence`` (in log odds for each line) for the document's label."""
+        z = np.clip((x - self.mean) / self.deviation, -8, 8)
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        later = np.flatnonzero(~first)
+        want_first = np.array([np.mean(y[first] == k) for k in (0, 1)])
+        want_pair = np.array([[np.sum((y[later - 1] == i) & (y[later] == j)) for j in (0, 1)] for i in (0, 1)]) / len(y)
+        self.climb(z, owner, y, want_first, want_pair, 150)
+        for _ in range(rounds):
+            good, firsts, pairs = self.marginals(z @ self.w + self.b + evidence * (2 * y - 1), owner)
+            self.climb(z, owner, good, firsts.mean(0), pairs.sum(0) / len(y), 50)
 
     def quality(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each text's length-weighted mean marginal; the marginals, lengths and owners of the lines."""
@@ -151,13 +160,13 @@ class Field:
 
 def learned(sample: DataFrame, most_lines: int) -> Field:
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
+        for part in batches(frames):
             x, _, owner = line_features(part["text"].tolist())
             yield pd.DataFrame({"doc": part["doc_id"].to_numpy()[owner], "y": part["y"].to_numpy()[owner], "x": list(x.astype(np.float32))})
 
     short = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= most_lines
     rows = sample.where(short).mapInPandas(lines, "doc long, y double, x array<float>").toPandas()
-    x = np.stack(rows["x"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 1))
     field = Field(x.mean(0), x.std(0) + 1e-6)
     doc = rows["doc"].to_numpy()
     cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -167,21 +176,14 @@ def learned(sample: DataFrame, most_lines: int) -> Field:
 
 def with_quality(docs: DataFrame, field: Field) -> DataFrame:
     """The rows with raw (length-weighted mean marginal) in place of their text."""
-    kept = [c for c in docs.columns if c != "text"]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
-            yield part[kept].assign(raw=field.quality(part["text"].tolist())[0])
-
-    kinds = dict(docs.dtypes)
-    return docs.mapInPandas(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "raw double"]))
+    return with_made(docs, lambda texts: {"raw": field.quality(texts)[0]}, {"raw": ("double", pa.float64())}, keep_text=False)
 
 
 def line_labels(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, line (from 0), p_good and good of every line."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
+        for part in batches(frames):
             _, good, _, owner = field.quality(part["text"].tolist())
             first = np.searchsorted(owner, owner)
             yield pd.DataFrame(
@@ -193,6 +195,7 @@ def line_labels(docs: DataFrame, field: Field) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, allowed: F.Column, bound: int = 8_000, most_lines: int = 200) -> DataFrame:
     """doc_id and score (0 to 1) of every document; learned from at most about ``bound`` labelled ones that allowed marks."""
+    small_batches(docs.sparkSession)
     sample = stored(training_sample(docs, labels, "quality", allowed, bound), "sample")
     if sample.where("fold > 0").select("y").distinct().count() < 2:
         mean = sample.agg(F.avg("y")).first()[0] or 0.0

@@ -18,14 +18,14 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.common import POWERS, batches, read_file, shared_dir, span_hash, stored, table, write_file
+from tripline.llm.common import batches, read_file, shared_dir, small_batches, stored, table, tasks_for, write_file
 
 BLOCK = 1024
 #: Fixed values of the code: by selector, how many ids a word holds and of how many bits.
@@ -33,6 +33,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 MAGIC = b"S8BT"
+STRETCH = BLOCK << 8
 
 #: Kinds of characters for the pretoken rules of byte-level BPE; END stands between texts, RARE is left to the library.
 END, LETTER, NUMBER, OTHER, SPACE, BLANK, RARE = range(7)
@@ -149,7 +150,11 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
 
 
 def to_file(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    words, offsets = pack(ids.astype(np.uint64))
+    # Blocks are packed a stretch at a time, which bounds the memory that it takes.
+    packed = [pack(ids[a : a + STRETCH].astype(np.uint64)) for a in range(0, len(ids), STRETCH)]
+    words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in packed)])
+    ends = np.cumsum([0, *(len(w) for w, _ in packed)])
+    offsets = np.concatenate([[0], *(o[1:] + e for (_, o), e in zip(packed, ends, strict=False))])
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join(
         (
@@ -175,17 +180,22 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         parts.append(np.frombuffer(data, kind, k, at))
         at += parts[-1].nbytes
     known, doc_ids, sizes, offsets, words = parts
-    return [int(d) if k else None for k, d in zip(known, doc_ids, strict=True)], sizes, unpack(words, offsets, n, block)
+    step = STRETCH // block if block < STRETCH else 1
+    ids = [np.zeros(0, np.uint64)]
+    for a in range(0, len(offsets) - 1, step):
+        some = offsets[a : a + step + 1]
+        ids.append(unpack(words[some[0] : some[-1]], some - some[0], min(n - a * block, step * block), block))
+    return [int(d) if k else None for k, d in zip(known, doc_ids, strict=True)], sizes, np.concatenate(ids)
 
 
 class Encoder:
     """Encodes texts with a tokenizer file; what a pretoken encodes to is kept, so that it is merged only once.
 
-    Pretokens are told apart by 64-bit hashes. At most ``keep`` of them are kept; then it begins anew. With ``added``, the
+    At most about ``keep`` pretokens, and 4 million characters of them, are kept; then it begins anew. With ``added``, the
     added tokens of the file are found in texts, as is the library's default; else they are text like any other.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000, added: bool = False) -> None:
+    def __init__(self, path: str, keep: int = 200_000, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -199,14 +209,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.start = self.size = np.zeros(0, np.int64)  # of each hash's ids
+        self.place: dict[str, int] = {}  # of each pretoken in start and size
+        self.held = 0
+        self.start = self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, texts: list[str]) -> None:
         """Spaced words are encoded together, the others alone."""
-        if len(self.hashes) + len(hashes) > self.keep:
-            self.clear()
         found: list[list[int]] = [[]] * len(texts)
         spaced = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t[1:].isalpha()]
         for a in range(0, len(spaced), 4096):
@@ -223,10 +232,9 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         start = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.start, self.size = (
-            np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.start, start), (self.size, size))
-        )
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.place.update(zip(texts, range(len(self.place), len(self.place) + len(texts)), strict=True))
+        self.held += sum(map(len, texts))
 
     def has_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
@@ -239,23 +247,17 @@ class Encoder:
         kind[ends] = END
         rare = np.unique([*np.searchsorted(ends, np.flatnonzero(kind == RARE)), *(i for i, t in enumerate(texts) if self.has_added(t))]).astype(int)
         begin = pretokens(points, np.minimum(kind, BLANK))
-        g = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points + 1).astype(np.uint64) * POWERS.get(len(points) + 1)[0][:-1], out=g[1:])
         stop = np.append(begin[1:], len(points))
-        hashes, first, at = np.unique(span_hash(g, begin, stop), return_index=True, return_inverse=True)
+        each = [whole[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
         ending = kind[begin] == END
-        slot = np.searchsorted(self.hashes, hashes)
-        if len(self.hashes):
-            new = self.hashes[np.minimum(slot, len(self.hashes) - 1)] != hashes
-        else:
-            new = np.ones(len(hashes), bool)
-        if new.any():
-            if len(self.hashes) + int(new.sum()) > self.keep:
+        mine = np.fromiter(map(self.place.get, each, repeat(-1)), np.int64, len(each))
+        new = list(dict.fromkeys(each[i] for i in np.flatnonzero(mine < 0)))
+        if new:
+            if len(self.place) + len(new) > self.keep or self.held > 4_000_000:
                 self.clear()
-                new[:] = True
-            self.learn(hashes[new], [whole[a:b] for a, b in zip(begin[first[new]], stop[first[new]], strict=True)])
-            slot = np.searchsorted(self.hashes, hashes)
-        mine = slot[at]
+                new = list(dict.fromkeys(each))
+            self.learn(new)
+            mine = np.fromiter(map(self.place.__getitem__, each), np.int64, len(each))
         size = np.where(ending, 0, self.size[mine])
         total = np.cumsum(size)
         flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[mine] - total + size, size)]
@@ -304,6 +306,7 @@ def write_tokens(
     added is the Encoder's. One range shuffle of the texts; a task holds one file's ids. Files of attempts that failed are not in the list.
     """
     order = order or ["doc_id"]
+    small_batches(docs.sparkSession)
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "token-files")
     keyed = docs.select(*dict.fromkeys([*order, "doc_id", "text"])).withColumn("_h", F.xxhash64("text"))
     placed = keyed.repartitionByRange(*order, "_h").sortWithinPartitions(*order, "_h").select("doc_id", "text")
@@ -325,7 +328,7 @@ def write_tokens(
             return row
 
         for frame in frames:
-            for group in batches([frame], lambda f: f["text"].str.len().fillna(0)):
+            for group in batches([frame]):
                 for doc_id, found in zip(group["doc_id"], encoder.encode(group["text"].tolist()), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     ids.append(np.concatenate([found, end]))
@@ -353,7 +356,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     {"doc_id": pd.array(doc_ids, "Int64"), "start": start + ends - sizes, "n_tokens": sizes, "ids_crc32": crc}
                 )
 
-    spread = files.select("path", "start").repartition(max(1, files.count()))
+    spread = files.select("path", "start").repartition(tasks_for(files.sparkSession, files.count()))
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripline.llm.common import LOWER, Joined, batches, prefix_hash, span_hash, stored, table, text_bytes
+from tripline.llm.common import Joined, batches, numbered, restored, set_aside, small_batches, stored, table, text_bytes, with_made, word_hashes
 from tripline.llm.supervised import as_vector, calibrated, calibration, remainder, training_sample
 
 IS_WORD = np.zeros(256, bool)
@@ -29,34 +30,29 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 #: Second-person words of the languages at hand.
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta vous votre vos tú ti usted vos vosotros".split()
 STEMS = (4, 5, 6)
-KINDS = (np.uint64(0), *(np.uint64(n * 0x9E3779B97F4A7C15 % 2**64) for n in STEMS))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    joined = Joined([w.encode() for w in words])
-    return span_hash(prefix_hash(joined.data), joined.start, joined.end)
 
 
 class Words:
-    """The words of several texts with the hashes of the words and of their beginnings."""
+    """The words of several texts with the hashes of the words and of their beginnings (0 where a word is shorter)."""
 
     def __init__(self, texts: list[str | None]) -> None:
         self.joined = Joined([text_bytes(t) for t in texts])
-        low = LOWER[self.joined.data]
-        self.start, self.end, self.hash, self.first = self.joined.words(IS_WORD)
+        self.start, self.end, words, self.first = self.joined.words(IS_WORD)
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        g = prefix_hash(low)
-        size = self.end - self.start
+        number, distinct = numbered(words), list(dict.fromkeys(words))
+        self.hash = word_hashes(distinct)[number]
         self.terms = [self.hash]
-        for n, kind in zip(STEMS, KINDS[1:], strict=True):
-            self.terms.append(np.where(size >= n, span_hash(g, self.start, np.minimum(self.start + n, self.end)) ^ kind, np.uint64(0)))
+        for n in STEMS:
+            begin = word_hashes([b"%d " % n + w[:n] for w in distinct])
+            begin[[len(w) < n for w in distinct]] = 0
+            self.terms.append(begin[number])
 
 
 def lexicon(sample: DataFrame, most: int = 400, least: int = 6, odds: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and of word beginnings that are ``odds`` times likelier in toxic documents, the strongest ``most`` of each."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
+        for part in batches(frames):
             words, y = Words(part["text"].tolist()), part["y"].to_numpy()
             for kind, terms in enumerate(words.terms):
                 order = np.lexsort((words.owner, terms))
@@ -104,7 +100,7 @@ def features(texts: list[str | None], words_lexicon: np.ndarray, stems_lexicon:
     hit = member(words_lexicon, words.terms[0])
     stem = np.logical_or.reduce([member(stems_lexicon, t) for t in words.terms[1:]])
     either = hit | stem
-    second = member(np.sort(word_hashes(SECOND_PERSON)), words.hash)
+    second = member(np.sort(word_hashes([w.encode() for w in SECOND_PERSON])), words.hash)
     near = second.copy()
     for d in range(1, 4):
         same = words.owner[d:] == words.owner[:-d]
@@ -132,14 +128,8 @@ def features(texts: list[str | None], words_lexicon: np.ndarray, stems_lexicon:
 
 def with_features(docs: DataFrame, lexicons: tuple[np.ndarray, np.ndarray], keep_text: bool = False) -> DataFrame:
     """The rows with the array x, in place of their text unless that is to be kept."""
-    kept = [c for c in docs.columns if keep_text or c != "text"]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, lambda f: f["text"].str.len().fillna(0)):
-            yield part[kept].assign(x=list(features(part["text"].tolist(), *lexicons)))
-
-    kinds = dict(docs.dtypes)
-    return docs.mapInPandas(work, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "x array<double>"]))
+    made = {"x": ("array<double>", pa.list_(pa.float64()))}
+    return with_made(docs, lambda texts: {"x": list(features(texts, *lexicons))}, made, keep_text)
 
 
 def toxicity(
@@ -147,11 +137,14 @@ def toxicity(
 ) -> DataFrame:
     """doc_id (or all columns) and score (0 to 1) of every document; learned from at most about ``bound`` labelled ones that
     allowed marks. A column named score is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "raw", "x")] if keep_columns else ["doc_id"]
+    small_batches(docs.sparkSession)
     sample = stored(training_sample(docs, labels, "toxic", allowed, bound), "sample")
+    docs, names = set_aside(docs, "doc_id", "text")
+    names = {c: n for c, n in names.items() if c == "doc_id" or keep_columns and c != "score"} | {"score": "score"}
+    kept = [n for n in names.values() if n != "score"]
     if sample.where("fold > 0").select("y").distinct().count() < 2:
         mean = sample.agg(F.avg("y")).first()[0] or 0.0
-        return docs.select(*kept, F.lit(float(mean)).alias("score"))
+        return restored(docs.withColumn("score", F.lit(float(mean))), names)
     lexicons = lexicon(sample.where("fold > 0"))
     learning = stored(with_features(sample, lexicons), "features")
     model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, seed=7)
@@ -161,9 +154,8 @@ def toxicity(
         return model.transform(df.withColumn("v", as_vector("x"))).withColumn("raw", vector_to_array("probability")[1])
 
     isotonic = calibration(raw(learning.where("fold = 0")))
-    needed = docs.select(*dict.fromkeys([*kept, "text"]))
-    scored = raw(with_features(needed, lexicons, keep_text="text" in kept))
-    return calibrated(scored.select(*kept, "raw"), isotonic)
+    scored = raw(with_features(docs.select(*dict.fromkeys([*kept, "text"])), lexicons, keep_text="text" in kept))
+    return restored(calibrated(scored.select(*kept, "raw"), isotonic), names)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
