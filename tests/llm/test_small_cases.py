@@ -85,7 +85,7 @@ def test_suffix_array_and_prefixes():
     r = random.Random(5)
     for _ in range(20):
         data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(r.randint(1, 300))) * r.randint(1, 3), np.uint8)
-        order = suffix_dedup.suffix_array(data, 50)
+        order, several = suffix_dedup.suffix_array(data, 50)
         raw = data.tobytes()
         keys = [raw[i : i + 64].ljust(64, b"\0") for i in order]
         assert keys == sorted(keys)
@@ -95,6 +95,8 @@ def test_suffix_array_and_prefixes():
         for a, b in zip(order, order[1:], strict=False):
             same = next((k for k in range(50) if padded[a + k] != padded[b + k]), 50)
             assert got[b] == same
+        some = suffix_dedup.common_prefixes(data, order, starts, 50, several)
+        assert ((some == 50) == (got == 50)).all() and ((some == got) | (some == 0)).all()
 
 
 def test_search(spark):
@@ -177,18 +179,6 @@ def test_lines(spark):
     assert line_dedup.removed_lines(documents(spark, rows).limit(0)).count() == 0
 
 
-def test_simhash_of_any_length(spark):
-    texts = {1: "a b c d e f g h", 2: " ".join(f"w{i % 977}" for i in range(40_000))}
-    lines = line_dedup.lines_of(documents(spark, [(d, t, "s") for d, t in texts.items()]), 5)
-    lines = lines.select("row", "doc_id", "line", F.xxhash64("norm").alias("id"), "words")
-    got = {r.doc_id: r.sim for r in line_dedup.with_simhash(lines).collect()}
-    for d, t in texts.items():
-        words = spark.createDataFrame([(w,) for w in t.split()], "w string")
-        hashes = np.array([r.h for r in words.select(F.xxhash64("w").alias("h")).collect()], np.int64).view(np.uint64)
-        bits = [int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(hashes) for b in range(64)]
-        assert got[d] & (2**64 - 1) == sum(1 << b for b in range(64) if bits[b])
-
-
 def labelled(spark, n, text, column):
     rows = [(1000 + i, text(i, i % 4 == 0), "s") for i in range(n)]
     labels = [(1000 + i, int((i % 4 == 0) == (column == "toxic"))) for i in range(n)]
@@ -243,7 +233,7 @@ def test_decontamination(spark):
     items = [(10, passages[0]), (9, passages[1]), (100, "Rare-Short phrase"), (11, ""), (12, None), (None, passages[2]), (13, passages[0])]
     rows = [(1, babble(1, 30) + " " + passages[0] + " " + babble(2, 5), "s"), (2, passages[1].upper(), "s"), (3, "a rare short, PHRASE é rare", "s"), (4, passages[2], "s"), (5, babble(5, 50), "s"), (1, passages[1], "s")] + ODD
     items = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.decontaminate(documents(spark, rows), items, shard_bytes=200, block_rows=3).collect()
+    found = decontamination.decontaminate(documents(spark, rows), items, shard_bytes=200, block_bytes=150).collect()
 
     def words(t):
         return WORD.findall((t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
