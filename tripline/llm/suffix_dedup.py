@@ -29,6 +29,7 @@ import io
 import os
 import zlib
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -64,9 +65,9 @@ def eight(data: np.ndarray) -> np.ndarray:
     return word
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the GRAM bytes at each place where so many are left; never 0."""
-    word = eight(data)
+def gram_hashes(data: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the GRAM bytes at each place where so many are left; never 0. word is eight(data), if that is at hand."""
+    word = eight(data) if word is None or len(word) < len(data) else word
     n = len(data) - GRAM + 1
     h = mixed(word[:n])
     for at in (8, GRAM - 8):
@@ -77,11 +78,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 class Anchors:
     """The anchors of a shard: place, hash, and the bytes from ``start`` to ``end`` that their strings cover."""
 
-    def __init__(self, joined: Joined, length: int) -> None:
+    def __init__(self, joined: Joined, length: int, word: np.ndarray | None = None) -> None:
         data, width = joined.data, length - GRAM + 1
         if len(data) < GRAM:
             data = np.concatenate([data, np.zeros(GRAM, np.uint8)])
-        h = gram_hashes(data)
+        h = gram_hashes(data, word)
         n = len(h)
         least = sliding(np.minimum, h, width)
         rest = np.repeat(joined.end, np.diff(np.concatenate([[0], joined.end + 1])))[:n] - np.arange(min(n, len(joined.data)))
@@ -106,11 +107,11 @@ class Anchors:
         self.end = (np.maximum.reduceat(last, cut) if len(cut) else cut) + length
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, depth: int, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted suffixes of the bytes by their first ``depth`` bytes at least, ties by place; zeros follow the end. Also which of the sorted
     suffixes may share ``depth`` bytes with another, as they tie in the last round of refinement."""
     n = len(data)
-    word = eight(data)
+    word = eight(data) if word is None else word
     order = np.argsort(word).astype(np.int32)
     key = word[order]
     starts = np.concatenate([[True], key[1:] != key[:-1]])
@@ -168,9 +169,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, mos
     return out
 
 
-def string_classes(data: np.ndarray, length: int, stretch: int = 128) -> np.ndarray:
+def string_classes(data: np.ndarray, length: int, word: np.ndarray | None = None, stretch: int = 128) -> np.ndarray:
     """Of each place the number of the ``length`` bytes that start there, in sorted order: equal numbers, equal bytes."""
-    order, several = suffix_array(data, length)
+    order, several = suffix_array(data, length, word)
     shared = common_prefixes(data, order, np.arange(0, len(data), stretch), length, several)
     out = np.empty(len(data), np.int32)
     out[order] = np.cumsum(shared[order] < length, dtype=np.int32) - 1
@@ -218,7 +219,7 @@ def decide(blocks: list[tuple[np.ndarray, ...]], length: int) -> list[np.ndarray
     their strings start in a document before that least one, as bits; ALL if the context itself is in an earlier one."""
     width = 2 * length - GRAM
     given = [Contexts(*b, width) for b in blocks]
-    merged = [Contexts(*b, width) for b in blocks]
+    merged = [copy(x) for x in given]
     while len(merged) > 1:
         merged = [x.merge(y[0]) if y else x for x, y in ((merged[i], merged[i + 1 : i + 2]) for i in range(0, len(merged), 2))]
     found = merged[0]
@@ -400,13 +401,14 @@ def remove_repeats(
             for name, answer in zip(frame["shard"], frame["answers"], strict=True):
                 shard = Shard.get(name)
                 joined, owner = shard.joined, np.repeat(np.arange(len(shard.ids)), shard.joined.end - shard.joined.start + 1)
-                cls = string_classes(joined.data, length)
+                word = eight(joined.data)
+                cls = string_classes(joined.data, length, word)
                 begins = np.flatnonzero(joined.end[owner] - np.arange(len(owner)) >= length)  # where strings start
                 mine, ids, known = cls[begins], shard.ids[owner[begins]], shard.known[owner[begins]]
                 least, some = least_by(mine, int(cls.max()) + 1, ids, known)
                 starts = np.zeros(len(joined.data), bool)
                 starts[begins] = earlier(least[mine], some[mine], ids, known)
-                found = Anchors(joined, length)
+                found = Anchors(joined, length, word)
                 hashes = told_of(found.hash)
                 told = np.unique(hashes)
                 good, bits = np.zeros(len(told), bool), {x["bucket"]: x["bits"] for x in ([] if answer is None else answer)}
