@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import decontamination, line_dedup, mixing, near_dedup, quality, search, suffix_dedup, tokens, toxicity, warc
+from tripline.llm import decontamination, line_dedup, mixing, near_dedup, packing, quality, search, suffix_dedup, tokens, toxicity, warc
 
-MODULES = (warc, suffix_dedup, search, tokens, line_dedup, quality, toxicity, decontamination, near_dedup, mixing)
+MODULES = (warc, suffix_dedup, search, tokens, line_dedup, quality, toxicity, decontamination, near_dedup, mixing, packing)
 
 
 def queries() -> dict:
