@@ -1,8 +1,22 @@
 """The registered queries of this subpackage and the SQL that some of them equal."""
 
-from tripline.llm import decontamination, line_dedup, mixing, near_dedup, packing, quality, search, suffix_dedup, tokens, toxicity, warc
+from tripline.llm import (
+    decontamination,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    search,
+    spelling,
+    suffix_dedup,
+    tokens,
+    toxicity,
+    vector_codes,
+    warc,
+)
 
-MODULES = (warc, suffix_dedup, search, tokens, line_dedup, quality, toxicity, decontamination, near_dedup, mixing, packing)
+MODULES = (warc, suffix_dedup, search, tokens, line_dedup, quality, toxicity, decontamination, near_dedup, mixing, spelling, packing, vector_codes)
 
 
 def queries() -> dict:
