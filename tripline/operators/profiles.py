@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tripline.functions.text import TOPICS, polarity, topic_flags
 from tripline.functions.time import days_between
-from tripline.operators.relational import row_index
+from tripline.operators.ordering import medians
+from tripline.sources.storage import stored
 
 
 def rating_stats(user: str, rating: str, item: str, ts: str, text: str | None = None) -> list[Column]:
@@ -64,26 +65,21 @@ def loyalty(visits: DataFrame, user: str, item: str) -> DataFrame:
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row, median: the middle value, or the mean of both, chosen by rank over a range shuffle."""
-    values = df.select(F.col(column).cast("double").alias("_v")).where("_v is not null")
-    n = values.agg(F.count("*").alias("_n"))
-    ranked = row_index(values, ["_v"], "_i").crossJoin(F.broadcast(n))
-    middle = (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.floor(F.col("_n") / 2))
-    return ranked.where(middle).agg(F.avg("_v").alias("median"))
+    """One row, median: the middle value, or the mean of both."""
+    return df.sparkSession.createDataFrame([(medians(df, [column])[column],)], "median double")
 
 
 def median_flags(users: DataFrame, columns: dict[str, str], frequency: str | None = None) -> DataFrame:
     """Flags (name -> column) whether a user is above the median of all users, and a low, medium or high frequency bucket (below half,
-    above twice the median)."""
+    above twice the median). The users are stored, so that they are made once for all medians and the result."""
     wanted = list(dict.fromkeys([*columns.values(), *([frequency] if frequency else [])]))
-    out = users
-    for c in wanted:
-        out = out.crossJoin(F.broadcast(exact_median(users, c).select(F.col("median").alias(f"_m_{c}"))))
-    out = out.withColumns({name: F.coalesce(F.col(c) > F.col(f"_m_{c}"), F.lit(False)) for name, c in columns.items()})
+    users = stored(users, "users")
+    middle = {c: F.lit(m) for c, m in medians(users, wanted).items()}
+    out = users.withColumns({name: F.coalesce(F.col(c) > middle[c], F.lit(False)) for name, c in columns.items()})
     if frequency:
-        f, m = F.col(frequency), F.col(f"_m_{frequency}")
+        f, m = F.col(frequency), middle[frequency]
         out = out.withColumn("frequency_bucket", F.when(f < 0.5 * m, "low").when(f > 2 * m, "high").otherwise("medium"))
-    return out.drop(*[f"_m_{c}" for c in wanted])
+    return out
 
 
 def sentiment(reviews: DataFrame, key: str, text: str = "text", score: Column | None = None) -> DataFrame:

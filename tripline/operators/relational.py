@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripline.operators.ordering import numbered
+
 
 def key_order(keys: list[str], descending: tuple[str, ...] = ()) -> list[Column]:
     return [F.desc(k) if k in descending else F.asc(k) for k in keys]
@@ -78,20 +80,8 @@ def dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def row_index(df: DataFrame, keys: list[str], name: str = "row_index") -> DataFrame:
-    """Dense numbers from 0 in the order of the keys.
-
-    A range shuffle sorts the rows; counts of its partitions, summed up, give each partition's first number. No single task
-    sees all rows.
-    """
-    # The number of partitions is given, so that the rows and their counts are dealt out alike.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    numbered = ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    numbered = numbered.withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    """Dense numbers from 0 in the order of the keys; see :mod:`tripline.operators.ordering`."""
+    return numbered(df, keys, name)[0]
 
 
 def aligned_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripline.operators.relational import row_index
+from tripline.operators.ordering import numbered
 
 
 def _named(index: Column, n: Column, shares: tuple[float, ...], names: tuple[str, ...]) -> Column:
@@ -21,9 +21,8 @@ def rows_by_time(
     df: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.70, 0.15), names: tuple[str, ...] = ("train", "val", "test")
 ) -> DataFrame:
     """The rows with split: the first shares in the order of the keys (time, then tiebreakers), the rest the last name."""
-    total = df.agg(F.count("*").alias("_n"))
-    numbered = row_index(df, keys, "_i").crossJoin(F.broadcast(total))
-    return numbered.withColumn("split", _named(F.col("_i"), F.col("_n"), shares, names)).drop("_i", "_n")
+    rows, n = numbered(df, keys, "_i")
+    return rows.withColumn("split", _named(F.col("_i"), F.lit(n), shares, names)).drop("_i")
 
 
 def users_by_time(

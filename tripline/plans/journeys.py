@@ -12,10 +12,11 @@ from tripline.functions import text
 from tripline.functions import time as t
 from tripline.operators import export, features, geo_join, profiles, ranking, sampling, sequences, splits
 from tripline.plans.places import km
-from tripline.plans.tables import RANKED, ranking_frame, scratch
+from tripline.plans.tables import RANKED, ranking_frame
 from tripline.plans.visits import events, query
 from tripline.sources import readers, writers
 from tripline.sources.readers import table
+from tripline.sources.storage import scratch
 
 CATEGORIES = ("pizza", "dessert", "breakfast", "american", "sushi", "cafe")
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")

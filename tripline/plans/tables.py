@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,7 @@ from tripline.operators import export, profiles, ranking, relational, vocab
 from tripline.plans.visits import events, query
 from tripline.sources import readers, writers
 from tripline.sources.readers import table
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, or in the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tripline.sources.storage import scratch
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
