@@ -31,68 +31,82 @@ from tripline.llm.common import batches, drop, kept, shared_dir, small_batches,
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, `offset` long"
 
-#: Parts of a run of text without blanks that the tokenizer never joins: words of Latin letters (with apostrophes inside), and other printable ASCII.
-PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+(?:'[A-Za-zÀ-ÖØ-öø-ſ]+)*|[!-@\[-`{-~]+")
-PARTS = re.compile(f"(?:{PART.pattern})+")
-#: Where an apostrophe begins a short form, the rule above does not hold; nor where an added token may stand.
-WHOLE = re.compile(r"(?<![^0-9])'|<\|")
+#: In texts of these characters, words of Latin letters (with apostrophes inside) and runs of other printable ASCII are never joined by the
+#: tokenizer, which lower-cases them as Python does.
+PLAIN = re.compile("[ -~\nÀ-ÖØ-öø-ÿ]*")
+UNIT = re.compile(r"[a-zà-öø-ÿ]+(?:'[a-zà-öø-ÿ]+)*|[!-@\[-`{-~]+")
+WORD = re.compile("[a-zà-öø-ÿ]+")
+#: But where an apostrophe may begin a short form.
+SHORT = re.compile("(?:^|[ \n0-9])'")
+#: The units of texts without apostrophes.
+SIMPLE = re.compile(r"[a-zà-öø-ÿ]+|[!-@\[-`{-~]+")
 BLANK = re.compile("[ \n]")
 
 
-class RunEncoder:
-    """Encodes texts with a tokenizer that drops white space, so that runs without blanks and line feeds are encoded apart.
+def units(text: str) -> list[str]:
+    """Strings whose ids, one after the other, are the text's: words and the like of a plain text, else what stands between blanks."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        if "'" not in text:
+            return SIMPLE.findall(text.lower())
+        if not SHORT.search(text):
+            return UNIT.findall(text.lower())
+    return text.replace("\n", " ").split(" ")
 
-    What a run encodes to is kept, and so is what its parts encode to; at most about ``keep`` of each, of at most 8 million characters.
+
+class UnitEncoder:
+    """Encodes texts with a lower-casing tokenizer that drops white space; what a unit encodes to is kept.
+
+    At most about ``keep`` units, of 16 million characters, are kept; then it begins anew.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.parts: dict[str, list[int]] = {}
-        self.parts_held = 0
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.place: dict[str, int] = {}  # of each unit in start and size
         self.held = 0
-        self.start = self.size = np.zeros(1, np.int64)
+        self.start = self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, runs: list[str]) -> None:
-        """Keeps the ids of runs that are new."""
-        each = [PART.findall(r) if PARTS.fullmatch(r) and not WHOLE.search(r) else [r] for r in runs]
-        if len(self.parts) > self.keep or self.parts_held > 8_000_000:
-            self.parts, self.parts_held = {}, 0
-        new = [p for p in dict.fromkeys(chain.from_iterable(each)) if p not in self.parts]
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            self.parts.update(zip(some, (x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
-        self.parts_held += sum(map(len, new))
-        found = [self.parts[p[0]] if len(p) == 1 else [i for x in p for i in self.parts[x]] for p in each]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.place.update(zip(runs, range(len(self.place), len(self.place) + len(runs)), strict=True))
+    def learn(self, new: list[str]) -> None:
+        """Words are encoded together, other units alone."""
+        words, others = [], []
+        for x in new:
+            (words if WORD.fullmatch(x) else others).append(x)
+        for a in range(0, len(words), 4096):
+            some = words[a : a + 4096]
+            whole = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            self._keep(some, np.bincount(np.array(whole.word_ids, np.int64), minlength=len(some)), whole.ids)
+        found = [x.ids for x in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        self._keep(others, np.fromiter(map(len, found), np.int64, len(found)), list(chain.from_iterable(found)))
+
+    def _keep(self, new: list[str], size: np.ndarray, ids: list[int]) -> None:
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
-        self.held += sum(map(len, runs))
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        self.held += sum(map(len, new))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        runs = list(chain.from_iterable(split))
-        mine = np.fromiter(map(self.place.get, runs, repeat(-1)), np.int64, len(runs))
-        new = list(dict.fromkeys(runs[i] for i in np.flatnonzero(mine < 0)))
-        if new:
-            if len(self.place) + len(new) > self.keep or self.held > 8_000_000:
+        split = [units(t) for t in texts]
+        each = list(chain.from_iterable(split))
+        mine = np.fromiter(map(self.place.get, each, repeat(-1)), np.int64, len(each))
+        unknown = np.flatnonzero(mine < 0).tolist()
+        if unknown:
+            new = dict.fromkeys(each[i] for i in unknown)
+            if len(self.place) + len(new) > self.keep or self.held > 16_000_000:
                 self.clear()
-                new = [r for r in dict.fromkeys(runs) if r]
-            self.learn(new)
-            mine = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
+                unknown, new = range(len(each)), dict.fromkeys(each)
+            self.learn(list(new))
+            mine[unknown] = [self.place[each[i]] for i in unknown]
         size = self.size[mine]
-        total = np.cumsum(size)
-        flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[mine] - total + size, size)]
-        return np.split(flat, total[np.cumsum([len(s) for s in split]) - 1][:-1])
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[mine] - total[:-1], size)]
+        return np.split(flat, total[np.cumsum([len(s) for s in split])[:-1]])
 
     def encode(self, texts: list[str | None], most: int = 1_000_000) -> list[np.ndarray]:
         """The ids of each text; texts of more than ``most`` characters are encoded piece by piece, cut at blanks."""
@@ -114,8 +128,8 @@ class RunEncoder:
 
 
 @cache
-def encoder_of(path: str) -> RunEncoder:
-    return RunEncoder(path)
+def encoder_of(path: str) -> UnitEncoder:
+    return UnitEncoder(path)
 
 
 class OpenBins:
