@@ -34,12 +34,12 @@ PLACED = f"{PIECES}, sequence_id long, `offset` long"
 #: In texts of these characters, words of Latin letters (with apostrophes inside) and runs of other printable ASCII are never joined by the
 #: tokenizer, which lower-cases them as Python does.
 PLAIN = re.compile("[ -~\nÀ-ÖØ-öø-ÿ]*")
-UNIT = re.compile(r"[a-zà-öø-ÿ]+(?:'[a-zà-öø-ÿ]+)*|[!-@\[-`{-~]+")
-WORD = re.compile("[a-zà-öø-ÿ]+")
+UNIT = re.compile(r"[a-zß-öø-ÿ]+(?:'[a-zß-öø-ÿ]+)*|[!-@\[-`{-~]+")
+WORD = re.compile("[a-zß-öø-ÿ]+")
 #: But where an apostrophe may begin a short form.
 SHORT = re.compile("(?:^|[ \n0-9])'")
 #: The units of texts without apostrophes.
-SIMPLE = re.compile(r"[a-zà-öø-ÿ]+|[!-@\[-`{-~]+")
+SIMPLE = re.compile(r"[a-zß-öø-ÿ]+|[!-@\[-`{-~]+")
 BLANK = re.compile("[ \n]")
 
 
