@@ -169,12 +169,39 @@ def ranking_data(df: DataFrame, query: list[str], categories: dict[str, list], l
     return wide.select(*query, tie, label, size.alias("group_size"), x.alias("x")), names
 
 
-def evaluate(ranked_rows: DataFrame, query: str, label: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """One row: recall_mrr and the nDCG at each k."""
-    out = recall_mrr(ranked_rows, query, label, ks)
-    for k in ks:
-        out = out.crossJoin(F.broadcast(ndcg(ranked_rows, query, label, k).drop("n_queries")))
-    return out
+def evaluate(ranked_rows: DataFrame, query: str, label: str, ks: tuple[int, ...] = (1, 5, 10), queries: int | None = None, seed: int = 42) -> DataFrame:
+    """One row: recall_mrr and the nDCG at each k, all of one aggregate: a query keeps its first hit, its sums and its first max(ks) labels, and
+    each k's gains are expressions over these.
+
+    With ``queries``, the nDCG is that of so many queries, drawn by the hash of their keys.
+    """
+    hit, most = F.col(label) == 1, max(ks)
+    top = F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", F.col(label).cast("double").alias("y"))))
+    each = ranked_rows.groupBy(query).agg(
+        F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1.0 / F.col("rank"))).alias("rr"), F.count_if(hit).alias("hits"), F.sort_array(top).alias("top")
+    )
+
+    def summed(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+    def ndcg_at(k: int) -> Column:
+        rows = F.filter("top", lambda r: r["rank"] <= k)
+        gain = summed(F.transform(rows, lambda r: r["y"] / F.log2(r["rank"] + 1)))
+        ideal = summed(F.transform(F.sort_array(F.transform(rows, lambda r: r["y"]), False), lambda y, i: y / F.log2(i + 2)))
+        return F.when(ideal > 0, gain / ideal).otherwise(0.0)
+
+    n = F.count("*")
+    recalls = [(F.count_if(F.col("first") <= k) / n).alias(f"recall_at_{k}") for k in ks]
+    each = each.withColumns({f"ndcg_{k}": ndcg_at(k) for k in ks})
+    if queries is None:
+        gains = [F.avg(f"ndcg_{k}").alias(f"ndcg_at_{k}") for k in ks]
+    else:
+        each = each.withColumn("drawn", F.xxhash64(query, F.lit(seed)))
+        least = each.select(query, "drawn").orderBy("drawn", query).limit(queries).select(F.col(query).alias("_q"))
+        each = each.join(F.broadcast(least) if queries <= 100_000 else least, each[query] == F.col("_q"), "left")
+        gains = [F.avg(F.when(F.col("_q").isNotNull(), F.col(f"ndcg_{k}"))).alias(f"ndcg_at_{k}") for k in ks]
+    mrr = [F.try_divide(F.sum("rr"), F.sum("hits")).alias("mrr"), (F.sum(F.coalesce(1.0 / F.col("first"), F.lit(0.0))) / n).alias("mrr_all")]
+    return each.agg(n.alias("n_queries"), *recalls, *mrr, *gains)
 
 
 def fit_pairwise(df: DataFrame, query: str, label: str, features: list[str], most_negatives: int = 8) -> PipelineModel:
