@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripline.functions.geo import haversine_km
+from tripline.functions.geo import cell_sizes, haversine_km
 from tripline.functions.time import add_hours
-from tripline.operators.geo_join import distance_band, radius_join
+from tripline.operators.geo_join import distance_band
+from tripline.sources.storage import stored
 
 
 def draw(*keys: Column, seed: int = 42) -> Column:
@@ -30,19 +31,19 @@ def hash_sample_per(df: DataFrame, group: list[str], keys: list[str], n: int, se
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def numbered(df: DataFrame, group: list[str], item: str, seed: int = 42, spread: int = 256) -> tuple[DataFrame, DataFrame]:
-    """The items of each group with their place in it (from 0, in an order of hashes), and each group's size.
+def numbered(df: DataFrame, group: list[str], item: str, seed: int = 42, spread: int = 256, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The items of each group (and columns to keep) with their place in it (from 0, in an order of hashes), and each group's size.
 
     A group is ranked within ``spread`` ranges of hashes, and the ranges' counts are summed up, so that no task holds a whole group.
     """
-    rows = df.select(*group, item).withColumn("_h", F.xxhash64(*group, item, F.lit(seed)))
+    rows = df.select(*group, item, *keep).withColumn("_h", F.xxhash64(*group, item, F.lit(seed)))
     rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 40) % spread)
     counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", item)) - 1
     placed = rows.withColumn("_r", rank).join(starts, [*group, "_b"])
-    return placed.select(*group, item, (F.col("_start") + F.col("_r")).alias("place")), counts.groupBy(*group).agg(F.sum("_n").alias("size"))
+    return placed.select(*group, item, *keep, (F.col("_start") + F.col("_r")).alias("place")), counts.groupBy(*group).agg(F.sum("_n").alias("size"))
 
 
 def _drawn(pairs: DataFrame, pool: DataFrame, group: str, n: int, others: int, wanted: Callable[[Column], Column], seed: int) -> DataFrame:
@@ -59,6 +60,67 @@ def _drawn(pairs: DataFrame, pool: DataFrame, group: str, n: int, others: int, w
     return out.withColumn("_i", items).withColumn("drawn", F.slice(F.filter("_i", lambda x: wanted(x)), 1, n) if n else F.slice("_i", 1, 0)).drop("_i", "_l")
 
 
+def _celled(places: DataFrame, d_lat: float, d_lon: float) -> DataFrame:
+    return places.withColumns({"x": F.floor(F.col("lat") / d_lat), "y": F.floor(F.col("lon") / d_lon)})
+
+
+def near_draws(pairs: DataFrame, places: DataFrame, n: int, km: float, seed: int = 42, waves: tuple[int, ...] = (8, 32, 100), fine: int = 8, max_lat: float = 60.0) -> DataFrame:
+    """The pairs (pair_id, src_id, dst_id and others, src_lat, src_lon) with drawn: n random places within km of the source that are neither end, or
+    all such places, if they are fewer.
+
+    No neighbourhood is listed: the members of grid cells are numbered, a draw is a position among the members of the nine cells
+    around the source, and is kept if its distance fits. Pairs that lack places after the first wave of draws get the next one; those that still
+    do get the exact answer, from cells ``fine`` times as small that the circle touches. A dense cell is many positions, not many rows.
+    """
+    d_lat, d_lon = cell_sizes(km, max_lat)
+    pairs = stored(pairs, "pairs")
+    spots = places.select("id", "lat", "lon").where("lat is not null and lon is not null")
+    members, sizes = numbered(_celled(spots, d_lat, d_lon), ["x", "y"], "id", seed, keep=("lat", "lon"))
+    sources = pairs.select(F.col("src_id").alias("id"), F.col("src_lat").alias("lat"), F.col("src_lon").alias("lon")).distinct()
+    nine = _celled(sources, d_lat, d_lon).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumnsRenamed({"x": "x0", "y": "y0"})
+    nine = nine.withColumns({"x": F.expr("x0 + k div 3 - 1"), "y": F.expr("y0 + k % 3 - 1")}).join(sizes, ["x", "y"])
+    # end0 to end8: how many members the cells have up to each.
+    ends = [F.sum(F.when(F.col("k") <= i, F.col("size")).otherwise(0)).alias(f"end{i}") for i in range(9)]
+    nine = stored(nine.groupBy(F.col("id").alias("src_id"), "x0", "y0").agg(*ends), "cells")
+    members, partitions = stored(members, "members"), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = (F.col("id") != F.col("src_id")) & (F.col("id") != F.col("dst_id")) & (haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("lat"), F.col("lon")) <= km)
+
+    def drawn(rows: DataFrame, tries: int) -> DataFrame:
+        # Each pair becomes many rows: they are dealt out in as many tasks as a shuffle has, however small the pairs are.
+        asked = rows.select("pair_id", "src_id", "dst_id", "src_lat", "src_lon").join(nine, "src_id").repartition(partitions, "pair_id")
+        asked = asked.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+        asked = asked.withColumn("u", F.coalesce(F.pmod(F.xxhash64("pair_id", "t", F.lit(seed)), F.col("end8")), F.lit(0)))
+        below = [F.when(F.col("u") >= F.col(f"end{i}"), F.col(f"end{i}")).otherwise(0) for i in range(9)]
+        asked = asked.withColumn("k", sum((F.when(F.col("u") >= F.col(f"end{i}"), 1).otherwise(0) for i in range(8)), F.lit(0)))
+        place = F.col("u") - F.greatest(*below)
+        asked = asked.select("pair_id", "src_id", "dst_id", "src_lat", "src_lon", "t", F.expr("coalesce(x0 + k div 3 - 1, 0) AS x"), F.expr("coalesce(y0 + k % 3 - 1, 0) AS y"), F.coalesce(place, F.lit(0)).alias("place"))
+        found = asked.join(members, ["x", "y", "place"]).where(fits).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("l"))
+        ids = F.slice(F.array_distinct(F.transform("l", lambda r: r["id"])), 1, n)
+        return stored(rows.join(found.select("pair_id", ids.alias("drawn")), "pair_id", "left"), "drawn")
+
+    none = F.array().cast(f"array<{dict(places.dtypes)['id']}>")
+    out, rest = None, pairs
+    for tries in waves:
+        now = drawn(rest, tries)
+        full = now.where(F.size("drawn") == n)
+        out = full if out is None else out.unionByName(full)
+        rest = now.where(F.coalesce(F.size("drawn") < n, F.lit(True))).drop("drawn")
+        if rest.isEmpty():
+            return out
+    # What is left: sources with few places around.
+    f_lat, f_lon = d_lat / fine, d_lon / fine
+    steps = F.sequence(F.lit(-fine - 1), F.lit(fine + 1))
+    few = rest.select(F.col("src_id").alias("id"), F.col("src_lat").alias("lat"), F.col("src_lon").alias("lon")).distinct()
+    cells = _celled(few, f_lat, f_lon).withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    # A cell so many steps away is at least one step less away; cells beyond the circle are left out.
+    gap = F.pow(F.greatest(F.abs("i") - 1, F.lit(0)) / fine, 2) + F.pow(F.greatest(F.abs("j") - 1, F.lit(0)) / fine * F.cos(F.radians(F.least(F.abs("lat") + d_lat, F.lit(90.0)))) / F.cos(F.radians(F.lit(max_lat))), 2)
+    cells = cells.where(gap <= 1.001).select(F.col("id").alias("src_id"), (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"))
+    near = cells.join(_celled(spots, f_lat, f_lon), ["x", "y"]).drop("x", "y").join(rest.select("pair_id", "src_id", "dst_id", "src_lat", "src_lon"), "src_id").where(fits)
+    some = hash_sample_per(near.select("pair_id", "id"), ["pair_id"], ["id"], n, seed).groupBy("pair_id").agg(F.sort_array(F.collect_list("id")).alias("drawn"))
+    last = rest.join(some, "pair_id", "left").withColumn("drawn", F.coalesce("drawn", none))
+    return out.unionByName(last)
+
+
 def hybrid_negatives(pairs: DataFrame, places: DataFrame, n: int = 4, km: float = 10.0, seed: int = 42) -> DataFrame:
     """Negatives for pairs (pair_id, src_id, dst_id, src_ts): of n, int(n / 2) near the source, int(0.3 n) related to it and the rest of its
     category, drawn in this order from all places; none is the destination, drawn twice, or (but for related ones) the source. Where
@@ -69,10 +131,11 @@ def hybrid_negatives(pairs: DataFrame, places: DataFrame, n: int = 4, km: float
     near, related = n // 2, int(n * 0.3)
     category = n - near - related
     place = places.select("id", "lat", "lon", "category", "relative_results")
-    base = pairs.select("pair_id", "src_id", "dst_id", "src_ts").join(place.select(F.col("id").alias("src_id"), F.col("category").alias("_category")), "src_id")
+    source = place.select(F.col("id").alias("src_id"), F.col("category").alias("_category"), F.col("lat").alias("src_lat"), F.col("lon").alias("src_lon"))
+    base = pairs.select("pair_id", "src_id", "dst_id", "src_ts").join(source, "src_id")
     sources = place.join(base.select(F.col("src_id").alias("id")).distinct(), "id", "left_semi")
-    around = radius_join(sources.select("id", "lat", "lon"), place.select("id", "lat", "lon"), "id", km).select("src_id", F.col("dst_id").alias("cand"))
-    rows = _drawn(base, around, "src_id", near, 1, lambda x: x != F.col("dst_id"), seed).withColumnRenamed("drawn", "_near")
+    rows = near_draws(base, place, near, km, seed) if near else base.withColumn("drawn", F.array().cast(f"array<{dict(places.dtypes)['id']}>"))
+    rows = rows.withColumnRenamed("drawn", "_near").drop("src_lat", "src_lon")
 
     known = sources.select("id", F.explode("relative_results").alias("cand")).join(place.select(F.col("id").alias("cand")), "cand", "left_semi")
     known = known.groupBy(F.col("id").alias("src_id")).agg(F.collect_set("cand").alias("_known"))  # as many as the place's own list has
@@ -98,25 +161,41 @@ def hybrid_negatives(pairs: DataFrame, places: DataFrame, n: int = 4, km: float
     return out.select("pair_id", "src_id", "dst_id", "strategy", "delta_hours", add_hours(F.col("src_ts"), F.col("delta_hours")).alias("dst_ts"))
 
 
-def distance_matched(pairs: DataFrame, places: DataFrame, attempts: int = 50, seed: int = 42) -> DataFrame:
+def distance_matched(pairs: DataFrame, places: DataFrame, attempts: int = 50, seed: int = 42, waves: tuple[int, ...] = (3, 12)) -> DataFrame:
     """For each pair (pair_id, src_id, dst_id) one place whose distance from the source fits the destination's (distance_band): the first that
     fits of so many places drawn at random, or else the first drawn that is neither end, whose distance is then given as 0.
 
-    places has id, lat, lon. Returns pair_id, neg_id, distance_km, matched; pairs without any place to draw are left out.
+    places has id, lat, lon. Returns pair_id, neg_id, distance_km, matched; pairs without any place to draw are left out. Draws are made in
+    waves: only the pairs that have found none go on to the next.
     """
     spots = places.select("id", "lat", "lon")
-    numbers, sizes = numbered(spots.select(F.lit(0).alias("_all"), F.col("id").alias("cand")), ["_all"], "cand", seed)
-    ends = pairs
+    numbers, sizes = numbered(spots.select(F.lit(0).alias("_all"), "id", "lat", "lon"), ["_all"], "id", seed, keep=("lat", "lon"))
+    numbers, sizes = stored(numbers.drop("_all"), "places"), sizes.select("size")
+    partitions = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = pairs.select("pair_id", "src_id", "dst_id")
     for end in ("src", "dst"):
         ends = ends.join(spots.select(F.col("id").alias(f"{end}_id"), F.col("lat").alias(f"_{end}_lat"), F.col("lon").alias(f"_{end}_lon")), f"{end}_id")
     positive = haversine_km(F.col("_src_lat"), F.col("_src_lon"), F.col("_dst_lat"), F.col("_dst_lon"))
-    asked = ends.crossJoin(F.broadcast(sizes.select("size"))).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    asked = asked.withColumn("place", F.pmod(F.xxhash64("pair_id", "_try", F.lit(seed)), F.col("size")))
-    found = asked.join(numbers.select("place", F.col("cand").alias("id")).join(spots, "id"), "place").where("id <> src_id and id <> dst_id")
+    first = F.lit(None).cast(f"struct<unfit: boolean, _try: int, id: {dict(places.dtypes)['id']}, _km: double>")
+    rest = stored(ends.withColumn("_positive", positive).crossJoin(F.broadcast(sizes)).withColumn("_b", first), "ends")
     km = haversine_km(F.col("_src_lat"), F.col("_src_lon"), F.col("lat"), F.col("lon"))
-    found = found.withColumn("_fits", distance_band(positive, km)).withColumn("_km", km)
-    best = found.groupBy("pair_id").agg(F.min(F.struct((~F.col("_fits")).alias("unfit"), "_try", "id", "_km")).alias("_b"))
-    return best.select("pair_id", F.col("_b.id").alias("neg_id"), F.when(F.col("_b.unfit"), 0.0).otherwise(F.col("_b._km")).alias("distance_km"), (~F.col("_b.unfit")).alias("matched"))
+    out, before = None, 0
+    for upto in (*[w for w in waves if w < attempts], attempts):
+        asked = rest.drop("_b", "_dst_lat", "_dst_lon").repartition(partitions, "pair_id").withColumn("_try", F.explode(F.sequence(F.lit(before + 1), F.lit(upto))))
+        asked = asked.withColumn("place", F.coalesce(F.pmod(F.xxhash64("pair_id", "_try", F.lit(seed)), F.col("size")), F.lit(0)))
+        found = asked.join(numbers, "place").where("id <> src_id and id <> dst_id").withColumn("_km", km)
+        unfit = ~F.coalesce(distance_band(F.col("_positive"), F.col("_km")), F.lit(False))
+        best = found.groupBy("pair_id").agg(F.min(F.struct(unfit.alias("unfit"), "_try", "id", "_km")).alias("_new"))
+        # The first of an earlier wave stands before one of this wave that doesn't fit either.
+        now = rest.join(best, "pair_id", "left").withColumn("_b", F.least("_b", "_new")).drop("_new")
+        now, before = stored(now, "matched") if upto < attempts else now, upto
+        is_done = F.coalesce(~F.col("_b.unfit"), F.lit(False))
+        done, rest = now.where(is_done) if upto < attempts else now, now.where(~is_done)
+        out = done if out is None else out.unionByName(done)
+        if upto < attempts and rest.isEmpty():
+            break
+    out = out.where("_b is not null")
+    return out.select("pair_id", F.col("_b.id").alias("neg_id"), F.when(F.col("_b.unfit"), 0.0).otherwise(F.col("_b._km")).alias("distance_km"), (~F.col("_b.unfit")).alias("matched"))
 
 
 def candidate_union(sources: list[DataFrame], key: str, item: str, order: str, caps: list[int | None], most: int = 100) -> DataFrame:
