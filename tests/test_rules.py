@@ -139,10 +139,21 @@ def test_full_features_are_all_there_and_filled(spark):
 
 
 def test_ranking_input(spark):
-    seen = {"dst_meal_type": relational.seen_values(journeys.full(spark, DATA), "dst_meal_type")}
-    rows, names = ranking.ranking_data(journeys.full(spark, DATA), ["src_id", "src_ts"], seen)
+    pairs = journeys.full(spark, DATA)
+    model = relational.fit_categories(pairs, list(ranking.CATEGORICAL))
+    seen = relational.category_values(model, list(ranking.CATEGORICAL))
+    rows, names = ranking.ranking_data(pairs, ["src_id", "src_ts"], model)
     first = rows.first()
-    assert len(first.x) == len(names) == len(set(names)) == 48 + 52 + 17 + len(seen["dst_meal_type"]) and all(isinstance(v, float) for v in first.x)
+    assert len(first.x) == len(names) == len(set(names)) == 48 + 52 + 17 + sum(map(len, seen.values())) and all(isinstance(v, float) for v in first.x)
+    assert all(len(v) > 1 and v == sorted(v) for v in seen.values()) and sum(first.x[117:]) == 6
+
+
+def test_categories_of_training_apply_elsewhere(spark):
+    train = spark.createDataFrame([("a", 3, None), ("b", 1, None), ("a", None, None)], "x string, y int, z string")
+    model = relational.fit_categories(train, ["x", "y", "z"])
+    assert relational.category_values(model, ["x", "y", "z"]) == {"x": ["a", "b"], "y": ["1", "3"], "z": []}
+    plan = model._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1 and plan.count("Exchange") == 2  # one distinct, and the numbering of its few rows
 
 
 def test_retention(spark):

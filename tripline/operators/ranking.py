@@ -152,21 +152,26 @@ def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("score"), "feature").limit(n)
 
 
-def ranking_data(df: DataFrame, query: list[str], categories: dict[str, list], label: str = "label", tie: str = "dst_id") -> tuple[DataFrame, list[str]]:
+def ranking_data(df: DataFrame, query: list[str], categories: DataFrame, label: str = "label", tie: str = "dst_id") -> tuple[DataFrame, list[str]]:
     """The rows as a ranker's input, and the features' names: the query's columns, label, group_size (rows of the query) and x, an array of
     doubles (null and NaN are 0) in the order of the names: numbers, flags, interactions, and a 0 or 1 for each of the categories'
-    values, which are those seen in training (categorical column -> values)."""
+    values, which are those that fit_categories has found in training."""
     from tripline.operators.features import interactions
-    from tripline.operators.relational import one_hot
+    from tripline.operators.relational import category_values
 
-    wide = interactions(df)
+    wide, values = interactions(df), category_values(categories, list(CATEGORICAL))
     mixed = [c for c in wide.columns if any(m in c for m in INTERACTION_MARKS)]
-    for column, values in categories.items():
-        wide = one_hot(wide, column, values)
-    names = [*NUMERICAL, *BOOLEAN, *mixed, *(f"{c}_{v}" for c, values in categories.items() for v in values)]
-    x = F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in names])
+    numbers = [*NUMERICAL, *BOOLEAN, *mixed]
+    x = [F.array(*[F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for c in numbers])]
+
+    def flags(column: str, seen: list[str]) -> Column:
+        """One expression for a column, however many values it has."""
+        return F.transform(F.array(*[F.lit(v) for v in seen]), lambda v: F.coalesce((v == F.col(column).cast("string")).cast("double"), F.lit(0.0)))
+
+    x += [flags(c, seen) for c, seen in values.items() if seen]
     size = F.count("*").over(Window.partitionBy(*query))
-    return wide.select(*query, tie, label, size.alias("group_size"), x.alias("x")), names
+    names = [*numbers, *(f"{c}_{v}" for c, seen in values.items() for v in seen)]
+    return wide.select(*query, tie, label, size.alias("group_size"), F.concat(*x).alias("x")), names
 
 
 def evaluate(ranked_rows: DataFrame, query: str, label: str, ks: tuple[int, ...] = (1, 5, 10), queries: int | None = None, seed: int = 42) -> DataFrame:

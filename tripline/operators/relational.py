@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripline.operators.ordering import numbered
@@ -110,3 +110,19 @@ def seen_values(df: DataFrame, column: str, most: int = 1000) -> list:
     if len(found) > most:
         raise ValueError(f"{column} has more than {most} values")
     return sorted(found)
+
+
+def fit_categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value (as text) and place (from 0, in the order of the values): the values of all columns that a training table holds, by one
+    distinct over the unpivoted columns. Nulls are no values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    values = df.select(each.alias("x")).select("x.column", "x.value").where("value is not null").distinct()
+    return values.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+
+
+def category_values(model: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The values of a table made by fit_categories, by column."""
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for column, value in model.orderBy("column", "place").select("column", "value").collect():
+        found[column].append(value)
+    return found

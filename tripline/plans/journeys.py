@@ -5,18 +5,18 @@ Reviews are made from events, places from suppliers; both by formulas that the S
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripline.functions import text
 from tripline.functions import time as t
-from tripline.operators import export, features, geo_join, profiles, ranking, sampling, sequences, splits
+from tripline.operators import export, features, geo_join, profiles, ranking, relational, sampling, sequences, splits
 from tripline.plans.places import km
 from tripline.plans.tables import RANKED, ranking_frame
 from tripline.plans.visits import events, query
 from tripline.sources import readers, writers
 from tripline.sources.readers import table
-from tripline.sources.storage import scratch
+from tripline.sources.storage import scratch, stored
 
 CATEGORIES = ("pizza", "dessert", "breakfast", "american", "sushi", "cafe")
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -188,18 +188,39 @@ def all_features_reviews(spark, d):
     )
 
 
-SEEN = {c: [] for c in ranking.CATEGORICAL} | {"cuisine_pair_type": ["complementary", "diverse", "similar"], "dst_meal_type": ["breakfast", "dinner", "lunch", "other"]}
+EIGHTHS = "['N','NE','E','SE','S','SW','W','NW']"
+KINDS = f"""(SELECT *, CASE WHEN dist < 1 THEN '0-1km' WHEN dist < 5 THEN '1-5km' WHEN dist < 10 THEN '5-10km' WHEN dist < 20 THEN '10-20km' ELSE '20+km' END AS distance_bucket,
+    {EIGHTHS}[1 + floor((degrees(atan2(sin(radians(dst_lon - src_lon)) * cos(radians(dst_lat)), cos(radians(src_lat)) * sin(radians(dst_lat)) - sin(radians(src_lat)) * cos(radians(dst_lat))
+        * cos(radians(dst_lon - src_lon)))) + 382.5) / 45)::BIGINT % 8] AS direction,
+    CASE WHEN delta_hours < 3 THEN '0-3h' WHEN delta_hours < 6 THEN '3-6h' WHEN delta_hours < 12 THEN '6-12h' WHEN delta_hours < 24 THEN '12-24h' WHEN delta_hours < 72 THEN '1-3d' ELSE '3-7d' END AS delta_hours_bucket,
+    CASE WHEN dh >= 6 AND dh < 10 THEN 'breakfast' WHEN dh >= 11 AND dh < 14 THEN 'lunch' WHEN dh >= 17 AND dh < 21 THEN 'dinner' ELSE 'other' END AS dst_meal_type,
+    CASE WHEN (src_category = 'pizza' AND dst_category = 'dessert') OR (src_category = 'sushi' AND dst_category IN ('dessert', 'cafe')) OR (src_category = 'breakfast' AND dst_category = 'cafe') THEN 'complementary'
+        WHEN src_category = dst_category THEN 'similar' ELSE 'diverse' END AS cuisine_pair_type,
+    coalesce(often, 'low') AS user_visit_frequency_bucket
+    FROM {PLACED} p LEFT JOIN (SELECT user_id, user_visit_frequency_bucket AS often FROM {PROFILES}) USING (user_id))"""
+IN_TRAINING = "src_tie % 50 < 2"
 
 
-@query(f"""SELECT src_id, src_ts, dst_id, (count(*) OVER (PARTITION BY src_id, src_ts))::BIGINT AS group_size, 124 AS n_features, round(dist + 1e-9, 4) AS distance_km, round(dist * dist + 1e-9, 2) AS squared,
-    round(dst_rating / (src_rating + 0.1) + 1e-9, 4) AS ratio, (src_category IS NULL OR dst_category IS NULL OR src_category <> dst_category)::INT AS last FROM {PLACED}""")
+@query(f"""WITH k AS MATERIALIZED (SELECT * EXCLUDE (a, b, often) FROM {KINDS}), s AS (SELECT DISTINCT unnest([{', '.join(f"'{c}|' || {c}" for c in ranking.CATEGORICAL)}]) AS v FROM k WHERE {IN_TRAINING})
+    SELECT src_tie, src_id, dst_id, (count(*) OVER (PARTITION BY src_id, src_ts))::BIGINT AS group_size, (117 + (SELECT count(*) FROM s))::INT AS n_features, round(dist + 1e-9, 4) AS distance_km,
+        round(dist * dist + 1e-9, 2) AS squared, round(dst_rating / (src_rating + 0.1) + 1e-9, 4) AS ratio,
+        {', '.join(f"CASE WHEN '{c}|' || {c} IN (FROM s) THEN {c} END AS {c}" for c in ranking.CATEGORICAL)} FROM k""")
 def ranking_data(spark, d):
-    """The last value here says that a pair is not of one category, which all but the complementary and the similar kind are."""
-    found, names = ranking.ranking_data(full(spark, d), ["src_id", "src_ts"], SEEN)
-    at = {c: F.element_at("x", names.index(c) + 1) for c in ("distance_km", "distance_km_squared", "rating_ratio", "cuisine_pair_type_similar")}
+    """The categories are those of a part of the pairs. What the ones among their flags stand for is told, null for a value that the part doesn't have."""
+    pairs = stored(full(spark, d), "features")
+    model = relational.fit_categories(pairs.where(IN_TRAINING), list(ranking.CATEGORICAL))
+    found, names = ranking.ranking_data(pairs, ["src_id", "src_ts", "src_tie"], stored(model, "categories"))
+    found = found.withColumn("group_size", F.count("*").over(Window.partitionBy("src_id", "src_ts")))
+    at = {c: F.element_at("x", names.index(c) + 1) for c in ("distance_km", "distance_km_squared", "rating_ratio")}
+
+    def told(column: str) -> Column:
+        own = [i for i, n in enumerate(names) if n.startswith(f"{column}_") and n not in ranking.NUMERICAL and i >= 117]
+        flags = F.slice("x", own[0] + 1, len(own))
+        return F.get(F.array(*[F.lit(names[i][len(column) + 1 :]) for i in own]), (F.array_position(flags, 1.0) - 1).cast("int")) if own else F.lit(None).cast("string")
+
     return found.select(
-        "src_id", "src_ts", "dst_id", "group_size", F.size("x").alias("n_features"), F.round(at["distance_km"] + 1e-9, 4).alias("distance_km"), F.round(at["distance_km_squared"] + 1e-9, 2).alias("squared"),
-        F.round(at["rating_ratio"] + 1e-9, 4).alias("ratio"), (1 - at["cuisine_pair_type_similar"]).cast("int").alias("last"),
+        "src_tie", "src_id", "dst_id", "group_size", F.size("x").alias("n_features"), F.round(at["distance_km"] + 1e-9, 4).alias("distance_km"), F.round(at["distance_km_squared"] + 1e-9, 2).alias("squared"),
+        F.round(at["rating_ratio"] + 1e-9, 4).alias("ratio"), *[told(c).alias(c) for c in ranking.CATEGORICAL],
     )
 
 
