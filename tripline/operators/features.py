@@ -148,8 +148,8 @@ def interactions(df: DataFrame) -> DataFrame:
     return df.withColumns({k: make() for k, (needs, make) in table.items() if set(needs) <= set(df.columns)})
 
 
-def pair_features(pairs: DataFrame, legacy_weekday: bool = False) -> DataFrame:
-    """All feature groups whose inputs the frame has. Both ends' columns come from one wide place table joined twice, users' from one."""
+def pair_features(pairs: DataFrame, legacy_weekday: bool = False, mixed: bool = True) -> DataFrame:
+    """All feature groups whose inputs the frame has, and, if mixed, the interactions. Both ends' columns come from one wide place table joined twice, users' from one."""
     groups = [
         (("src_lat", "src_lon", "dst_lat", "dst_lon"), spatial),
         (("src_ts", "dst_ts", "delta_hours"), lambda: temporal(legacy=legacy_weekday)),
@@ -167,7 +167,7 @@ def pair_features(pairs: DataFrame, legacy_weekday: bool = False) -> DataFrame:
     for needs, group in groups:
         if set(needs) <= set(pairs.columns):
             pairs = pairs.withColumns(group())
-    return interactions(pairs)
+    return interactions(pairs) if mixed else pairs
 
 
 TOPIC_NAMES = ("dessert", "drinks", "service", "atmosphere", "price")
@@ -225,6 +225,6 @@ def all_features(
         out = out.join(wide.select(*[F.col(c).alias(f"{end}_{c}") for c in wide.columns]), f"{end}_id", "left")
     if profiles is not None:
         out = out.join(profiles, "user_id", "left")
-    out = filled(pair_features(filled(out, FILLS_BEFORE), legacy_weekday), FILLS_AFTER)
+    out = filled(pair_features(filled(out, FILLS_BEFORE), legacy_weekday, mixed=False), FILLS_AFTER)
     gone = [f"{end}_{c}" for end in ("src", "dst") for c in ("hours", "relative_results", "opens_early")]
     return interactions(out.drop(*gone)).withColumn("label", F.lit(1))

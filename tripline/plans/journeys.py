@@ -81,9 +81,10 @@ def told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sentiment, topics, profiles.user_profiles(rows, venues(spark, d))
 
 
-def full(spark: SparkSession, d: str) -> DataFrame:
+def full(spark: SparkSession, d: str, reviewed: bool = True) -> DataFrame:
+    """All features of the pairs; what reviews tell of places and users only if it is asked for."""
     pairs = journeys(sequences.user_sequences(reviews(spark, d), venues(spark, d)))
-    return features.all_features(pairs, venues(spark, d), *told(spark, d))
+    return features.all_features(pairs, venues(spark, d), *(told(spark, d) if reviewed else ()))
 
 
 def near(*columns: str, digits: int = 4) -> list[Column]:
@@ -147,7 +148,7 @@ def open_sql(v: str, day: str, hour: str) -> str:
     src_category = dst_category AS same_category, dst_id IN (src_id + 1, src_id * 3 % 50, src_id + 7) AS is_in_relative_results,
     CASE dst_id WHEN src_id + 1 THEN 1 WHEN src_id * 3 % 50 THEN 2 WHEN src_id + 7 THEN 3 END::BIGINT AS relative_results_rank FROM {PLACED}""")
 def all_features_places(spark, d):
-    return full(spark, d).select(
+    return full(spark, d, reviewed=False).select(
         "src_tie", *near("distance_km"), "distance_bucket", "same_neighborhood", "src_hour", "dst_day_of_week", "src_is_weekend", "rating_diff", "src_is_highly_rated",
         "src_price", "price_diff", "same_price_level", "same_category", "is_in_relative_results", F.col("relative_results_rank").cast("long").alias("relative_results_rank"),
     )
@@ -162,7 +163,7 @@ def all_features_places(spark, d):
     coalesce(src_category IN ('pizza', 'american', 'sushi') AND dst_category IN ('dessert', 'cafe'), false) AS is_dessert_followup,
     coalesce((src_category = 'breakfast' AND dst_category = 'american') OR (src_category = 'american' AND dst_category = 'dessert'), false) AS is_meal_progression, 1 AS label FROM {PLACED}""")
 def all_features_hours(spark, d):
-    return full(spark, d).select(
+    return full(spark, d, reviewed=False).select(
         "src_tie", "src_is_open_at_time", "dst_is_open_at_time", "hours_overlap", "is_late_night_transition", "is_early_morning_transition", "involves_24hr_restaurant", "src_has_late_night",
         "dst_is_24hr", "src_has_delivery", "dst_accepts_reservations", "service_match", "dst_adds_delivery", "dst_adds_takeout", "both_accept_reservations", "cuisine_pair_type",
         "is_dessert_followup", "is_meal_progression", "label",

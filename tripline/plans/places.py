@@ -393,15 +393,19 @@ def distance_matched(spark, d):
 
 @query(f"""WITH near AS (SELECT a.id AS src, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2), b.id) AS r, 0 AS p FROM {PLACES} a JOIN {PLACES} b
         ON a.id <> b.id AND pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2) < 0.04),
-    popular AS (SELECT a.id AS src, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY -b.balance, b.id) AS r, 1 AS p FROM {PLACES} a JOIN (SELECT * FROM {PLACES} ORDER BY balance DESC, id LIMIT 11) b ON a.id <> b.id),
-    u AS (SELECT src, item, min(p * 1000 + r) AS o FROM (SELECT * FROM near WHERE r <= 5 UNION ALL SELECT * FROM popular WHERE r <= 10) GROUP BY ALL)
+    related AS (SELECT id AS src, i AS item, min(r) AS r, 1 AS p FROM (SELECT id, unnest([id * 3 % 40, id + 1, id * 5 % 40, id * 7 % 40]) AS i, unnest(range(1, 5)) AS r FROM {PLACES}) WHERE i <> id GROUP BY ALL),
+    popular AS (SELECT a.id AS src, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY -b.balance, b.id) AS r, 2 AS p FROM {PLACES} a JOIN (SELECT * FROM {PLACES} ORDER BY balance DESC, id LIMIT 11) b ON a.id <> b.id),
+    u AS (SELECT src, item, min(p * 1000 + r) AS o FROM (SELECT * FROM near WHERE r <= 5 UNION ALL SELECT * FROM related QUALIFY row_number() OVER (PARTITION BY src ORDER BY r) <= 3 UNION ALL SELECT * FROM popular WHERE r <= 10) GROUP BY ALL)
     SELECT src, item, (o // 1000)::INT AS priority, row_number() OVER (PARTITION BY src ORDER BY o, item)::INT AS place FROM u QUALIFY place <= 10""")
 def candidate_union(spark, d):
+    """Near places, then the source's related list in its order, then popular ones."""
     p = places(spark, d)
     near = geo_join.degree_join(p, p, "id").select(F.col("src_id").alias("src"), F.col("dst_id").alias("item"), F.col("sq_deg").alias("o"))
+    own = F.array(F.col("id") * 3 % 40, F.col("id") + 1, F.col("id") * 5 % 40, F.col("id") * 7 % 40)
+    related = p.select(F.col("id").alias("src"), F.posexplode(own).alias("o", "item")).where("src <> item").groupBy("src", "item").agg(F.min("o").cast("double").alias("o"))
     top = p.orderBy(F.desc("balance"), "id").limit(11).select(F.col("id").alias("item"), (-F.col("balance")).alias("o"))
     popular = p.select(F.col("id").alias("src")).crossJoin(F.broadcast(top)).where("src <> item").select("src", "item", "o")
-    return sampling.candidate_union([near, popular], "src", "item", "o", [5, 10], 10)
+    return sampling.candidate_union([near, related, popular], "src", "item", "o", [5, 3, 10], 10)
 
 
 @query(f"SELECT a.id AS src_id, b.id AS dst_id, b.balance AS dst_balance, TIMESTAMP '2024-01-01 02:00:00' AS dst_ts FROM {PLACES} a JOIN {PLACES} b ON b.id = a.id + 1")

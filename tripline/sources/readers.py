@@ -20,6 +20,15 @@ def ndjson(spark: SparkSession, path: str | list[str], schema: str | StructType,
     return rows.repartition(partitions) if partitions else rows
 
 
+def gz_or_plain(spark: SparkSession, path: str) -> str:
+    """The path with .gz if there is such a file, else the path itself if there is one; without either, the gzipped name."""
+    for name in (f"{path}.gz", path):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return name
+    return f"{path}.gz"
+
+
 def tolerant_ndjson(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """As ndjson, without blank and broken lines and rows that lack the key."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

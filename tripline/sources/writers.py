@@ -70,7 +70,7 @@ def published(spark: SparkSession, path: str, wanted: str) -> str | None:
     key = hashlib.sha256(wanted.encode()).hexdigest()
     found = [str(x.getPath()) for x in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}-*")) or [])]
     for place in sorted(found, key=lambda p: int(p.rsplit("-", 1)[1]), reverse=True):
-        if spark.read.text(f"{place}/manifest", wholetext=True).first()[0] == wanted:
+        if spark.read.text(f"{place}/manifest", wholetext=True).first()[0].rstrip("\n") == wanted:
             return place
     return None
 
@@ -105,7 +105,7 @@ def cached(build: Callable[[], DataFrame], path: str, inputs: list[DataFrame], r
     work = f"{path}/building-{uuid.uuid4().hex}"
     try:
         build().write.parquet(f"{work}/data")
-        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.option("lineSep", "\u0001").text(f"{work}/manifest")
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(f"{work}/manifest")  # JSON is one line
         while not _move(spark, work, f"{path}/{key}-{number}"):
             if not refresh and (place := published(spark, path, wanted)):
                 return spark.read.parquet(f"{place}/data")
