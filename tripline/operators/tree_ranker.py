@@ -176,8 +176,9 @@ def fit_trees(
     item = F.struct(F.col(label).cast("double").alias("y"), F.lit(0.0).alias("s"), F.col(x).alias("x"))
     # The order of a query's items, which decides ties, is that of their features.
     grouped = rows.groupBy(*query).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(valid).alias("valid"))
-    path = scratch(spark, "ranker")
-    grouped.select("valid", "items").write.parquet(path)
+    path, tasks = scratch(spark, "ranker"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out evenly: the work of a row is much more than its bytes tell.
+    grouped.select("valid", "items").repartition(tasks).write.parquet(path)
     base, pending, trees, history, best = spark.read.parquet(path), [], [], [], -1
     for number in range(rounds):
         now = base.withColumn("items", _with_trees(F.col("items"), pending, rate))
@@ -187,7 +188,10 @@ def fit_trees(
             labelCol="step", weightCol="weight", numTrees=1, maxDepth=depth, minInstancesPerNode=least_rows, maxBins=64, subsamplingRate=row_share,
             featureSubsetStrategy=str(feature_share) if feature_share < 1 else "all", seed=seed + number, bootstrap=False,
         )
-        tree = Tree.of(forest.fit(steps).trees[0]._call_java("rootNode"))
+        round_path = scratch(spark, "steps")
+        steps.write.parquet(round_path)  # a fit goes over them several times
+        tree = Tree.of(forest.fit(spark.read.parquet(round_path)).trees[0]._call_java("rootNode"))
+        remove(spark, round_path)
         trees.append(tree)
         pending.append(tree)
         if len(pending) == WRITE_EVERY:

@@ -106,7 +106,7 @@ def tree_ranker_metrics(spark, d):
     """Metrics on held-out queries of the boosted trees and of the linear ranker."""
     rows = stored(candidates(spark, d), "candidates")
     held = rows.where("held")
-    trees = tree_ranker.fit_trees(rows.where("not held"), ["pair_id"], rounds=6, depth=4, rate=0.3, patience=2, feature_share=1.0)
+    trees = tree_ranker.fit_trees(rows.where("not held"), ["pair_id"], rounds=3, depth=4, rate=0.3, patience=2, feature_share=1.0)
     flat = rows.select("pair_id", "dst_id", "label", "held", *[F.col("x")[i].alias(f"f{i}") for i in range(4)])
     linear = ranking.fit_pairwise(flat.where("not held").drop("held"), "pair_id", "label", [f"f{i}" for i in range(4)])
     out = None
