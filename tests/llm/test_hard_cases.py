@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -181,15 +182,43 @@ def test_a_hot_source_is_dealt_out(spark):
 
 def test_bounds_of_pivots_are_never_low():
     r = np.random.default_rng(2)
-    v, q = np.floor(256 * r.normal(size=(300, 24))), np.floor(256 * r.normal(size=(20, 24)))
-    for count in (0, 1, 6, 18, 24, 40):
-        guide = search.Pivots(search.pivots_of(v, count))
-        bounds = search.upper_bounds(guide.places(guide.table(q)), guide.places(guide.table(v)))
-        assert (bounds >= q @ v.T).all()
-        for j in range(len(guide.rows)):
-            gap = np.abs(guide.table(q)[:, j + 1][:, None] - guide.table(v)[:, j + 1][None])
-            one = ((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - gap**2) / 2
-            assert (bounds <= one + 10).all()
+    for scale in (1.0, 256.0, 2.0**30):
+        v, q = np.floor(scale * r.normal(size=(300, 24))), np.floor(scale * r.normal(size=(20, 24)))
+        v[0] = q[0]
+        for count in (0, 1, 6, 40):
+            guide = search.Pivots(search.pivots_of(v, count))
+            table, told = guide.table(v), guide.table(q)
+            off = search.slack(told[:, 0], table[:, 0], 24)
+            for i in range(len(q)):
+                exact = [sum(int(a) * int(b) for a, b in zip(q[i], x, strict=True)) for x in v]
+                bounds = search.upper_bounds(told[i], table, off)
+                assert all(Fraction(b) >= s for b, s in zip(bounds.tolist(), exact, strict=True))
+                # No single pivot's bound is below that of all.
+                assert all((bounds <= search.upper_bounds(told[i, [0, j]], table[:, [0, j]], off)).all() for j in range(1, len(guide.rows)))
+
+
+def test_search_stops_early_and_exactly():
+    """Clusters: most rows are left out by a range of distances to one pivot or by the bounds, and the best stay those of all rows."""
+    r = np.random.default_rng(4)
+    middles = 2000 * r.normal(size=(30, 16))
+    v = np.floor(middles[r.integers(0, 30, 3000)] + r.normal(size=(3000, 16)) * 50)
+    ids, guide = np.arange(3000), search.Pivots(search.pivots_of(v, 20))
+    table = guide.table(v)
+    order = np.argsort(table[:, -1], kind="stable")
+    work = 0
+    for i in range(0, 3000, 100):
+        q, want = v[i], search.Best(5)
+        want.add((v @ q).astype(np.int64)[ids != i], ids[ids != i])
+        off = search.slack(guide.table(q[None])[:, 0], table[:, 0], 16)
+        for floor in (-np.inf, want.floor(), float(want.score[0])):
+            best = search.Best(5)
+            taken, done = search.evaluate(best, q, i, guide.table(q[None])[0], v[order], ids[order], table[order], off, floor)
+            keep = want.score >= floor
+            got = best.score >= floor
+            assert best.id[got].tolist() == want.id[keep].tolist() and best.score[got].tolist() == want.score[keep].tolist()
+            work += done
+        assert taken < 3000 * len(guide.rows)
+    assert work < 0.5 * 90 * 3000
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, raw string, x array<int>, probability double, score int, items string, spans int, clean_text int, n_hit int, slot string, block int, release date, _gone int, label int"

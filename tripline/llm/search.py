@@ -1,9 +1,11 @@
 """Exact top-k search by inner product with a pivot table.
 
-Components are taken as floor(scale * x), so all scores are integers. The pivots are rows far from each other in a bounded sample; the
-distances of all rows to them are computed once and stored. From the distances of a query and of a row follows an upper bound of their score
-(see Pivots). The rows of a chunk are evaluated for a query in the order of these bounds, until the next bound is under the query's
-k-th best score.
+Components are taken as floor(scale * x), so all scores are integers. The pivots are rows far from each other in a bounded sample, and the
+origin; the distances of all rows to them are computed once and stored. By the triangle inequality, a query and a row are at least as far apart as
+their distances to any pivot differ. The largest of these lower bounds, with both norms, gives an upper bound of their score. A task
+has its rows in the order of their distances to one pivot, so that a query cuts out a range of them; rows in it are held
+against more and more pivots while their bound reaches the query's k-th best score so far. What is left is evaluated in the order of the bounds, until the
+next one is under the k-th best score.
 
 The queries are a stated set, written in blocks in the shared folder; every task holds its rows against all blocks, and none of them
 goes through the driver. Every task returns k rows a query for each chunk, and Spark merges them.
@@ -67,39 +69,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Pivots:
-    """Pivots, and what distances to them tell about inner products.
-
-    A vector's norm and distances to the pivots give its inner products with them, and so its place in the space that they span; the
-    rest of it has a known length and an unknown direction. Of the bounds of all pivots together, |q - v|^2 is at least the squared distance
-    of the places and of the lengths of the rests, and no single pivot's ||q - p| - |v - p|| is above that.
-    """
+    """Pivots, and the distances to them. The origin is the first."""
 
     def __init__(self, rows: np.ndarray) -> None:
-        rows = rows[: rows.shape[1]]  # more pivots than components would tell nothing new
-        r = np.linalg.qr(rows.T)[1] if len(rows) else np.zeros((0, 0))
-        size = np.abs(np.diag(r))
-        good = size > 1e-6 * max(size.max(initial=0), 1e-9)  # a pivot that others nearly span tells nothing new
-        self.rows = rows[good]
-        self.norms = (self.rows**2).sum(1)
-        r = np.linalg.qr(self.rows.T)[1] if len(self.rows) else np.zeros((0, 0))
-        self.turn = np.linalg.inv(r) if len(r) else r
+        self.rows = np.concatenate([np.zeros((1, rows.shape[1])), rows])
 
     def table(self, v: np.ndarray) -> np.ndarray:
-        """Norm and distances to the pivots of each row."""
-        return np.concatenate([np.sqrt((v**2).sum(1))[:, None], distances(v, self.rows)], axis=1)
+        """Distances to the pivots of each row; the first is its norm."""
+        return distances(v, self.rows)
+
 
-    def places(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From rows of the table: the vectors' places in the pivots' space with the lengths of their rests, and their norms."""
-        square = table[:, 0] ** 2
-        inner = (square[:, None] + self.norms - table[:, 1:] ** 2) / 2
-        place = inner @ self.turn
-        rest = np.sqrt(np.maximum(square - (place**2).sum(1), 0))
-        return np.concatenate([place, rest[:, None]], axis=1), table[:, 0]
+def slack(q: np.ndarray, v: np.ndarray, width: int) -> float:
+    """How far a difference of two distances in the tables of q and v can be above the true one.
+
+    A squared distance is a sum of width + 2 terms or so, each below the square of the largest sum of two norms. While that is below 2**51, whole
+    numbers are summed exactly and only the root is rounded, by 2**-53 of it; else the sum is off by 2**-52 of that square for each term, and
+    the root by the root of that.
+    """
+    most = 2 * max(q.max(initial=0), v.max(initial=0))
+    return most * (2.0**-51 if most * most < 2**51 else ((width + 8) * 2.0**-52) ** 0.5)
 
 
-def upper_bounds(q: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of the inner products of vectors with these places and norms; rounding never lowers it below the score."""
-    return q[0] @ v[0].T + (1 + 1e-6 * np.outer(q[1], v[1]))
+def upper_bounds(q: np.ndarray, v: np.ndarray, off: float) -> np.ndarray:
+    """Of the inner products of a query and rows, from its and their rows of the table: never below the score. off is their slack."""
+    lower = np.maximum(np.abs(q - v).max(1) - off, 0)
+    # The few roundings here and in the norms are below 2**-48 of what they round.
+    return ((q[0] ** 2 + v[:, 0] ** 2) * (1 + 2.0**-48) - lower**2 * (1 - 2.0**-48)) / 2
 
 
 class Best:
@@ -118,28 +113,32 @@ class Best:
 
 
 def evaluate(
-    best: list[Best], q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, bounds: np.ndarray, step: int = 128
-) -> int:
-    """Takes the rows of v into account, for each query in bound order until none can change its best. Returns how many were evaluated."""
-    done = 0
-    for i, bound in enumerate(bounds):
-        rows = np.flatnonzero((bound >= best[i].floor()) & (ids != q_ids[i]))
-        first = min(step, len(rows))
-        if not first:
-            continue
-        top = rows[np.argpartition(-bound[rows], first - 1)[:first]] if len(rows) > first else rows
-        best[i].add(scores(q[i : i + 1], v[top])[0], ids[top])
-        done += first
-        left = rows[bound[rows] >= best[i].floor()]
-        left = np.setdiff1d(left, top, assume_unique=True)
-        left = left[np.argsort(-bound[left])]
-        for b in range(0, len(left), step):
-            if bound[left[b]] < best[i].floor():
-                break
-            some = left[b : b + step]
-            best[i].add(scores(q[i : i + 1], v[some])[0], ids[some])
-            done += len(some)
-    return done
+    best: Best, q: np.ndarray, q_id: int, told: np.ndarray, v: np.ndarray, ids: np.ndarray, table: np.ndarray, off: float, floor: float = -np.inf, step: int = 128
+) -> tuple[int, int]:
+    """Takes the rows of v into account for a query until none can change its best, or reaches floor, which a score must. The rows
+    are in the order of their distances to the table's last pivot. Returns how many differences of distances were taken, and how many rows were evaluated."""
+    # A row further from the query than this scores less than the floor.
+    square = (told[0] ** 2 + table[:, 0].max(initial=0) ** 2) * (1 + 2.0**-48) - 2 * floor
+    if square < 0:
+        return 0, 0
+    reach = square**0.5 * (1 + 2.0**-48) + off
+    first, end = (0, len(v)) if np.isinf(reach) else np.searchsorted(table[:, -1], [told[-1] - reach, told[-1] + reach * (1 + 2.0**-48)])
+    rows, taken = np.arange(first, end), 0
+    for upto in sorted({min(8, len(told)), len(told)}) if floor > -np.inf else (len(told),):
+        taken += len(rows) * upto
+        bound = upper_bounds(told[:upto], table[rows, :upto], off)
+        stays = bound >= floor
+        rows, bound = rows[stays], bound[stays]
+    stays = ids[rows] != q_id
+    rows, bound = rows[stays], bound[stays]
+    order, done = np.argsort(-bound, kind="stable"), 0
+    for a in range(0, len(order), step):
+        if bound[order[a]] < max(best.floor(), floor):
+            break
+        some = rows[order[a : a + step]]
+        best.add(scores(q[None], v[some])[0], ids[some])
+        done += len(some)
+    return taken, done
 
 
 @lru_cache(maxsize=2)
@@ -198,20 +197,27 @@ def top_k(
     table_.where("asked").write.option("maxRecordsPerFile", block).parquet(folder)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floors: dict[tuple[str, int], np.ndarray] = {}  # of a block's queries of so many components
+
         def against_all(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
             for n, mine in part.groupby("n"):
-                guide = pivots.get(n, Pivots(np.zeros((0, n))))
-                ids, v, v_at = mine["vec_id"].to_numpy(), unpacked(mine["x"], n), guide.places(unpacked(mine["distances"], len(guide.rows) + 1))
+                width = len(pivots.get(n, Pivots(np.zeros((0, n)))).rows)
+                ids, v, told = mine["vec_id"].to_numpy(), unpacked(mine["x"], n), unpacked(mine["distances"], width)
+                order = np.argsort(told[:, -1], kind="stable")
+                ids, v, told = ids[order], v[order], told[order]
                 for file in block_files(folder):
                     asked = read_block(folder, file)
                     asked = asked[asked["n"] == n]
-                    for a in range(0, len(asked), 64):
-                        some = asked.iloc[a : a + 64]
-                        q, q_ids = unpacked(some["x"], n), some["vec_id"].to_numpy()
-                        best = [Best(k) for _ in range(len(some))]
-                        evaluate(best, q, q_ids, v, ids, upper_bounds(guide.places(unpacked(some["distances"], len(guide.rows) + 1)), v_at))
-                        size = [len(b.id) for b in best]
-                        yield pd.DataFrame({"q": np.repeat(some["at"].to_numpy(), size), "query_id": np.repeat(q_ids, size), "vec_id": np.concatenate([b.id for b in best]), "score": np.concatenate([b.score for b in best])})
+                    if not len(asked):
+                        continue
+                    q, q_ids, q_told = unpacked(asked["x"], n), asked["vec_id"].to_numpy(), unpacked(asked["distances"], width)
+                    floor = floors.setdefault((file, n), np.full(len(asked), -np.inf))
+                    off, best = slack(q_told[:, 0], told[:, 0], n), [Best(k) for _ in range(len(asked))]
+                    for i, found in enumerate(best):
+                        evaluate(found, q[i], q_ids[i], q_told[i], v, ids, told, off, floor[i])
+                        floor[i] = max(floor[i], found.floor())
+                    size = [len(b.id) for b in best]
+                    yield pd.DataFrame({"q": np.repeat(asked["at"].to_numpy(), size), "query_id": np.repeat(q_ids, size), "vec_id": np.concatenate([b.id for b in best]), "score": np.concatenate([b.score for b in best])})
 
         held, count = [], 0
         for frame in frames:
