@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from tripline.llm import line_dedup, near_dedup, tokens
+from tripline.llm import line_dedup, near_dedup, tokens, toxicity
 
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("n", "s", "rt", "ll") for c in ("o", "ae", "im", "us")]
 
@@ -69,3 +69,12 @@ def test_low_bits_of_minima_are_independent():
         a, b = near_dedup.low_bits(one), near_dedup.low_bits(other)
         low.append((a[differ] == b[differ]).mean())
     assert abs(np.mean(low) - 0.25) < 0.02 and np.std(low) < 0.1
+
+
+def test_toxicity_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    found = toxicity.op7_toxicity(spark, folder).where("held_out")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    counts = {(x.toxic, x.predicted): x["count"] for x in found.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts.get((1, 0), 0))
+    assert counts.get((0, 1), 0) <= 0.01 * counts[0, 0]
