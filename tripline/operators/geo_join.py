@@ -69,6 +69,27 @@ def degree_join(a: DataFrame, b: DataFrame, key: str, squared: float = 0.04, lat
     return _told(pairs.withColumn("sq_deg", _squared(lat, lon)).where(F.col("sq_deg") < squared), a, b, key, lat, lon, "sq_deg")
 
 
+def spots_near(a: DataFrame, b: DataFrame, squared: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """As degree_join, but row by row and with the pairs of a row with itself: for rows that are few at each spot."""
+    pairs = _near_cells(a, b, lat, lon, squared**0.5, squared**0.5)
+    return pairs.withColumn("sq_deg", _squared(lat, lon)).where(F.col("sq_deg") < squared)
+
+
+def nearest(a: DataFrame, b: DataFrame, key: str, k: int, squared: float = 0.04, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Of degree_join's pairs the k nearest of each row of a, ties to smaller keys: src_ and dst_ key and sq_deg.
+
+    The list is made once for a spot of a, and one longer, as a row is not its own neighbour. Of a spot of b no more rows than that can be in it.
+    """
+    first = Window.partitionBy(lat, lon).orderBy(key)
+    there = b.select(key, lat, lon).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r")
+    order = Window.partitionBy(f"src_{lat}", f"src_{lon}").orderBy("sq_deg", f"dst_{key}")
+    lists = spots_near(a.select(lat, lon).distinct(), there, squared, lat, lon).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    lists = lists.select(F.col(f"src_{lat}").alias(lat), F.col(f"src_{lon}").alias(lon), f"dst_{key}", "sq_deg")
+    pairs = a.select(F.col(key).alias(f"src_{key}"), lat, lon).join(lists, [lat, lon]).where(F.col(f"src_{key}") != F.col(f"dst_{key}"))
+    own = Window.partitionBy(f"src_{key}").orderBy("sq_deg", f"dst_{key}")
+    return pairs.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k).select(f"src_{key}", f"dst_{key}", "sq_deg")
+
+
 def distance_band(positive_km: Column, candidate_km: Column) -> Column:
     """Whether a candidate is as far as fits the positive: 0-10 km below 5, 5-25 below 15, else 10-100."""
     return (
