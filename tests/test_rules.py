@@ -182,6 +182,18 @@ def test_cosine_of_equal_and_unlike_texts(spark):
     assert found == pytest.approx([1.0, 0.0])
 
 
+def test_cosine_takes_no_row_numbers_and_breaks_ties_by_words(spark):
+    """Row numbers that a frame gives anew in each branch of a plan mixed up rows; equally frequent words were taken by chance."""
+    words = ["w%02d" % i for i in range(40)]
+    rows = spark.createDataFrame([(" ".join(words[::-1]), " ".join(words[:10]))], "a string, b string")
+    rows = rows.union(spark.createDataFrame([("", None), ("zzz", "zzz")], "a string, b string"))
+    for sides in (("a", "b"), ("b", "a")):
+        found = text.tfidf_cosine(rows, *sides, features=10)
+        assert "monotonically" not in found._jdf.queryExecution().optimizedPlan().toString()
+        # Ten words (an empty one of two empty texts, and the first nine) are features; "zzz" is none.
+        assert sorted(r.tfidf_cosine for r in found.collect()) == pytest.approx([0.0, 1.0, 1.0])
+
+
 def test_ranker_prefers_what_positives_have(spark):
     rows = spark.createDataFrame([(q, int(i == 0), float(i == 0) + q / 100, 1.0) for q in range(20) for i in range(4)], "q int, label int, good double, same double")
     model = ranking.fit_pairwise(rows, "q", "label", ["good", "same"])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,27 +151,29 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
+def _words(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The frame with the lower-cased words of a text but for stop words; null is an empty text."""
+    split = Tokenizer(inputCol="_text", outputCol="_split").transform(df.withColumn("_text", F.coalesce(column, F.lit(""))))
+    return StopWordsRemover(inputCol="_split", outputCol=out).transform(split).drop("_text", "_split")
+
+
 def tfidf_cosine(df: DataFrame, left: str, right: str, features: int = 100) -> DataFrame:
-    """The rows with tfidf_cosine: cosine of both texts' TF-IDF vectors over the most frequent words of all texts."""
-    key = F.monotonically_increasing_id()
-    rows = df.withColumn("_row", key)
-    texts = rows.select("_row", F.lit(0).alias("_side"), F.coalesce(left, F.lit("")).alias("_text")).unionByName(
-        rows.select("_row", F.lit(1).alias("_side"), F.coalesce(right, F.lit("")).alias("_text"))
-    )
-    stages = [
-        Tokenizer(inputCol="_text", outputCol="_words"),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        CountVectorizer(inputCol="_kept", outputCol="_counts", vocabSize=features),
-        IDF(inputCol="_counts", outputCol="_idf"),
-    ]
-    found = Pipeline(stages=stages).fit(texts).transform(texts).select("_row", "_side", vector_to_array("_idf").alias("_v"))
-    sides = found.groupBy("_row").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b")
-    )
+    """The rows with tfidf_cosine: cosine of both texts' TF-IDF vectors over the most frequent words of all texts, the least of equally
+    frequent ones. Both texts stay in their row: nothing is numbered or joined again."""
+    sides, out = ("_l", "_r"), "_counts"
+    rows = _words(_words(df, left, "_l"), right, "_r")
+    counts = rows.select(F.explode(F.concat(*sides)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = [r.w for r in counts.orderBy(F.desc("n"), "w").limit(features).collect()]
+    if not top:
+        return df.withColumn("tfidf_cosine", F.lit(0.0))
+    each = [CountVectorizerModel.from_vocabulary(top, c, f"{c}{out}") for c in sides]
+    texts = [m.transform(rows.select(c)).select(F.col(f"{c}{out}").alias(out)) for m, c in zip(each, sides, strict=True)]
+    weights = F.array(*[F.lit(float(w)) for w in IDF(inputCol=out, outputCol="_idf").fit(texts[0].unionByName(texts[1])).idf])
+    for m, c in zip(each, sides, strict=True):
+        rows = m.transform(rows).withColumn(c, F.zip_with(vector_to_array(f"{c}{out}"), weights, lambda n, w: n * w)).drop(f"{c}{out}")
 
     def dot(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
-    norm = F.sqrt(dot("_a", "_a") * dot("_b", "_b"))
-    scored = sides.select("_row", F.when(norm == 0, F.lit(0.0)).otherwise(dot("_a", "_b") / norm).alias("tfidf_cosine"))
-    return rows.join(scored, "_row").drop("_row")
+    norm = F.sqrt(dot("_l", "_l") * dot("_r", "_r"))
+    return rows.withColumn("tfidf_cosine", F.when(norm == 0, F.lit(0.0)).otherwise(dot("_l", "_r") / norm)).drop("_l", "_r")
