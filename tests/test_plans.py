@@ -1,7 +1,7 @@
 """What the plans must and must not hold."""
 
 from tripline.operators import geo_join
-from tripline.plans import places, visits
+from tripline.plans import places, tables, visits
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,6 +27,12 @@ def test_columns_are_pruned(spark):
     assert "props" not in found.split("ReadSchema")[1]
 
 
+def test_edges_of_a_matrix_are_added_up_once(spark):
+    """Before, the final plan alone had the edges' aggregate three times, and each numbering once more."""
+    found = plan(tables.coo_matrix(spark, DATA))
+    assert "Aggregate" not in found and "lineitem" not in found
+
+
 def test_entry_points_agree():
     import __spark_entry__ as entry
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripline.functions.geo import haversine_km
 from tripline.functions.lists import named
 from tripline.operators.relational import lookup_one
+from tripline.sources.storage import stored
 
 
 def exploded(df: DataFrame, key: list[str], items: str, scores: str) -> DataFrame:
@@ -145,10 +146,11 @@ def predictions(rows: DataFrame, key: str, value: object, limit: int = 10, tie:
 
 
 def coo_matrix(edges: DataFrame, src: str, dst: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """(row, col, value) and the index of ids (id, idx from 0 in the order of the ids)."""
+    """(row, col, value) and the index of ids (id, idx from 0 in the order of the ids). Edges and index are written once, as several jobs read them."""
     from tripline.operators.relational import ids_of_both, row_index
 
-    ids = row_index(ids_of_both(edges, src, dst), ["id"], "idx")
+    edges = stored(edges.select(src, dst, value), "edges")
+    ids = stored(row_index(stored(ids_of_both(edges, src, dst), "ends"), ["id"], "idx"), "ids")
     out = edges.join(ids.select(F.col("id").alias(src), F.col("idx").alias("row")), src)
     out = out.join(ids.select(F.col("id").alias(dst), F.col("idx").alias("col")), dst)
     return out.select("row", "col", F.col(value).alias("value")), ids
