@@ -25,7 +25,7 @@ def write_csr(edges: DataFrame, src: str, dst: str, value: str, path: str) -> Cs
     entries, ids = coo_matrix(edges, src, dst, value)
     ids.select("id", "idx").write.mode("overwrite").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
-    placed, n = numbered(entries, ["row", "col"], "e")
+    placed, n = numbered(stored(entries, "coo"), ["row", "col"], "e")
     placed = stored(placed.withColumn("chunk", F.expr(f"e div {CHUNK}")), "entries")
     chunks = placed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("e", "col", "value"))).alias("_l"))
     chunks = chunks.select("chunk", F.transform("_l", lambda x: x["col"]).alias("cols"), F.transform("_l", lambda x: x["value"]).alias("values"))
