@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,31 @@ def test_one_pass_metrics(spark, planted):
     whole = ranking.evaluate(rows, "q", "label", (3,), queries=10_000).first()
     assert whole.ndcg_at_3 == pytest.approx(row.ndcg_at_3)
     assert ranking.evaluate(rows, "q", "label", (3,), queries=7).first().n_queries == 600
+
+
+def test_batches_have_the_expressions_gradients_and_ndcg(spark, monkeypatch):
+    monkeypatch.setattr(tree_ranker, "PAIRS", 50)
+    draw = random.Random(5)
+    lists = [[(float(draw.choice((0, 0, 1, 2))), draw.choice((0.0, 1.0, draw.gauss(0, 2))), [draw.random(), draw.random()]) for _ in range(draw.randrange(0, 7))] for _ in range(60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "q long, items array<struct<y: double, s: double, x: array<double>>>")
+    sizes, flat = np.array([len(x) for x in lists]), [item for x in lists for item in x]
+    y, s = (np.array([item[i] for item in flat]) for i in range(2))
+    found = df.orderBy("q").select(tree_ranker.lambdas(F.col("items")).alias("l"), tree_ranker.query_ndcg(F.col("items"), 2).alias("n")).collect()
+    g, h = tree_ranker.batch_lambdas(sizes, y, s)
+    assert [v for r in found for p in r.l for v in p] == pytest.approx([v for p in zip(g, h, strict=True) for v in p])
+    assert [r.n for r in found] == pytest.approx(list(tree_ranker.batch_ndcg(sizes, y, s, 2)))
+    tree = tree_ranker.Tree([0, -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.0, 1.0, -1.0])
+    steps = tree_ranker._steps(df, [tree], 0.5).collect()
+    x = np.array([item[2] for item in flat])
+    g, h = tree_ranker.batch_lambdas(sizes, y, s + 0.5 * tree.values(x))
+    want = sorted((*v, a / b, b) for v, a, b in zip(x, g, h, strict=True) if b > 1e-12)
+    assert [v for r in sorted((*r.features, r.step, r.weight) for r in steps) for v in r] == pytest.approx([v for r in want for v in r])
+
+
+def test_only_drawn_queries_keep_labels(spark, planted):
+    rows = ranking.ranked(planted.withColumn("s", F.col("x")[0]), ["q"], "s", ["i"])
+    drawn = rows.select("q").distinct().orderBy(F.xxhash64("q", F.lit(42)), "q").limit(7)
+    got = ranking.evaluate(rows, "q", "label", (3,), queries=7)
+    assert got.first().ndcg_at_3 == pytest.approx(ranking.ndcg(rows.join(drawn, "q", "left_semi"), "q", "label", 3).first()[0])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.index("Join LeftOuter")  # the draw lies below the lists
