@@ -72,3 +72,18 @@ def test_class_weights_and_patience(spark):
     assert (plain, heavy) == (2, 3)
     stopped = recurrent.fit_sequences(rows, rows.where("target = 3"), Shape(4, 4, 6, 1), epochs=12, patience=2, batch=400, rate=0.2, dropout=0.0)
     assert len(stopped.history) < 12
+
+
+def test_rows_that_begin_alike_share_states():
+    draw = np.random.default_rng(6)
+    seq, target = draw.integers(0, 3, (500, 6)), draw.integers(0, 4, 500)
+    tree = recurrent.Prefixes(seq)
+    assert [len(x) for x in tree.items] == [len({tuple(r) for r in seq[:, : t + 1].tolist()}) for t in range(6)]
+    assert all((tree.items[t][tree.at[t]] == seq[:, t]).all() for t in range(6))
+    for layers in (1, 2):
+        shape, weights = Shape(5, 3, 4, layers), draw.random(5) + 0.5
+        flat = shape.start(2)
+        loss, weight, gradient = recurrent.loss_and_gradient(flat, shape, seq, target, weights)
+        each = [recurrent.loss_and_gradient(flat, shape, seq[i : i + 1], target[i : i + 1], weights) for i in range(500)]
+        assert (loss, weight) == pytest.approx((sum(x[0] for x in each), sum(x[1] for x in each)))
+        assert np.allclose(gradient, sum(x[2] for x in each))

@@ -1,5 +1,8 @@
 """A next-item model: embeddings, stacked LSTM layers, and a score for every item of the vocabulary.
 
+Rows that begin alike share the first layer's states up to where they part (``Prefixes``), so that its work grows with the distinct beginnings, not with the rows.
+For that, a step's rows are stored in the order of their sequences.
+
 Training is synchronous: in every step the tasks work out the gradients of their rows of the step's batch, Spark sums them up by ranges of
 parameters, and the driver, which holds the model, takes an Adam step. Batches are dealt by hash once and stored
 apart, so that a step reads its own rows only. Training stops when the validation loss has not fallen for some epochs.
@@ -20,8 +23,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from tripline.sources.storage import remove, scratch
 
-#: Sequences that a task works on at a time; parameters whose gradients are summed up together.
-SLICE, RANGE = 256, 1 << 16
+#: Sequences that a task works on at a time, at least, and numbers of a hidden state for which there may be more; parameters whose gradients are summed up together.
+SLICE, HELD, RANGE = 256, 1 << 17, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -94,11 +97,78 @@ def _layer_back(d_outs: np.ndarray, kept: tuple, w: np.ndarray, u: np.ndarray) -
     return d_z @ w.T, x.reshape(-1, x.shape[2]).T @ flat, before.reshape(-1, hidden).T @ flat, flat.sum(0)
 
 
+class Prefixes:
+    """The distinct beginnings of sequences: of every length the items they end with, the places of the beginnings that they prolong, and
+    each sequence's place among them."""
+
+    def __init__(self, seq: np.ndarray) -> None:
+        order = np.lexsort(seq.T[::-1])
+        rows, back = seq[order], np.empty(len(seq), np.int64)
+        back[order] = np.arange(len(seq))
+        new = np.zeros(len(seq), bool)
+        new[:1] = True
+        before, self.items, self.parents, self.at = np.zeros(len(seq), np.int64), [], [], []
+        for t in range(seq.shape[1]):
+            new[1:] |= rows[1:, t] != rows[:-1, t]
+            place, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            self.items.append(rows[first, t])
+            self.parents.append(before[first])
+            self.at.append(place[back])
+            before = place
+
+    def added(self, values: np.ndarray, t: int, out: np.ndarray) -> np.ndarray:
+        """The values of the beginnings at t added up by what they prolong; these stand together and lack none."""
+        if len(values):
+            out[:] = np.add.reduceat(values, np.flatnonzero(np.diff(self.parents[t], prepend=-1)), axis=0)
+        return out
+
+
+def _first_layer(tree: Prefixes, embed: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """Of every length: outputs, cells and gates of the beginnings, those of what they prolong, and the inputs."""
+    hidden, kept = len(u), []
+    h = c = np.zeros((1, hidden))
+    for items, parents in zip(tree.items, tree.parents, strict=True):
+        x, old_h, old_c = embed[items], h[parents], c[parents]
+        z = x @ w + b + old_h @ u
+        z[:, : 3 * hidden], z[:, 3 * hidden :] = _sigmoid(z[:, : 3 * hidden]), np.tanh(z[:, 3 * hidden :])
+        take, keep, show, new = np.split(z, 4, axis=1)
+        c = keep * old_c + take * new
+        high = np.tanh(c)
+        h = show * high
+        kept.append((h, high, z, old_h, old_c, x))
+    return kept
+
+
+def _first_layer_back(d_outs: list[np.ndarray], tree: Prefixes, kept: list[tuple], w: np.ndarray, u: np.ndarray, g: dict[str, np.ndarray]) -> None:
+    """Adds to the gradients; d_outs has, of every length, the outputs' gradients added up by beginning."""
+    d_h, d_c = np.zeros_like(d_outs[-1]), np.zeros_like(d_outs[-1])
+    for t in reversed(range(len(kept))):
+        _, high, z, old_h, old_c, x = kept[t]
+        take, keep, show, new = np.split(z, 4, axis=1)
+        d_h = d_h + d_outs[t]
+        d_c = d_c + d_h * show * (1 - high**2)
+        each = (d_c * new * take * (1 - take), d_c * old_c * keep * (1 - keep), d_h * high * show * (1 - show), d_c * take * (1 - new**2))
+        d_z = np.concatenate(each, axis=1)
+        g["in0"] += x.T @ d_z
+        g["back0"] += old_h.T @ d_z
+        g["bias0"] += d_z.sum(0)
+        np.add.at(g["embed"], tree.items[t], d_z @ w.T)
+        if t:
+            less = np.zeros_like(d_outs[t - 1])
+            d_h, d_c = tree.added(d_z @ u.T, t, less), tree.added(d_c * keep, t, less.copy())
+
+
 def logits(p: dict[str, np.ndarray], shape: Shape, seq: np.ndarray, dropout: float = 0.0, draw: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
     """Scores of all items after each sequence, and what the way back needs. Dropout is applied if draw is given."""
-    x, trail = p["embed"][seq], []
+    tree, trail, x = Prefixes(seq), [], None
     for i in range(shape.layers):
-        x, kept = _layer(x, p[f"in{i}"], p[f"back{i}"], p[f"bias{i}"])
+        if i:
+            x, kept = _layer(x, p[f"in{i}"], p[f"back{i}"], p[f"bias{i}"])
+        else:
+            states = _first_layer(tree, p["embed"], p["in0"], p["back0"], p["bias0"])
+            # Only a further layer needs outputs before the last.
+            steps = range(len(states)) if shape.layers > 1 else [len(states) - 1]
+            x, kept = np.stack([states[t][0][tree.at[t]] for t in steps], axis=1), (tree, states, steps)
         mask = (draw.random(x.shape) >= dropout) / (1 - dropout) if draw is not None and dropout else None
         x = x if mask is None else x * mask
         trail.append((kept, mask))
@@ -123,21 +193,28 @@ def loss_and_gradient(
     d[rows, target] -= 1
     d *= weight[:, None]
     g["out"][:], g["out_bias"][:] = trail[-1].T @ d, d.sum(0)
-    d_outs = np.zeros_like(trail[-2][0][1])
-    d_outs[:, -1] = d @ p["out"].T
+    d_last = d @ p["out"].T
+    d_outs = np.zeros((len(seq), seq.shape[1] if shape.layers > 1 else 1, shape.hidden))
+    d_outs[:, -1] = d_last
     for i in reversed(range(shape.layers)):
         kept, mask = trail[i]
         d_outs = d_outs if mask is None else d_outs * mask
-        d_outs, g[f"in{i}"][:], g[f"back{i}"][:], g[f"bias{i}"][:] = _layer_back(d_outs, kept, p[f"in{i}"], p[f"back{i}"])
-    np.add.at(g["embed"], seq, d_outs)
+        if i:
+            d_outs, g[f"in{i}"][:], g[f"back{i}"][:], g[f"bias{i}"][:] = _layer_back(d_outs, kept, p[f"in{i}"], p[f"back{i}"])
+    tree, states, steps = trail[0][0]
+    by_start = [np.zeros_like(s[0]) for s in states]
+    for n, t in enumerate(steps):
+        np.add.at(by_start[t], tree.at[t], d_outs[:, n])
+    _first_layer_back(by_start, tree, states, p["in0"], p["back0"], g)
     g["embed"][0] = 0
     return loss, float(weight.sum()), gradient
 
 
-def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(frames: Iterator[pd.DataFrame], shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    size = max(SLICE, HELD // shape.hidden)
     for frame in frames:
-        for a in range(0, len(frame), SLICE):
-            part = frame.iloc[a : a + SLICE]
+        for a in range(0, len(frame), size):
+            part = frame.iloc[a : a + size]
             yield np.stack(part["input_seq"].to_numpy()).astype(np.int64), part["target"].to_numpy(np.int64)
 
 
@@ -149,7 +226,7 @@ def _summed(rows: DataFrame, flat: np.ndarray, shape: Shape, weights: np.ndarray
 
         draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
         loss, weight, gradient = 0.0, 0.0, None
-        for seq, target in _slices(frames):
+        for seq, target in _slices(frames, shape):
             one, its, g = loss_and_gradient(flat, shape, seq, target, weights, dropout, draw)
             loss, weight, gradient = loss + one, weight + its, g if gradient is None else gradient + g
         if gradient is not None:
@@ -172,7 +249,7 @@ def _loss(rows: DataFrame, flat: np.ndarray, shape: Shape, weights: np.ndarray)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shape.views(flat)
-        for seq, target in _slices(frames):
+        for seq, target in _slices(frames, shape):
             score, _ = logits(p, shape, seq)
             top = score.max(1)
             each = np.log(np.exp(score - top[:, None]).sum(1)) + top - score[np.arange(len(seq)), target]
@@ -197,9 +274,10 @@ class SequenceModel:
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, least = shape.views(flat), min(k, shape.vocab - 1)
+            size = max(SLICE, HELD // shape.hidden)
             for frame in frames:
-                for a in range(0, len(frame), SLICE):
-                    part = frame.iloc[a : a + SLICE].copy()
+                for a in range(0, len(frame), size):
+                    part = frame.iloc[a : a + size].copy()
                     score, _ = logits(p, shape, np.stack(part["input_seq"].to_numpy()).astype(np.int64))
                     score = np.exp(score - score.max(1, keepdims=True))
                     share = score / score.sum(1, keepdims=True)
@@ -246,15 +324,18 @@ def fit_sequences(
         by_class[c] = w
     path = scratch(spark, "sequences")
     dealt = train.select("input_seq", "target").withColumn("batch", F.pmod(F.xxhash64("input_seq", "target", F.lit(seed)) + F.monotonically_increasing_id(), F.lit(steps)))
-    dealt.repartition(min(steps, 8 * spark.sparkContext.defaultParallelism), "batch").write.partitionBy("batch").parquet(path)
+    tasks = min(spark.sparkContext.defaultParallelism, max(1, -(-n // steps // SLICE)))
+    # A step's rows lie in as many files as it has tasks, each a range of sequences; the hash parts equal ones.
+    spread = dealt.withColumn("_h", F.xxhash64("target", F.monotonically_increasing_id()))
+    spread = spread.repartitionByRange(steps * tasks, "batch", "input_seq", "_h").sortWithinPartitions("batch", "input_seq").drop("_h")
+    spread.write.partitionBy("batch").parquet(path)
     stored = spark.read.parquet(path)
     flat, mean, square = shape.start(seed), 0.0, 0.0
     best, model, number = float("inf"), None, 0
     history: list[float] = []
-    tasks = min(spark.sparkContext.defaultParallelism, max(1, -(-n // steps // SLICE)))
     for epoch in range(epochs):
         for step in np.random.default_rng([seed, epoch]).permutation(steps):
-            rows = stored.where(F.col("batch") == int(step)).repartition(tasks)
+            rows = stored.where(F.col("batch") == int(step))
             _, weight, g = _summed(rows, flat, shape, by_class, dropout, seed + number)
             if not weight:
                 continue
