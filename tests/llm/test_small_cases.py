@@ -168,6 +168,21 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode([long], 500)[0].tolist() == encoder.tokenizer.encode(long, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_what_is_used_often():
+    import public_tokenizers
+
+    encoder, learned = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=200), []
+    learn = encoder.learn
+    encoder.learn = lambda texts: (learned.extend(texts), learn(texts))
+    r = random.Random(4)
+    for k in range(40):
+        texts = [" often used words " * 3, " ".join(f"{''.join(r.choice('etaoin') for _ in range(7))}" for _ in range(30))]
+        expected = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == expected, k
+        assert len(encoder.place) <= 200 and len(encoder.place) == len(encoder.size) == len(encoder.uses)
+    assert len(learned) > 400 and learned.count(" often") == 1  # seldom ones go, this one stays
+
+
 def test_lines(spark):
     base = "the quick brown fox jumps over the lazy dog near the river bank number today while the quick brown cat sleeps on the warm windowsill of the old house"
     rows = [(1, f"well {base}\nshort line", "s"), (2, f"WELL,  {base}!", "s"), (3, babble(3, 30), "s"), (4, f"{babble(3, 30)}\n{babble(3, 30)}", "s")] + ODD

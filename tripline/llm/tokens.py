@@ -191,11 +191,12 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts with a tokenizer file; what a pretoken encodes to is kept, so that it is merged only once.
 
-    At most about ``keep`` pretokens, and 4 million characters of them, are kept; then it begins anew. With ``added``, the
-    added tokens of the file are found in texts, as is the library's default; else they are text like any other.
+    At most about ``keep`` pretokens, and ``chars`` characters of them, are kept; when they are full, those that came up but once since
+    the last time go, and if that is not half of them, the rarer half. With ``added``, the added tokens of the file are found in
+    texts, as is the library's default; else they are text like any other.
     """
 
-    def __init__(self, path: str, keep: int = 200_000, added: bool = False) -> None:
+    def __init__(self, path: str, keep: int = 600_000, added: bool = False, chars: int = 8_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -205,35 +206,45 @@ class Encoder:
         if added:
             self.tokenizer = Tokenizer.from_file(path)
             self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep = keep
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}  # of each pretoken in start and size
+        self.keep, self.chars = keep, chars
+        self.place: dict[str, int] = {}  # of each pretoken in start, size and uses
         self.held = 0
-        self.start = self.size = np.zeros(0, np.int64)
+        self.start = self.size = self.uses = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def forget(self) -> None:
+        """Keeps at most half of the pretokens, those used most often since the last time and more than once."""
+        good = np.flatnonzero(self.uses > 1)
+        if len(good) > self.keep // 2:
+            good = np.sort(good[np.argsort(-self.uses[good], kind="stable")[: self.keep // 2]])
+        texts = list(self.place)
+        texts = [texts[i] for i in good.tolist()]
+        if sum(map(len, texts)) > self.chars // 2:  # few, but long
+            good, texts = good[:0], []
+        size, start = self.size[good], self.start[good]
+        total = np.cumsum(size)
+        self.ids = self.ids[np.arange(size.sum()) + np.repeat(start - total + size, size)]
+        self.start, self.size, self.uses = total - size, size, np.zeros(len(good), np.int64)
+        self.place, self.held = dict(zip(texts, range(len(texts)), strict=True)), sum(map(len, texts))
+
     def learn(self, texts: list[str]) -> None:
         """Spaced words are encoded together, the others alone."""
-        found: list[list[int]] = [[]] * len(texts)
-        spaced = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t[1:].isalpha()]
+        together = [len(t) > 1 and t[0] == " " and t[1:].isalpha() for t in texts]
+        spaced, alone = [t for t, x in zip(texts, together, strict=True) if x], [t for t, x in zip(texts, together, strict=True) if not x]
+        ids, sizes = [self.ids], []
         for a in range(0, len(spaced), 4096):
             part = spaced[a : a + 4096]
-            whole = self.plain.encode("".join(texts[i] for i in part), add_special_tokens=False)
-            owner = np.array(whole.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            ids = whole.ids
-            for i, x, y in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found[i] = ids[x:y]
-        alone = sorted(set(range(len(texts))) - set(spaced))
-        for i, x in zip(alone, self.plain.encode_batch([texts[i] for i in alone], add_special_tokens=False), strict=True):
-            found[i] = x.ids
-        size = np.fromiter(map(len, found), np.int64, len(found))
+            whole = self.plain.encode("".join(part), add_special_tokens=False)
+            ids.append(np.array(whole.ids, np.uint32))
+            sizes.append(np.bincount(np.array(whole.word_ids, np.int64), minlength=len(part)))
+        found = [x.ids for x in self.plain.encode_batch(alone, add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        size = np.concatenate([*sizes, np.fromiter(map(len, found), np.int64, len(found))]).astype(np.int64)
         start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate(ids)
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        self.place.update(zip(texts, range(len(self.place), len(self.place) + len(texts)), strict=True))
+        self.uses = np.concatenate([self.uses, np.zeros(len(texts), np.int64)])
+        self.place.update(zip(chain(spaced, alone), range(len(self.place), len(self.place) + len(texts)), strict=True))
         self.held += sum(map(len, texts))
 
     def has_added(self, text: str) -> bool:
@@ -253,11 +264,16 @@ class Encoder:
         mine = np.fromiter(map(self.place.get, each, repeat(-1)), np.int64, len(each))
         new = list(dict.fromkeys(each[i] for i in np.flatnonzero(mine < 0)))
         if new:
-            if len(self.place) + len(new) > self.keep or self.held > 4_000_000:
-                self.clear()
-                new = list(dict.fromkeys(each))
+            if len(self.place) + len(new) > self.keep or self.held > self.chars:
+                self.forget()
+                new = [t for t in dict.fromkeys(each) if t not in self.place]
+                missing = slice(None)
+            else:
+                missing = np.flatnonzero(mine < 0)
             self.learn(new)
-            mine = np.fromiter(map(self.place.__getitem__, each), np.int64, len(each))
+            lost = each if isinstance(missing, slice) else [each[i] for i in missing]
+            mine[missing] = np.fromiter(map(self.place.__getitem__, lost), np.int64, len(lost))
+        self.uses += np.bincount(mine, minlength=len(self.uses))
         size = np.where(ending, 0, self.size[mine])
         total = np.cumsum(size)
         flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[mine] - total + size, size)]
