@@ -99,6 +99,18 @@ def test_suffix_array_and_prefixes():
         assert ((some == 50) == (got == 50)).all() and ((some == got) | (some == 0)).all()
 
 
+def test_string_ranks_need_no_prefixes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "common_prefixes", None)  # ranks end at the strings' length
+    r = random.Random(6)
+    for length in (20, 23, 37, 50):
+        raw = b"".join(bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 90))) * r.randint(1, 4) for _ in range(9))
+        found = suffix_dedup.string_classes(np.frombuffer(raw, np.uint8), length)
+        strings = [raw[i : i + length] for i in range(len(raw) - length + 1)]
+        place = {x: i for i, x in enumerate(sorted(set(strings)))}
+        _, dense = np.unique(found[: len(strings)], return_inverse=True)
+        assert dense.tolist() == [place[x] for x in strings]
+
+
 def test_search(spark):
     r = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in v], "x") for i, v in enumerate(r.normal(size=(120, 8)).astype(np.float32))]
