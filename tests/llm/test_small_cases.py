@@ -99,6 +99,20 @@ def test_suffix_array_and_prefixes():
         assert ((some == 50) == (got == 50)).all() and ((some == got) | (some == 0)).all()
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 4)], "a long, b long"))
+        assert found.rdd.getNumPartitions() < 40
+        assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_string_ranks_need_no_prefixes(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "common_prefixes", None)  # ranks end at the strings' length
     r = random.Random(6)
