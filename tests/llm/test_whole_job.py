@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tripline.llm import line_dedup, near_dedup, tokens, toxicity
+from tripline.llm import components, line_dedup, near_dedup, tokens, toxicity
 
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("n", "s", "rt", "ll") for c in ("o", "ae", "im", "us")]
 
@@ -78,3 +79,13 @@ def test_toxicity_of_held_out_documents(spark):
     counts = {(x.toxic, x.predicted): x["count"] for x in found.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
     assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts.get((1, 0), 0))
     assert counts.get((0, 1), 0) <= 0.01 * counts[0, 0]
+
+
+def test_dealt_rows_are_joined_without_a_broadcast(spark):
+    """Loops join hundreds of small frames; broadcast, each takes memory of the driver."""
+    rows, labels = spark.range(1000), spark.range(100).withColumn("label", F.col("id") % 7)
+    for kind in ("inner", "left", "left_semi", "left_anti"):
+        joined = rows.join(components.dealt(labels, "id"), "id", kind)
+        assert joined.count() == (1000 if kind == "left" else 900 if kind == "left_anti" else 100)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
