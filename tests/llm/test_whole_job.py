@@ -89,3 +89,12 @@ def test_dealt_rows_are_joined_without_a_broadcast(spark):
         assert joined.count() == (1000 if kind == "left" else 900 if kind == "left_anti" else 100)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_simhashes_have_sizes_that_allow_a_link(spark):
+    """Pairs that their sizes rule out go where they are found, before anything is joined or shuffled for them."""
+    rows = [(0, 1, 100, None), (1, 2, 30, None), (2, 3, 110, None), (4, 4, 100, 9), (8, 5, 100, 9)]
+    sims = spark.createDataFrame(rows, "sim long, id long, size int, label long")
+    found = {(r.a, r.b) for r in line_dedup.near_sims(sims, 0.8).collect()}
+    assert found == {(1, 3), (1, 4), (1, 5), (3, 4), (3, 5)}  # 2 is too short, 4 and 5 are linked already
+    assert all(2 not in (r.a, r.b) for r in line_dedup.near_sims(sims, 0.8, line_dedup.FIRST).collect())
