@@ -108,7 +108,8 @@ def predictions_with_places(rows: DataFrame, vocabulary: DataFrame, places: Data
     total, sd, score = F.sum("score_raw").over(w), F.stddev_pop("score_raw").over(w), F.col("score_raw")
     share, order = _share(score, total), w.orderBy("rank")
     rows = rows.withColumns({"_share": share, "score_z": F.round(F.when(sd > 0, (score - F.avg("score_raw").over(w)) / sd), 6), "_rank": F.row_number().over(order)})
-    running = F.sum("_share").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Rows that share a rank, as an id that several places have makes them, share its running sum: their order is open.
+    running = F.sum("_share").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumns({"score_cum_share": F.round(running, 9), "score_share": F.round("_share", 9), "rank": F.col("_rank")}).drop("_share", "_rank")
     src, dst = F.col("source_category_main"), F.col("dest_category_main")
     km = haversine_km(F.col("source_lat"), F.col("source_lon"), F.col("dest_lat"), F.col("dest_lon"))
