@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripline.operators import ranking, tree_ranker
+from tripline.plans import models
 
 
 def by_hand(items):
@@ -124,3 +125,17 @@ def test_only_drawn_queries_keep_labels(spark, planted):
     assert got.first().ndcg_at_3 == pytest.approx(ranking.ndcg(rows.join(drawn, "q", "left_semi"), "q", "label", 3).first()[0])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("collect_list") < plan.index("Join LeftOuter")  # the draw lies below the lists
+
+
+def test_metrics_are_those_of_all_held_out_queries(spark, tmp_path, monkeypatch):
+    """With one positive a query, nDCG@1 over all queries is recall@1; over some of them it isn't."""
+    n = 10_400
+    pairs = spark.range(n + 150).select(F.col("id").alias("pair_id"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("dst_id"))
+    near = F.pmod(F.xxhash64("pair_id", "dst_id"), F.lit(1000)) / 1000
+    right = (F.pmod(F.xxhash64("pair_id"), F.lit(3)) == F.col("dst_id")).cast("int")
+    x = F.array(near + 0.3 * right, F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    rows = pairs.select("pair_id", "dst_id", right.alias("label"), x.alias("x"), F.col("pair_id").between(n, n + 49).alias("valid"), (F.col("pair_id") < n).alias("held"))
+    monkeypatch.setattr(models, "candidates", lambda spark, d: rows)
+    for r in models.tree_ranker_metrics(spark, str(tmp_path)).collect():
+        assert r.n_queries == n and 0.4 < r.recall_at_1 < 0.95
+        assert r.ndcg_at_1 == r.recall_at_1
