@@ -98,3 +98,27 @@ def test_near_simhashes_have_sizes_that_allow_a_link(spark):
     found = {(r.a, r.b) for r in line_dedup.near_sims(sims, 0.8).collect()}
     assert found == {(1, 3), (1, 4), (1, 5), (3, 4), (3, 5)}  # 2 is too short, 4 and 5 are linked already
     assert all(2 not in (r.a, r.b) for r in line_dedup.near_sims(sims, 0.8, line_dedup.FIRST).collect())
+
+
+def test_keys_hold_near_lines_and_few_others(spark):
+    """Pairs of SimHashes' blocks were shared by lines that have nothing but frequent words in common: more pairs than lines, over 0.1 GB."""
+    r = random.Random(11)
+    words = [r.choice(WORDS[:12]) if r.random() < 0.5 else f"{r.choice(WORDS)}{r.choice(WORDS)}" for _ in range(30 * 400)]
+    rows = [(i, words[30 * i : 30 * i + 30]) for i in range(400)]
+    rows += [(400 + i, [*x[: i % 30], "zzq", *x[i % 30 + 1 :]]) for i, x in rows[:200]]
+    lines = spark.createDataFrame(rows, "id long, words array<string>").withColumn("hashes", F.transform("words", lambda w: F.hash(w)))
+    nodes = line_dedup.least_keys(lines, "hashes", "keys").withColumns({"size": F.lit(150), "label": F.lit(None).cast("long")})
+    found = {(x.a, x.b) for x in line_dedup.near_sims(nodes, 0.8, buckets=F.col("keys")).collect()}
+    links = {(i, 400 + i) for i in range(200)}
+    assert len(links & found) >= 196 and len(found - links) <= 20
+
+
+def test_pieces_bound_the_edits_of_long_lines(spark):
+    r, rows = random.Random(2), []
+    for i in range(8):
+        one = "".join(r.choice("abcdefgh ") for _ in range(2500 + 100 * i))
+        other = "".join("" if (x := r.random()) < 0.01 * i / 2 else c + "z" if x < 0.01 * i else c for c in one)
+        rows.append((one, other))
+    rows.append((rows[0][0], rows[1][0]))
+    found = spark.createDataFrame(rows, "a string, b string").select(line_dedup.edits_of_pieces(F.col("a"), F.col("b")).alias("most"), F.levenshtein("a", "b").alias("d"), F.length("a").alias("n")).collect()
+    assert all(x.d <= x.most for x in found) and all(x.most <= 0.2 * x.n for x in found[:6]) and found[0].most == 0
